@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding
-from .common import table
+from . import bpe, lm, packing, quality, secrets, sharding, toxicity
+from .common import crc_bucket, table
 
 #: Tokenizers that the queries use; where they lie is a parameter of the operators.
 BPE_RANKS, PACK_RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 10) == 0
+    model, rare = lm.fit(docs, ~held_out)
+    return lm.score(docs, model, rare).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), BPE_RANKS, PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -34,6 +40,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, PATTERN, end_id=0).drop("ids")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket(F.col("_k"), 5) != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = secrets.scan(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
@@ -41,5 +54,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.concat("base", "owned")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op9_secrets": op9_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_secrets": op9_secrets}
 ORACLES: dict[str, str] = {}
