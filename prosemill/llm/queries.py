@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing, quality, secrets, sharding, toxicity
+from . import bpe, lm, mtree, packing, quality, secrets, sharding, toxicity
 from .common import crc_bucket, table
 
 #: Tokenizers that the queries use; where they lie is a parameter of the operators.
@@ -47,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = secrets.scan(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
@@ -54,5 +58,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.concat("base", "owned")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op9_secrets": op9_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_mtree": op8_mtree, "op9_secrets": op9_secrets}
 ORACLES: dict[str, str] = {}
