@@ -1,6 +1,6 @@
 """Exact similarity join on word n-gram sets by grouped prefixes, and the components that its links form.
 
-Sets of 64-bit hashes of n-grams. Equal sets are one class, named by a hash of the set. All n-grams get one order: first those whose hash lies under UNIVERSE, the rarer first, then
+Sets of 64-bit hashes of n-grams. Equal sets are one class, named by a hash of the set. All n-grams get one order: first those whose hash lies under a bound (the universe), the rarer first, then
 the others by hash. Classes whose sets differ by no more than the threshold allows share an n-gram among the first n - ceil(t * n) + 1 of each (the
 prefix). n-grams of the universe that stand once in the corpus count as prefix places but need no list. Classes with equal prefixes and sizes are one group; lists of an
 n-gram's groups give pairs of groups whose sizes are compatible, and only these expand into pairs of members, whose whole sets are compared.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks, materialise, words_of
 from .pieces import flat_index
 
-#: Share of hashes whose frequencies are counted: above 1 - t, so that most prefixes lie within.
-UNIVERSE = 0.22
+#: Share of hashes whose frequencies are counted, over 1 - t: so much that most prefixes lie within.
+UNIVERSE = 1.4
 #: Members of a list up to which it is joined by pairs; n-grams in a block beyond.
 LIGHT, BLOCK = 32, 400_000
 #: Classes to compare that are broadcast at most, else joined by shuffle.
@@ -85,7 +85,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _prefixes(df: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
     """A row per row: _k, class (null for an empty set), size, and, where this task meets the class first, its n-grams in the universe and those of the prefix beyond."""
-    under = np.uint64(int(UNIVERSE * 2**64))
+    under = np.uint64(int(min(0.99, UNIVERSE * (1 - percent / 100)) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(n), set()

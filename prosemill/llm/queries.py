@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm, mtree, packing, quality, secrets, sharding, toxicity
+from . import bpe, extraction, jaccard, lm, mtree, packing, quality, secrets, sharding, toxicity
 from .common import crc_bucket, table
 
 #: Tokenizers that the queries use; where they lie is a parameter of the operators.
@@ -26,6 +26,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
@@ -62,5 +66,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_mtree": op8_mtree, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op3_extraction": op3_extraction, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_mtree": op8_mtree, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
 ORACLES: dict[str, str] = {}

@@ -74,3 +74,14 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: Col
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,hash:bigint>>")
     out = found.join(per, "_id", "left")
     return out.select(F.col("_k").alias(key), F.col("_id").alias("row_id"), "base", F.coalesce("owned", none).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+
+
+def masked(text: Column, spans: Column, by: str = "[secret]") -> Column:
+    """The text with each stretch that spans cover replaced."""
+
+    def step(s: Column, x: Column) -> Column:
+        new = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(by))
+        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when((x["start"] < s["at"]) | ((x["start"] == s["at"]) & (s["at"] > 0)), s["out"]).otherwise(new).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(F.sort_array(spans), zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))

@@ -1,0 +1,43 @@
+"""The stages of the pipeline on whole small tables, each against what it should keep."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+from prosemill.llm import jaccard, quality, secrets, toxicity  # noqa: E402
+from prosemill.llm.common import crc_bucket, materialise  # noqa: E402
+
+
+def test_stages(spark, docs):
+    sf_dir = "/root/testdata/sf0.01"
+    extra = spark.createDataFrame([(90_000, 'a note: password = "hunter2hunter2" and words that make this one long enough to stay', "en", "src1", 10), (90_001, None, None, None, None)], docs.schema)
+    now = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialise(stage(spark, now, sf_dir), name)
+        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        if name != "packing":
+            assert out.columns == docs.columns
+        if name == "toxicity":
+            model = toxicity.fit(now, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_bucket(F.col("_k"), 5) != 0)
+            assert ids == {r.doc_id for r in toxicity.score(now, model).where("toxicity < 0.5").collect()}
+        elif name == "quality":
+            assert ids == {r.doc_id for r in quality.assess(now).select("doc_id", "quality.kept").collect() if r.kept} and 90_001 not in ids
+        elif name == "near_duplicates":
+            links = jaccard.link(now, 5, 80).collect()
+            assert ids == {r.component_id for r in links} and out.count() == len(ids)
+        elif name == "secrets":
+            assert out.count() == now.count()
+            text = {r.doc_id: r.text for r in out.collect()}
+            assert text[90_000].startswith('a note: [secret]" and words') and not any(re.search(r"[0-9a-f]{24}", t) for t in text.values())
+        else:
+            assert ids == {r.doc_id for r in now.select("doc_id").collect()}
+        now = out
+
+
+def test_masks(spark):
+    rows = spark.createDataFrame([("é 0123456789abcdef01234567 token=abcdef012345678901234567", "s"), ("none", "s")], "text string, source string").withColumn("doc_id", F.monotonically_increasing_id())
+    out = rows.join(secrets.scan(rows), "doc_id").select("doc_id", secrets.masked(F.col("text"), F.concat("base", "owned")).alias("t")).orderBy("doc_id").collect()
+    assert [r.t for r in out] == ["é [secret] [secret]", "none"]
