@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans.statements import ALL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: statement.query() for name, statement in ALL.items()}
+ORACLES: dict[str, str] = {name: statement.text("duck") for name, statement in ALL.items()}
