@@ -61,12 +61,14 @@ def spell(sql: str, engine: str) -> str:
     sql = sql.replace("SLUG", "" if engine == "spark" else ", 'g'").replace("JSON(props, k)", "get_json_object(props, '$.k')" if engine == "spark" else "json_extract_string(props, '$.k')")
     if engine == "spark":
         sql = re.sub(r"\bPCT\(", "percentile(", sql)
-        sql = sql.replace("R'", "r'").replace("EVEN(", "bround(").replace("NUL", "char(0)")
+        sql = sql.replace("R'", "r'").replace("EVEN(", "bround(")
+        sql = re.sub(r"\bNUL\b", "char(0)", sql)
+        sql = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", sql)  # doubles, as averages of decimals are rounded
         sql = re.sub(r"HEX8\(((?:[^()]|\([^()]*\))*)\)", r"CAST(conv(substr(sha1(\1), 1, 8), 16, 10) AS BIGINT)", sql)
         sql = re.sub(r"MATCHES\(", "regexp_count(", sql)
         return re.sub(r"(\w+) // (\w+)", r"CAST(floor(\1 / \2) AS BIGINT)", sql)
     sql = re.sub(r"\bPCT\(", "quantile_cont(", sql)
-    sql = sql.replace("R'", "'").replace("NUL", "chr(0)")
+    sql = re.sub(r"\bNUL\b", "chr(0)", sql.replace("R'", "'"))
     sql = re.sub(r"EVEN\(((?:[^()]|\([^()]*\))*)\)", r"round_even(\1, 0)", sql)
     sql = re.sub(r"HEX8\(((?:[^()]|\([^()]*\))*)\)", r"CAST(CAST('0x' || substr(sha1(\1), 1, 8) AS BIGINT) AS BIGINT)", sql)
     return re.sub(r"MATCHES\(((?:[^(),]|\([^()]*\))*), ('(?:[^']|'')*')\)", r"len(regexp_extract_all(\1, \2))", sql)

@@ -36,7 +36,7 @@ TEXT = {
     ),
     "text_stats": S("SELECT doc_id, sum(length(v)) + max(idx) AS chars, max(idx) AS newlines, count(*) AS n_lines, round(avg(CASE WHEN trim(v) <> '' THEN length(v) END), 6) AS mean_line FROM lines GROUP BY doc_id", "lines"),
     "opener_entropy": S(
-        "SELECT doc_id, round(-sum(c / n * ln(c / n)), 6) AS opener_entropy FROM (SELECT doc_id, w, CAST(count(*) AS DOUBLE) AS c, CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS DOUBLE) AS n FROM openers WHERE w <> '' GROUP BY doc_id, w) x GROUP BY doc_id",
+        "SELECT doc_id, round(0 - sum(c / n * ln(c / n)), 6) AS opener_entropy FROM (SELECT doc_id, w, CAST(count(*) AS DOUBLE) AS c, CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS DOUBLE) AS n FROM openers WHERE w <> '' GROUP BY doc_id, w) x GROUP BY doc_id",
         "sentences", "openers AS (SELECT doc_id, lower(regexp_extract(v, R'[A-Za-z]+', 0)) AS w FROM sentences)",
     ),
     "punctuation_rates": S(
@@ -97,7 +97,7 @@ SERIES = {
     "runs_q90": S("SELECT user_id, count(*) AS runs, round(avg(len), 6) AS run_mean, CASE WHEN count(*) >= 5 THEN round(PCT(len, 0.9), 6) ELSE round(CAST(max(len) AS DOUBLE), 6) END AS run_q90 FROM islands WHERE high = 1 GROUP BY user_id", "series", "flagged AS (SELECT x.user_id, x.idx, CASE WHEN x.s >= m.q THEN 1 ELSE 0 END AS high FROM series x JOIN (SELECT user_id, PCT(s, 0.9) AS q FROM series GROUP BY user_id) m ON x.user_id = m.user_id), " + _RUNS),
     "valleys_p30": S("SELECT user_id, count(*) AS valleys, max(len) AS longest FROM islands WHERE high = 1 AND len >= 4 GROUP BY user_id", "series", "flagged AS (SELECT x.user_id, x.idx, CASE WHEN x.s < m.q THEN 1 ELSE 0 END AS high FROM series x JOIN (SELECT user_id, PCT(s, 0.3) AS q FROM series GROUP BY user_id) m ON x.user_id = m.user_id), " + _RUNS),
     "acf_lags": S("SELECT user_id, " + ", ".join(f"round(sum((s - mean) * (l{k} - mean)) / (sum((s - mean) * (s - mean)) + 1e-12), 6) AS acf{k}" for k in range(1, 11)) + " FROM lagged GROUP BY user_id", "series", "lagged AS (SELECT user_id, s, avg(s) OVER (PARTITION BY user_id) AS mean, " + ", ".join(f"lag(s, {k}) OVER w AS l{k}" for k in range(1, 11)) + " FROM series WINDOW w AS (PARTITION BY user_id ORDER BY idx))"),
-    "perm_entropy": S("SELECT user_id, round(-sum(c / n * ln(c / n)) / ln(6), 6) AS perm_entropy FROM (SELECT user_id, p, CAST(count(*) AS DOUBLE) AS c, CAST(sum(count(*)) OVER (PARTITION BY user_id) AS DOUBLE) AS n FROM (SELECT user_id, CASE WHEN prev2 <= prev THEN 4 ELSE 0 END + CASE WHEN prev <= s THEN 2 ELSE 0 END + CASE WHEN prev2 <= s THEN 1 ELSE 0 END AS p FROM z WHERE prev2 IS NOT NULL) q GROUP BY user_id, p) r GROUP BY user_id", "series", _NEXT),
+    "perm_entropy": S("SELECT user_id, round((0 - sum(c / n * ln(c / n))) / ln(6), 6) AS perm_entropy FROM (SELECT user_id, p, CAST(count(*) AS DOUBLE) AS c, CAST(sum(count(*)) OVER (PARTITION BY user_id) AS DOUBLE) AS n FROM (SELECT user_id, CASE WHEN prev2 <= prev THEN 4 ELSE 0 END + CASE WHEN prev <= s THEN 2 ELSE 0 END + CASE WHEN prev2 <= s THEN 1 ELSE 0 END AS p FROM z WHERE prev2 IS NOT NULL) q GROUP BY user_id, p) r GROUP BY user_id", "series", _NEXT),
     "hurst_rs": S(
         "SELECT user_id, round(regr_slope(ln(rs), ln(size)), 6) AS hurst FROM (SELECT user_id, size, avg((hi - lo) / (sd + 1e-12)) AS rs FROM (SELECT user_id, size, block, max(y) AS hi, min(y) AS lo, max(sd) AS sd FROM walks GROUP BY user_id, size, block) b GROUP BY user_id, size) r WHERE rs > 0 GROUP BY user_id HAVING count(*) >= 2",
         "series", "sizes AS (SELECT 8 AS size UNION ALL SELECT 16 UNION ALL SELECT 32 UNION ALL SELECT 64 UNION ALL SELECT 128 UNION ALL SELECT 256 UNION ALL SELECT 512), lens AS (SELECT user_id, count(*) AS n FROM series GROUP BY user_id HAVING count(*) >= 64), blocks AS (SELECT x.user_id, z.size, CAST(floor(x.idx / z.size) AS BIGINT) AS block, x.idx, x.s FROM series x JOIN lens l ON x.user_id = l.user_id JOIN sizes z ON 2 * z.size <= l.n WHERE x.idx < floor(l.n / z.size) * z.size), centred AS (SELECT *, s - avg(s) OVER (PARTITION BY user_id, size, block) AS c, stddev_pop(s) OVER (PARTITION BY user_id, size, block) AS sd FROM blocks), walks AS (SELECT user_id, size, block, sd, sum(c) OVER (PARTITION BY user_id, size, block ORDER BY idx ROWS UNBOUNDED PRECEDING) AS y FROM centred)",
@@ -129,7 +129,7 @@ CORPUS = {
     "split_manifest": S("SELECT source, count(*) AS samples, count(DISTINCT group_id) AS groups, count(DISTINCT CASE WHEN b < 70 THEN group_id END) AS train_groups FROM (SELECT source, group_id, HEX8(group_id) % 100 AS b FROM samples) x GROUP BY source", "samples"),
     "consolidate_pairs": S("SELECT substr(sha1(concat(CAST(chosen_id AS VARCHAR(20)), NUL, CAST(rejected_id AS VARCHAR(20)))), 1, 12) AS pair_id, group_id, chosen_id, rejected_id FROM pairs WHERE trim(chosen_text) <> '' AND trim(rejected_text) <> ''", "pairs"),
     "pair_unpivot": S("SELECT k, chosen_id AS doc_id, 1 AS label FROM pairs UNION ALL SELECT k, rejected_id AS doc_id, 0 AS label FROM pairs", "pairs"),
-    "job_grid": S("SELECT d.doc_id, t.tier, HEX8(concat(CAST(d.doc_id AS VARCHAR(20)), NUL, t.tier)) % 3 AS provider, CASE WHEN l.doc_id IS NULL THEN 'unresolved' ELSE 'done' END AS status FROM documents d CROSS JOIN tiers t LEFT JOIN labels l ON d.doc_id = l.doc_id", "", "tiers AS (SELECT 'plain' AS tier UNION ALL SELECT 'guided' UNION ALL SELECT 'strict')"),
+    "job_grid": S("SELECT j.doc_id, j.tier, HEX8(job) % 3 AS provider, CASE WHEN l.doc_id IS NULL THEN 'unresolved' ELSE 'done' END AS status FROM (SELECT d.doc_id, t.tier, concat(CAST(d.doc_id AS VARCHAR(20)), NUL, t.tier) AS job FROM documents d CROSS JOIN tiers t) j LEFT JOIN labels l ON j.doc_id = l.doc_id", "", "tiers AS (SELECT 'plain' AS tier UNION ALL SELECT 'guided' UNION ALL SELECT 'strict')"),
     "resume_anti_join": S("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL"),
     "word_chunks": S("SELECT doc_id, CAST(floor(idx / 500) AS BIGINT) AS chunk, count(*) AS n, count(DISTINCT v) AS n_distinct FROM words GROUP BY doc_id, CAST(floor(idx / 500) AS BIGINT) HAVING count(*) >= 50", "words"),
 }
@@ -154,7 +154,7 @@ EVALUATION = {
     "confusion": S("SELECT a.label, b.n AS predicted, count(*) AS n FROM embeddings a JOIN (SELECT vec_id, vec_id % 10 AS n FROM embeddings) b ON a.vec_id = b.vec_id GROUP BY a.label, b.n"),
     "penalty_adjust": S("SELECT event_id, round(CASE WHEN p < 0.85 THEN 100 * u ELSE greatest(0.0, 100 * u - 40 * power((p - 0.85) / 0.15, 2)) END, 6) AS adjusted FROM (SELECT event_id, (abs(value) % 100) / 100 AS p, (abs(value) % 37) / 37 AS u FROM events) e"),
     "target_bands": S("SELECT doc_type, round(PCT(length(text), 0.25), 6) AS p25, round(avg(length(text)), 6) AS mean, round(PCT(length(text), 0.75), 6) AS p75 FROM corpus GROUP BY doc_type", "corpus"),
-    "model_compare": S("SELECT a.source, round(b.m - a.m, 6) AS delta, row_number() OVER (ORDER BY b.m - a.m, a.source) AS k FROM (SELECT source, avg(n_chars) AS m FROM documents WHERE doc_id % 2 = 0 GROUP BY source) a JOIN (SELECT source, avg(n_chars) AS m FROM documents WHERE doc_id % 2 = 1 GROUP BY source) b ON a.source = b.source"),
+    "model_compare": S("SELECT a.source, round(b.m - a.m, 6) AS delta, row_number() OVER (ORDER BY b.m - a.m, a.source) AS k FROM (SELECT source, avg(n_chars) AS m FROM documents WHERE (doc_id // 20) % 2 = 0 GROUP BY source) a JOIN (SELECT source, avg(n_chars) AS m FROM documents WHERE (doc_id // 20) % 2 = 1 GROUP BY source) b ON a.source = b.source"),
     "adjacent_jaccard": S("SELECT conv_id, count(*) AS turns, round(avg(CASE WHEN role = prev THEN 1.0 ELSE 0.0 END), 6) AS same_role FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) c GROUP BY conv_id"),
 }
 
