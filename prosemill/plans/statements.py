@@ -158,4 +158,40 @@ EVALUATION = {
     "adjacent_jaccard": S("SELECT conv_id, count(*) AS turns, round(avg(CASE WHEN role = prev THEN 1.0 ELSE 0.0 END), 6) AS same_role FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) c GROUP BY conv_id"),
 }
 
-ALL = {**TEXT, **TOKENS, **SERIES, **CORPUS, **EVALUATION}
+MORE = {
+    "token_surprisal": S("SELECT doc_id, idx, round(s, 6) AS surprisal, round(s / ln(2e0), 6) AS bits, k AS rank FROM surprisal x JOIN (SELECT v, rank() OVER (ORDER BY c DESC) AS k FROM unigram) r ON x.tok = r.v", "tokens unigram surprisal"),
+    "unigram_entropy": S("SELECT round(0 - sum(p * ln(p)), 6) AS entropy, round(exp(0 - sum(p * ln(p))), 4) AS effective_support, round(sum(CASE WHEN k <= 10 THEN p END), 6) AS top10_mass, round(1 - sum(CASE WHEN k <= 10 THEN p END), 6) AS tail_mass FROM (SELECT c / n AS p, row_number() OVER (ORDER BY c DESC, v) AS k FROM (SELECT v, CAST(c AS DOUBLE) AS c, CAST(n AS DOUBLE) AS n FROM unigram CROSS JOIN size) u) x", "tokens unigram"),
+    "bigram_entropy": S(
+        "SELECT a, count(*) AS seen, round(0 - sum(c / n * ln(c / n)), 6) AS entropy, max_by(b, c * 1e6 + k) AS likeliest FROM (SELECT a, b, CAST(c AS DOUBLE) AS c, CAST(sum(c) OVER (PARTITION BY a) AS DOUBLE) AS n, row_number() OVER (PARTITION BY a ORDER BY b) AS k FROM bigrams) x GROUP BY a",
+        "tokens", "follow AS (SELECT doc_id, v AS a, lead(v) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM tokens), bigrams AS (SELECT a, b, count(*) AS c FROM follow WHERE b IS NOT NULL GROUP BY a, b)",
+    ),
+    "paragraph_cadence": S(
+        "SELECT doc_id, line_no AS paragraph, count(*) AS n, round(avg(s), 6) AS mean, round(stddev_pop(s) / nullif(avg(s), 0), 6) AS cv, round(corr(CAST(idx AS DOUBLE), s), 6) AS momentum FROM placed GROUP BY doc_id, line_no HAVING count(*) >= 5 AND stddev_pop(s) > 1e-9",
+        "tokens unigram surprisal", "placed AS (SELECT doc_id, idx, s, sum(MATCHES(tok, R'\\n')) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS line_no FROM surprisal)",
+    ),
+    "windowed_cadence": S("SELECT doc_id, win, count(*) AS n, round(avg(s), 6) AS mean, round(avg(s) - avg(avg(s)) OVER (PARTITION BY doc_id), 6) AS relative FROM (SELECT doc_id, s, CAST(floor(idx / 128) AS BIGINT) AS win FROM surprisal) w GROUP BY doc_id, win", "tokens unigram surprisal"),
+    "windowed_weighted_mean": S("SELECT doc_id, round(sum(w * m) / sum(w), 6) AS score, round(max(CASE WHEN w >= 0.25 THEN m END), 6) AS best, round(min(CASE WHEN w >= 0.25 THEN m END), 6) AS worst FROM (SELECT doc_id, CAST(floor(idx / 128) AS BIGINT) AS win, avg(s) AS m, greatest(0.05, least(1.0, count(*) / 128.0)) AS w FROM surprisal GROUP BY doc_id, CAST(floor(idx / 128) AS BIGINT)) x GROUP BY doc_id", "tokens unigram surprisal"),
+    "dead_zones": S(
+        "SELECT doc_id, island, min(idx) AS first, max(idx) + 2 AS last, count(*) AS windows FROM (SELECT doc_id, idx, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM flat WHERE k = 3 AND sd <= greatest(0.5, 0.25 * whole)) f GROUP BY doc_id, island",
+        "sentences", "sized AS (SELECT doc_id, idx, CAST(MATCHES(v, R'[A-Za-z]+') AS DOUBLE) AS n FROM sentences), flat AS (SELECT doc_id, idx, stddev_pop(n) OVER w AS sd, count(*) OVER w AS k, stddev_pop(n) OVER (PARTITION BY doc_id) AS whole FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))",
+    ),
+    "window_starts": S("SELECT d.doc_id, k.k AS win, max(b.at) AS start FROM (SELECT doc_id, length(text) AS n FROM documents) d JOIN ks k ON k.k * 800 < d.n JOIN bounds b ON b.doc_id = d.doc_id AND b.at <= k.k * 800 GROUP BY d.doc_id, k.k", "lines", "ks AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3), bounds AS (SELECT doc_id, CAST(coalesce(sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM lines)"),
+    "type_coercion": S("SELECT doc_id, CASE lang WHEN 'en' THEN 'prose' WHEN 'fr' THEN 'poem' WHEN 'de' THEN 'novel' ELSE 'shortstory' END AS doc_type, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 1 WHEN source IN ('src3', 'src4') THEN 0 END AS label FROM documents"),
+    "primary_score_select": S("SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'trained' WHEN d.n_chars >= 1000 THEN 'rubric' ELSE 'none' END AS origin, coalesce(CAST(100 * l.quality AS DOUBLE), CASE WHEN d.n_chars >= 1000 THEN least(100.0, d.n_chars / 100.0) END) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "negations_numbers": S("SELECT doc_id, MATCHES(lower(text), R'\\b(not|no|never|none|nor)\\b') AS negations, MATCHES(text, R'[0-9]+([.][0-9]+)?%?') AS numbers FROM (SELECT doc_id, text FROM documents) d"),
+    "middle_slice": S("SELECT doc_id, CASE WHEN n >= 25000 THEN substr(text, CAST(floor(n * 0.05) AS INT) + 1, CAST(floor(n * 0.95) AS INT) - CAST(floor(n * 0.05) AS INT)) ELSE text END AS part FROM (SELECT doc_id, text, length(text) AS n FROM documents) d"),
+    "excerpts": S("SELECT doc_id, substr(text, 1, 48) AS head, CASE WHEN length(text) > 48 THEN concat(substr(text, 1, 48), '…') ELSE text END AS shown FROM documents"),
+    "topic_hint": S("SELECT doc_id, v AS first_sentence, MATCHES(v, R'[A-Za-z]+') AS n_words FROM sentences WHERE idx = 0", "sentences"),
+    "representative_doc": S("SELECT doc_type, doc_id FROM (SELECT c.doc_type, c.doc_id, row_number() OVER (PARTITION BY c.doc_type ORDER BY abs(length(c.text) - m.med), c.doc_id) AS k FROM corpus c JOIN (SELECT doc_type, PCT(length(text), 0.5) AS med FROM corpus GROUP BY doc_type) m ON c.doc_type = m.doc_type) r WHERE k = 1", "corpus"),
+    "latest_by_kind": S("SELECT event_type, event_id, k FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) e WHERE k <= 3"),
+    "score_histogram": S("SELECT doc_type, CAST(floor(ln(length(text) + 1)) AS BIGINT) AS bin, count(*) AS n FROM corpus GROUP BY doc_type, CAST(floor(ln(length(text) + 1)) AS BIGINT)", "corpus"),
+    "type_delta": S("SELECT doc_type, round(avg(CASE WHEN lang = 'en' THEN length(text) END) - avg(CASE WHEN lang <> 'en' THEN length(text) END), 6) AS delta FROM corpus GROUP BY doc_type", "corpus"),
+    "skip_reasons": S("SELECT CASE WHEN trim(text) = '' THEN 'blank' WHEN length(text) < 200 THEN 'short' WHEN n > 1 THEN 'duplicate' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) d GROUP BY 1"),
+    "mean_impute": S("SELECT event_id, round(coalesce(v, avg(v) OVER (PARTITION BY user_id), 0e0), 6) AS v FROM (SELECT event_id, user_id, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events) e"),
+    "minmax_clamp": S("SELECT event_id, round(greatest(0.0, least(1.0, (value - lo) / nullif(hi - lo, 0))), 6) AS scaled FROM events CROSS JOIN (SELECT PCT(value, 0.1) AS lo, PCT(value, 0.9) AS hi FROM events) b"),
+    "rating_upsert": S("SELECT user_id AS passage, count(*) AS ratings, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY user_id"),
+    "group_leakage": S("SELECT count(*) AS groups, count(CASE WHEN splits > 1 THEN 1 END) AS leaking FROM (SELECT group_id, count(DISTINCT HEX8(group_id) % 10) AS splits FROM samples GROUP BY group_id) g", "samples"),
+    "gibberish_share": S("SELECT source, round(avg(CASE WHEN ttr > 0.95 AND n > 50 THEN 1e0 ELSE 0e0 END), 6) AS share FROM (SELECT source, doc_id, count(DISTINCT v) / CAST(count(*) AS DOUBLE) AS ttr, count(*) AS n FROM words GROUP BY source, doc_id) w GROUP BY source", "words"),
+}
+
+ALL = {**TEXT, **TOKENS, **SERIES, **CORPUS, **EVALUATION, **MORE}
