@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, extraction, jaccard, lm, mtree, packing, quality, secrets, sharding, toxicity
 from .common import crc_bucket, table
+from .oracles import ORACLES  # noqa: F401
 
 #: Tokenizers that the queries use; where they lie is a parameter of the operators.
 BPE_RANKS, PACK_RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -67,4 +68,3 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op3_extraction": op3_extraction, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_mtree": op8_mtree, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
-ORACLES: dict[str, str] = {}
