@@ -112,7 +112,7 @@ SERIES = {
         "SELECT user_id, min(a) AS first, max(b) AS last, count(*) AS merged FROM (SELECT user_id, a, b, sum(new) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, a, b, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM spans) m) i GROUP BY user_id, island",
         "series", "spans AS (SELECT user_id, idx AS a, idx + CAST(floor(abs(s)) AS BIGINT) % 4 AS b FROM series WHERE idx % 3 = 0)",
     ),
-    "group_advantage": S("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS advantage FROM events"),
+    "group_advantage": S("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id) + 1e-9, 6) AS advantage FROM events"),
     "pairwise_weights": S("SELECT a.user_id, a.idx AS i, b.idx AS j, round(1 / (1 + exp(-0.1 * (a.s - b.s))), 6) AS weight FROM series a JOIN series b ON a.user_id = b.user_id AND a.idx <> b.idx WHERE a.idx < 6 AND b.idx < 6", "series"),
     "zscore": S("SELECT user_id, idx, round((s - avg(s) OVER (PARTITION BY user_id)) / CASE WHEN stddev_pop(s) OVER (PARTITION BY user_id) < 1e-8 THEN 1.0 ELSE stddev_pop(s) OVER (PARTITION BY user_id) END, 6) AS z FROM series", "series"),
 }
@@ -178,7 +178,7 @@ MORE = {
     "window_starts": S("SELECT d.doc_id, k.k AS win, max(b.at) AS start FROM (SELECT doc_id, length(text) AS n FROM documents) d JOIN ks k ON k.k * 800 < d.n JOIN bounds b ON b.doc_id = d.doc_id AND b.at <= k.k * 800 GROUP BY d.doc_id, k.k", "lines", "ks AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3), bounds AS (SELECT doc_id, CAST(coalesce(sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM lines)"),
     "type_coercion": S("SELECT doc_id, CASE lang WHEN 'en' THEN 'prose' WHEN 'fr' THEN 'poem' WHEN 'de' THEN 'novel' ELSE 'shortstory' END AS doc_type, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 1 WHEN source IN ('src3', 'src4') THEN 0 END AS label FROM documents"),
     "primary_score_select": S("SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'trained' WHEN d.n_chars >= 1000 THEN 'rubric' ELSE 'none' END AS origin, coalesce(CAST(100 * l.quality AS DOUBLE), CASE WHEN d.n_chars >= 1000 THEN least(100.0, d.n_chars / 100.0) END) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
-    "negations_numbers": S("SELECT doc_id, MATCHES(lower(text), R'\\b(not|no|never|none|nor)\\b') AS negations, MATCHES(text, R'[0-9]+([.][0-9]+)?%?') AS numbers FROM (SELECT doc_id, text FROM documents) d"),
+    "negations_numbers": S("SELECT doc_id, MATCHES(lower(text), R'(^|[^a-z])(not|no|never|none|nor)([^a-z]|$)') AS negations, MATCHES(text, R'[0-9]+([.][0-9]+)?%?') AS numbers FROM (SELECT doc_id, text FROM documents) d"),
     "middle_slice": S("SELECT doc_id, CASE WHEN n >= 25000 THEN substr(text, CAST(floor(n * 0.05) AS INT) + 1, CAST(floor(n * 0.95) AS INT) - CAST(floor(n * 0.05) AS INT)) ELSE text END AS part FROM (SELECT doc_id, text, length(text) AS n FROM documents) d"),
     "excerpts": S("SELECT doc_id, substr(text, 1, 48) AS head, CASE WHEN length(text) > 48 THEN concat(substr(text, 1, 48), '…') ELSE text END AS shown FROM documents"),
     "topic_hint": S("SELECT doc_id, v AS first_sentence, MATCHES(v, R'[A-Za-z]+') AS n_words FROM sentences WHERE idx = 0", "sentences"),
