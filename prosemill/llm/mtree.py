@@ -2,7 +2,7 @@
 
 Rows are dealt into blocks; each block becomes one M-tree, built once and written to the shared folder. A tree has pages of entries: a routing object (one of
 the vectors), its covering radius, and its distance to the page's own routing object; leaves hold vectors and their distances to the leaf's. Each block of
-queries meets each tree once. Search is best-first: q.x <= q.c + |q| radius for all x below c, and the stored distances to the parent bound q.c and q.x by the
+queries meets each tree once. Search is best-first for each query, in step for the queries of a block: q.x <= q.c + |q| radius for all x below c, and the stored distances to the parent bound q.c and q.x by the
 triangle inequality before anything is computed: q.x <= (|q|^2 + |x|^2 - (d(q,p) - d(x,p))^2) / 2. Nodes and vectors whose bound lies under the k-th score so far
 are skipped; bounds that reach it are not, so ties are found. The best k of each tree are merged for the result.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-PAGE, FANOUT, LARGEST = 128, 16, 2.0**14
+PAGE, FANOUT, LARGEST = 512, 16, 2.0**14
 #: Slack of bounds, which are computed in floating point; scores are integers.
 SLACK = 1e-3
 
@@ -74,37 +74,62 @@ def build(ids: np.ndarray, vectors: np.ndarray, page: int = PAGE, fanout: int =
     return {"ids": ids[perm], "x": x, "xx": (x * x).sum(1), "dx": to_leaf, "c": c, "cc": (c * c).sum(1), "r": np.array(radii), "dp": np.array(parents), "span": np.array(spans), "leaf": np.array(leaves)}
 
 
-def search(t: dict, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Scores and ids of the best k for q, ties to smaller ids, and the number of vectors whose product was computed."""
-    qq, norm = float(q @ q), math.sqrt(float(q @ q))
-    dot = float(t["c"][0] @ q)
-    heap = [(-(dot + norm * t["r"][0]), 0, math.sqrt(max(0.0, qq + t["cc"][0] - 2 * dot)))]
-    scores, ids, least, computed = np.zeros(0), np.zeros(0, np.int64), -math.inf, 0
-    while heap and -heap[0][0] + SLACK >= least:
-        _, node, d = heapq.heappop(heap)
-        a, n = t["span"][node]
-        if t["leaf"][node]:
-            rows = a + np.flatnonzero((qq + t["xx"][a : a + n] - (d - t["dx"][a : a + n]) ** 2) / 2 + SLACK >= least)
-            computed += len(rows)
-            s = t["x"][rows] @ q
-            hit = (s >= least) & (t["ids"][rows] != own)
-            if hit.any():
-                scores, ids = np.concatenate([scores, s[hit]]), np.concatenate([ids, t["ids"][rows[hit]]])
-                best = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[best], ids[best]
-                if len(ids) == k:
-                    least = scores[-1]
-        else:
-            kids = np.arange(a, a + n)
-            kids = kids[(qq + t["cc"][kids] - (d - t["dp"][kids]) ** 2) / 2 + norm * t["r"][kids] + SLACK >= least]
-            dots = t["c"][kids] @ q
-            for kid, dot, bound in zip(kids.tolist(), dots.tolist(), (dots + norm * t["r"][kids]).tolist(), strict=True):
-                if bound + SLACK >= least:
-                    heapq.heappush(heap, (-bound, kid, math.sqrt(max(0.0, qq + t["cc"][kid] - 2 * dot))))
+def search(t: dict, asks: np.ndarray, own: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """Scores and ids of the best k for each of asks, ties to smaller ids, and the number of vectors whose products were computed.
+
+    Each query goes best-first by a heap of its own; in each round, queries that are at the same page compute with it together."""
+    asks = asks.astype(np.float64)
+    qq = (asks * asks).sum(1)
+    norm = np.sqrt(qq)
+    dots = asks @ t["c"][0]
+    heaps = [[(-b, 0, d)] for b, d in zip((dots + norm * t["r"][0]).tolist(), np.sqrt(np.maximum(0, qq + t["cc"][0] - 2 * dots)).tolist(), strict=True)]
+    least, computed = np.full(len(asks), -math.inf), 0
+    scores, ids = [np.zeros(0)] * len(asks), [np.zeros(0, np.int64)] * len(asks)
+    active = list(range(len(asks)))
+    while active:
+        at: dict[int, list[tuple[int, float]]] = {}
+        going, floor = [], least.tolist()
+        for i in active:
+            if heaps[i] and SLACK - heaps[i][0][0] >= floor[i]:
+                _, node, d = heapq.heappop(heaps[i])
+                at.setdefault(node, []).append((i, d))
+                going.append(i)
+        active = going
+        for node, group in at.items():
+            who, d = np.array([i for i, _ in group]), np.array([d for _, d in group])
+            a, n = t["span"][node]
+            low = least[who] - SLACK
+            if t["leaf"][node]:
+                # by the triangle inequality, from distances to the page's routing object alone
+                may = (qq[who] + t["xx"][a : a + n, None] - (d - t["dx"][a : a + n, None]) ** 2) / 2 >= low
+                rows = a + np.flatnonzero(may.any(1))
+                if not len(rows):
+                    continue
+                computed += len(rows) * len(who)
+                s = t["x"][rows] @ asks[who].T
+                hit = (s >= least[who]) & (t["ids"][rows][:, None] != own[who])
+                for j in np.flatnonzero(hit.any(0)).tolist():
+                    i, found = who[j], rows[hit[:, j]]
+                    sc, ix = np.concatenate([scores[i], s[hit[:, j], j]]), np.concatenate([ids[i], t["ids"][found]])
+                    best = np.lexsort((ix, -sc))[:k]
+                    scores[i], ids[i] = sc[best], ix[best]
+                    if len(best) == k:
+                        least[i] = sc[best[-1]]
+            else:
+                kids = np.arange(a, a + n)
+                bound = (qq[who] + t["cc"][kids, None] - (d - t["dp"][kids, None]) ** 2) / 2 + norm[who] * t["r"][kids, None]
+                kids = kids[(bound >= low).any(1)]
+                dots = t["c"][kids] @ asks[who].T
+                bound = dots + norm[who] * t["r"][kids, None]
+                away = np.sqrt(np.maximum(0, qq[who] + t["cc"][kids, None] - 2 * dots))
+                for j, i in enumerate(who.tolist()):
+                    for kid, b, x, ok in zip(kids.tolist(), bound[:, j].tolist(), away[:, j].tolist(), (bound[:, j] >= low[j]).tolist(), strict=True):
+                        if ok:
+                            heapq.heappush(heaps[i], (-b, kid, x))
     return scores, ids, computed
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding", tree_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding", tree_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's best k. is_query: a condition on the columns of df."""
     fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("query")).where(F.col("id").isNotNull() & fine)
@@ -131,9 +156,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, key
         for pdf in frames:
             for data, asks in zip(pdf["data"], pdf["asks"], strict=True):
                 tree, (ids, vectors) = pickle.loads(data), pickle.loads(asks)
-                for own, v in zip(ids.tolist(), vectors.astype(np.float64), strict=True):
-                    scores, found, _ = search(tree, v, own, k)
-                    yield pd.DataFrame({"query_id": own, "vec_id": found, "score": scores.astype(np.int64)})
+                scores, found, _ = search(tree, vectors, ids, k)
+                lens = [len(f) for f in found]
+                yield pd.DataFrame({"query_id": np.repeat(ids, lens), "vec_id": np.concatenate(found), "score": np.concatenate(scores).astype(np.int64)})
 
     met = grown.join(asked.hint("shuffle_hash"), "tree").select("data", "asks").repartition(max(1, min(trees * blocks, 2000)))
     found = met.mapInPandas(run, "query_id long, vec_id long, score long")

@@ -45,6 +45,6 @@ def test_bounds_spare_computations():
     rng = np.random.default_rng(1)
     middles = rng.normal(0, 200, (20, 8))
     v = np.rint(np.concatenate([m + rng.normal(0, 3, (300, 8)) for m in middles])).astype(np.int32)
-    t = mtree.build(np.arange(len(v)), v)
-    scores, _, computed = mtree.search(t, v[5].astype(float), 5, 20)
-    assert computed < len(v) / 4 and scores[0] == np.delete(v @ v[5], 5).max()
+    t = mtree.build(np.arange(len(v)), v, page=128)
+    scores, _, computed = mtree.search(t, v[5:6], np.array([5]), 20)
+    assert computed < len(v) / 4 and scores[0][0] == np.delete(v @ v[5], 5).max()
