@@ -73,6 +73,16 @@ def test_quality_rejects_symbols_and_keeps_clean(docs):
     assert sum(r.kept for r in clean) >= 0.9 * len(clean)
 
 
+def test_quality_tells_marks_and_scripts_apart(docs):
+    clean = docs.where("doc_id < 10000 and n_chars > 400 and lang = 'en' and text not like '%#%' and text not like '%|%'").limit(20)
+    bangs = clean.withColumns({"text": F.replace("text", F.lit("."), F.lit("!!!!")), "doc_id": F.col("doc_id") + 60_000})
+    letters = clean.withColumns({"text": F.concat("text", F.lit(" "), F.expr("repeat('漢字仮名', cast(length(text) / 20 as int))")), "doc_id": F.col("doc_id") + 70_000})
+    rows = {r.doc_id: r for r in quality.assess(docs.unionByName(bangs).unionByName(letters)).select("doc_id", "quality.*").collect()}
+    for base in (60_000, 70_000):
+        made = [r for d, r in rows.items() if base <= d < base + 10_000 and rows[d - base].kept and r.char_distance is not None]
+        assert len(made) >= 10 and sum(r.kept for r in made) <= 0.1 * len(made)
+
+
 def brute_spans(t):
     rules = [re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("(AKIA[A-Z0-9]+)"), re.compile("([0-9a-f]+)")]
     return sorted((m.start(), k, m.end()) for k, (p, least) in enumerate(zip(rules, (6, 20, 24))) for m in p.finditer(t) if len(m[1]) >= least)
