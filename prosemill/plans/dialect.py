@@ -18,10 +18,10 @@ WORD, TOKEN, SENTENCE = r"[A-Za-z]+(?:\'[A-Za-z]+)?", r" ?\p{L}+| ?\p{N}+| ?[^\s
 
 
 def _list(name: str, pattern: str, value: str, cap: int = 0) -> dict[str, str]:
-    """A view of a document's matches: doc_id, source, idx from 0, value."""
+    """A view of a document's matches: doc_id, source, idx from 0, value. cap: matches a document that DuckDB's SQL keeps (0: all); Spark's query has no cap."""
     duck = pattern.replace(r"\'", "''")
     return {
-        "spark": f"{name} AS (SELECT doc_id, source, CAST(t.pos AS BIGINT) AS idx, {value} AS v FROM documents LATERAL VIEW posexplode({'slice(' * bool(cap)}regexp_extract_all(text, r\"{pattern.replace(chr(92) + chr(39), chr(39))}\", 0){f', 1, {cap})' if cap else ''}) t AS pos, m)",
+        "spark": f"{name} AS (SELECT doc_id, source, CAST(t.pos AS BIGINT) AS idx, {value} AS v FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, r\"{pattern.replace(chr(92) + chr(39), chr(39))}\", 0)) t AS pos, m)",
         "duck": f"{name} AS (SELECT doc_id, source, idx, {value} AS v FROM (SELECT doc_id, source, unnest(range(len(l))) AS idx, unnest(l) AS m FROM (SELECT doc_id, source, regexp_extract_all(text, '{duck}'){f'[1:{cap}]' if cap else ''} AS l FROM documents)))",
     }
 

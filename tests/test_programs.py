@@ -66,3 +66,10 @@ def test_sources(spark, tmp_path):
     assert sorted((r.path.rsplit("/", 1)[1], r.text) for r in corpus.books(spark, str(tmp_path)).collect()) == [("bad.epub", None), ("book.epub", "text b\n\ntext a")]
     with pytest.raises(ValueError, match="no reader"):
         corpus.manifest(spark, "x.doc")
+
+
+def test_words_of_long_texts_all_count(spark, tmp_path):
+    spark.createDataFrame([(1, "left right " * 3500, "en", "a", 38500)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.n_words, r.n_distinct) for r in run("word_counts_per_doc")] == [(7000, 2)] and [r.n for r in run("repeat_rates")] == [7000]
+    assert len(run("word_chunks")) == 14
