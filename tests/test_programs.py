@@ -48,6 +48,14 @@ def test_spectrum_finds_the_period(spark):
     assert [(r.k, r.n, r.peak_period) for r in got] == [(1, 64, 8.0)]
 
 
+def test_spectrum_of_long_series_is_that_of_the_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, float(rng.normal() + np.sin(2 * np.pi * i / 50))) for k, n in ((1, 997), (2, 1024), (3, 90), (None, 1500)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, v double").repartition(3)
+    got, want = ({r.k: tuple(r)[1:] for r in series.spectrum(df, "k", ["i"], "v", most=most).collect()} for most in (100, 10_000))
+    assert got.keys() == want.keys() == {1, 2, 3, None} and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in got) and got[1][0] == 997
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n\nnot json\n[1]\n{"x": 2}\n')
     assert sorted(r.x for r in corpus.json_lines(spark, [str(tmp_path / "a.jsonl")], "x int").collect()) == [1, 2]
