@@ -6,12 +6,13 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, series
 from ..streaming import ingest
+from .dialect import SENTENCE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,17 +48,36 @@ def nearest_centroid_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.centroid_folds(_table(spark, sf_dir, "embeddings"), "vec_id", "label", F.col("vec_id") % 5, "embedding")
 
 
-def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the metrics that need no token model, by document type."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("poem", "shortstory", "novel", "prose")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("slice"), "text")
-    words = docs.select("doc_id", "slice", F.length("text").alias("n"), F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w)).alias("w"), F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N}\s]"), F.lit(0)).alias("p"))
+def _variation(a: Column) -> Column:
+    """Standard deviation over mean of an array of two counts or more, not all 0."""
+    total = lambda f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x.cast("double")))
+    mean = total(lambda x: x) / F.size(a)
+    squares = total(lambda x: x * x) / F.size(a)  # the mean within the function would be computed for each element
+    return F.when((F.size(a) >= 2) & (mean > 0), F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)) / mean)
+
+
+def rubric_metrics(docs: DataFrame) -> DataFrame:
+    """doc_id, slice, metric, value of the six rubric metrics that need the text alone."""
+    word = "[A-Za-z]+"
+    words = docs.select("doc_id", "slice", F.length("text").alias("n"), F.transform(F.regexp_extract_all("text", F.lit(word), F.lit(0)), lambda w: F.lower(w)).alias("w"), F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N}\s]"), F.lit(0)).alias("p"), F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: F.regexp_count(x, F.lit(word))).alias("s"))
+    words = words.withColumns({"o": F.array_sort("w"), "y": F.transform("w", T.vowel_groups)})
+    other = lambda x, i: F.coalesce(F.get("o", i) != x, F.lit(True))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
     values = {
         "word_ttr": F.when(F.size("w") > 0, F.size(F.array_distinct("w")) / F.greatest(F.lit(1), F.size("w"))),
+        "word_hapax_ratio": F.when(F.size("w") > 0, F.size(F.filter("o", lambda x, i: other(x, i - 1) & other(x, i + 1))) / F.greatest(F.lit(1), F.size("w"))),
+        "sent_words_cv": _variation(F.col("s")),
+        "syllables_per_word_cv": _variation(F.col("y")),
         "trigram_repeat_rate": F.when(F.size("w") >= 3, 1 - F.size(F.array_distinct(grams)) / F.greatest(F.lit(1), F.size("w") - 2)),
         "punct_variety_per_1000_chars": F.when(F.col("n") >= 200, 1000.0 * F.size(F.array_distinct("p")) / F.greatest(F.lit(1), F.col("n"))),
     }
-    long = words.select("doc_id", "slice", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("x")).select("doc_id", "slice", "x.*")
+    return words.select("doc_id", "slice", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("x")).select("doc_id", "slice", "x.*")
+
+
+def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the metrics that need the text alone, by document type, against 201 quantiles of each metric."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("poem", "shortstory", "novel", "prose")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("slice"), "text")
+    long = rubric_metrics(docs)
     baseline = long.where(F.col("value").isNotNull()).groupBy("slice", "metric").agg(F.percentile("value", [i / 200 for i in range(201)]).alias("values"))
     return evaluation.overall(evaluation.rubric(long, baseline))
 

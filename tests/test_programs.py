@@ -81,3 +81,11 @@ def test_words_of_long_texts_all_count(spark, tmp_path):
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
     assert [(r.n_words, r.n_distinct) for r in run("word_counts_per_doc")] == [(7000, 2)] and [r.n for r in run("repeat_rates")] == [7000]
     assert len(run("word_chunks")) == 14
+
+
+def test_rubric_metrics_of_the_text_alone(spark):
+    rows = spark.createDataFrame([(1, "novel", "One tree fell. A tree and one table stood there! Go"), (2, "poem", ""), (3, "poem", None)], "doc_id long, slice string, text string")
+    got = {(r.doc_id, r.metric): r.value for r in programs.rubric_metrics(rows).collect()}
+    cv = lambda x: pytest.approx(np.std(x) / np.mean(x))
+    assert got[1, "word_hapax_ratio"] == pytest.approx(7 / 11) and got[1, "sent_words_cv"] == cv([3, 7, 1]) and got[1, "syllables_per_word_cv"] == cv([1] * 7 + [2] + [1] * 3)
+    assert all(got[i, m] is None for i in (2, 3) for m in ("word_hapax_ratio", "sent_words_cv", "syllables_per_word_cv"))
