@@ -56,6 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has such a column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold that a row belongs to."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .quality import CHAR_LIMIT, CLASSES, COUNTED, LEAST_CHARS, LEAST_WORDS, SHORT, WORD_LIMIT
+from .quality import CHAR_LIMIT, LEAST_CHARS, LEAST_WORDS, SHARES, SHORT, WORD_LIMIT
+from .quality import KINDS as CHARS
 from .secrets import CANDIDATE, DISTINCT, KINDS, RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,28 +34,28 @@ def secrets(example_owners: int = 3) -> str:
  sha256(coalesce(string_agg({line}, ',' ORDER BY start, kind) FILTER (WHERE kind < {len(RULES)}), '')) AS base_sha256, coalesce(string_agg({line}, ',' ORDER BY start, kind), '') AS spans FROM documents d LEFT JOIN every e ON e.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
-def quality(common: int = 12, min_share: float = 0.001) -> str:
-    counts = ", ".join(f"len(regexp_extract_all(t, '{p}')) AS {k}" for k, p in COUNTED.items())
-    sums = ", ".join(f"sum({k} / chars::DOUBLE) AS {k}" for k in CLASSES)
-    means = ", ".join(f"round(sum({k}) / sum(n), 9)" for k in CLASSES)
+def quality(common: int = 12) -> str:
+    counts = ", ".join("len(regexp_extract_all(t, '" + p.replace("'", "''") + f"')) AS {k}" for k, p in CHARS.items())
+    sums = ", ".join(f"sum({k} / chars::DOUBLE) AS {k}" for k in SHARES)
+    means = ", ".join(f"round({k} / n, 9)" for k in SHARES)
     part = lambda a, m: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / ({m})) ELSE 0 END"
     js = lambda p, q: f"sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(f'{p}[i]', f'({p}[i] + {q}[i]) / 2')} / 2 + {part(f'{q}[i]', f'({p}[i] + {q}[i]) / 2')} / 2))))"
     rest = lambda a: f"list_append({a}, greatest(0.0, 1 - coalesce(list_sum({a}), 0)))"
     return rf"""WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_BLANKS}'), lambda x: x <> '') AS w FROM documents),
- c0 AS (SELECT *, len(w) AS words, length(array_to_string(w, '')) AS chars, {counts} FROM w), c AS (SELECT *, chars - ({" + ".join(COUNTED)}) AS lower FROM c0),
- plain AS (SELECT * FROM c WHERE words >= 10 AND 100 * symbol <= chars AND 100 * mark <= 15 * chars AND 10 * upper <= 3 * chars),
+ c0 AS (SELECT *, len(w) AS words, length(array_to_string(w, '')) AS chars, {counts} FROM w), c AS (SELECT *, chars - ({" + ".join(CHARS)}) AS lower FROM c0),
+ plain AS (SELECT * FROM c WHERE words >= 10 AND 100 * symbol <= chars AND 100 * bang <= 3 * chars AND 10 * upper <= 3 * chars),
  s AS (SELECT lang, count(*) AS n, sum(words)::DOUBLE AS words, {sums} FROM plain GROUP BY lang),
- v AS (SELECT lang, lower(x) AS x, count(*) AS c FROM (SELECT lang, unnest(list_filter(w, lambda y: length(y) <= {SHORT} AND regexp_matches(y, '^\p{{L}}+$'))) AS x FROM plain) GROUP BY lang, lower(x)),
- shares AS (SELECT FALSE AS pool, lang, n AS n, words, [{means.replace("sum(", "(")}] AS classes FROM s UNION ALL SELECT TRUE, NULL, sum(n), sum(words), [{means}] FROM s),
- top AS (SELECT FALSE AS pool, lang, list(x ORDER BY c DESC, x)[1:{common}] AS xs, list(c ORDER BY c DESC, x)[1:{common}] AS cs FROM v GROUP BY lang UNION ALL SELECT TRUE, NULL, list(x ORDER BY c DESC, x)[1:{common}], list(c ORDER BY c DESC, x)[1:{common}] FROM (SELECT x, sum(c) AS c FROM v GROUP BY x)),
- ref AS (SELECT a.pool, a.lang, a.classes, coalesce(b.xs, []) AS xs, list_transform(coalesce(b.cs, []), lambda y: y / a.words) AS share FROM shares a LEFT JOIN top b ON a.pool = b.pool AND a.lang IS NOT DISTINCT FROM b.lang WHERE a.pool OR a.n >= {min_share} * (SELECT n FROM shares WHERE pool)),
+ v AS (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(list_transform(list_filter(w, lambda y: length(y) <= {SHORT}), lambda y: lower(y))) AS x FROM plain) WHERE regexp_matches(x, '^\p{{L}}+$') GROUP BY lang, x),
+ top AS (SELECT lang, list(x ORDER BY c DESC, x)[1:{common}] AS xs, list(c ORDER BY c DESC, x)[1:{common}] AS cs FROM v GROUP BY lang),
+ ref AS (SELECT s.lang, [{means}] AS classes, coalesce(b.xs, []) AS xs, list_transform(coalesce(b.cs, []), lambda y: y / s.words) AS share FROM s LEFT JOIN top b ON s.lang IS NOT DISTINCT FROM b.lang),
  grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
  often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM grams) WHERE k > 1),
  cover AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM often) GROUP BY doc_id),
- lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM w),
- met AS (SELECT c.*, coalesce(o.classes, p.classes) AS classes, coalesce(o.xs, p.xs) AS xs, coalesce(o.share, p.share) AS share, lower(' ' || array_to_string(c.w, '  ') || ' ') AS norm, coalesce(k.n, 0) AS repeats, len(li.l) - len(list_distinct(li.l)) AS dups
-  FROM c JOIN lines li ON li.doc_id = c.doc_id LEFT JOIN cover k ON k.doc_id = c.doc_id LEFT JOIN (SELECT * FROM ref WHERE pool) p ON TRUE LEFT JOIN (SELECT * FROM ref WHERE NOT pool) o ON o.lang IS NOT DISTINCT FROM c.lang),
- hit AS (SELECT *, list_transform(xs, lambda x: (length(norm) - length(replace(norm, ' ' || x || ' ', ''))) / (length(x) + 2) / greatest(1, words)) AS hits, [{", ".join(f"{k} / greatest(1, chars)::DOUBLE" for k in CLASSES)}] AS own, words < 10 OR 100 * repeats > 20 * words AS failed FROM met)
+ lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM w),
+ met AS (SELECT c.*, o.classes, coalesce(o.xs, []) AS xs, coalesce(o.share, []) AS share, list_transform(c.w, lambda x: lower(x)) AS low, coalesce(k.n, 0) AS repeats, len(li.l) - len(list_distinct(li.l)) AS dups
+  FROM c JOIN lines li ON li.doc_id = c.doc_id LEFT JOIN cover k ON k.doc_id = c.doc_id LEFT JOIN ref o ON o.lang IS NOT DISTINCT FROM c.lang),
+ hit AS (SELECT *, list_transform(xs, lambda x: len(list_filter(low, lambda y: y = x)) / greatest(1, words)) AS hits, [{", ".join(f"{k} / greatest(1, chars)::DOUBLE" for k in SHARES)}] AS own, words < 10 OR 100 * repeats > 20 * words AS failed FROM met)
  SELECT doc_id, words::BIGINT AS n_words, chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines, repeats::BIGINT AS n_repeat_words, failed AS base_failed,
  NOT failed AND NOT coalesce(chars >= {LEAST_CHARS} AND {js("own", "classes")} > {CHAR_LIMIT}, FALSE) AND NOT coalesce(words >= {LEAST_WORDS} AND {js(rest("hits"), rest("share"))} > {WORD_LIMIT}, FALSE) AS kept FROM hit"""
 
