@@ -19,17 +19,17 @@ def jaccard(n: int = 4, percent: int = 85) -> str:
  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n"""
 
 
-def secrets(example_owners: int = 3) -> str:
+def secrets(example_owners: int = 3, example_repositories: int = 6) -> str:
     rules = [(k, p.replace("(?i:", "(?i:").replace("'", "''"), g, least) for k, (_, _, p, g, least) in enumerate(RULES)] + [(len(RULES), CANDIDATE, 0, 0)]
-    found = " UNION ALL ".join(f"SELECT doc_id, source, {k} AS kind, {least} AS least, string_split_regex(coalesce(text, ''), '{p}') AS gaps, regexp_extract_all(coalesce(text, ''), '{p}') AS f, regexp_extract_all(coalesce(text, ''), '{p}', {g}) AS h FROM documents" for k, p, g, least in rules)
+    found = " UNION ALL ".join(f"SELECT doc_id, source, concat_ws('/', source, lang) AS repo, {k} AS kind, {least} AS least, string_split_regex(coalesce(text, ''), '{p}') AS gaps, regexp_extract_all(coalesce(text, ''), '{p}') AS f, regexp_extract_all(coalesce(text, ''), '{p}', {g}) AS h FROM documents" for k, p, g, least in rules)
     names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
     line = f"{names}[kind + 1] || ':' || start || ':' || stop"
     return f"""WITH found AS ({found}), each AS (SELECT *, unnest(range(len(f))) AS i FROM found),
- spans AS (SELECT doc_id, source, kind, least, h[i + 1] AS v, CAST(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i], lambda x: length(x))), 0) AS BIGINT) AS start, length(f[i + 1]) AS l FROM each),
+ spans AS (SELECT doc_id, source, repo, kind, least, h[i + 1] AS v, CAST(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i], lambda x: length(x))), 0) AS BIGINT) AS start, length(f[i + 1]) AS l FROM each),
  placed AS (SELECT *, start + l AS stop FROM spans WHERE length(v) >= least), base AS (SELECT * FROM placed WHERE kind < {len(RULES)}),
  more AS (SELECT * FROM placed p WHERE kind = {len(RULES)} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {DISTINCT} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.start < p.stop AND p.start < b.stop)),
- owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n FROM (SELECT v, source FROM base UNION ALL SELECT v, source FROM more) GROUP BY v),
- every AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT m.doc_id, m.kind, m.start, m.stop FROM more m JOIN owners o ON o.v = m.v WHERE o.n < {example_owners})
+ owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n, count(DISTINCT repo) AS r FROM (SELECT v, source, repo FROM base UNION ALL SELECT v, source, repo FROM more) GROUP BY v),
+ every AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT m.doc_id, m.kind, m.start, m.stop FROM more m JOIN owners o ON o.v = m.v WHERE o.n < {example_owners} AND o.r < {example_repositories})
  SELECT d.doc_id, count(CASE WHEN kind = 0 THEN 1 END) AS n_assign, count(CASE WHEN kind = 1 THEN 1 END) AS n_access, count(CASE WHEN kind = 2 THEN 1 END) AS n_hex,
  sha256(coalesce(string_agg({line}, ',' ORDER BY start, kind) FILTER (WHERE kind < {len(RULES)}), '')) AS base_sha256, coalesce(string_agg({line}, ',' ORDER BY start, kind), '') AS spans FROM documents d LEFT JOIN every e ON e.doc_id = d.doc_id GROUP BY d.doc_id"""
 

@@ -10,6 +10,7 @@ table gives an empty result. Results follow the order of rows within partitions,
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,22 +30,43 @@ PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
+def _of_json(path: str) -> tuple[dict[bytes, int] | None, dict[str, int]]:
+    """Ranks and special tokens of a tokenizers file; no ranks if it isn't byte-level BPE whose ids follow its merges, or changes text before."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    model, special = own["model"], {t["content"]: t["id"] for t in own["added_tokens"]}
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as themselves; the others from U+0100 on
+    spelled = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    plain = own["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not own["normalizer"] and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in own["added_tokens"])
+    if model["type"] != "BPE" or not plain or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None, special
+    return {bytes(spelled[c] for c in t): i for t, i in model["vocab"].items() if t not in special}, special
+
+
 def _encoder(path: str, pattern: str) -> PieceEncoder:
-    """Of a tokenizers file (.json) or of ranks (any other); the first use in a process reads the file."""
+    """Of a tokenizers file (.json), special tokens in the text included, or of ranks (any other); the first use in a process reads the file.
+
+    Where a tokenizers file is plain byte-level BPE, tiktoken takes its merges and special tokens: the ids are those of the library, in less time."""
     if (path, pattern) not in _ENCODERS:
-        if path.endswith(".json"):
+        ranks, special = _of_json(local_file(path)) if path.endswith(".json") else (read_ranks(local_file(path)), {})
+        if ranks is None:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(local_file(path))
-            own.encode_special_tokens = True
-            encode: Callable[[str], list[int]] = lambda t: own.encode(t, add_special_tokens=False).ids
+            ids_of: Callable[[list[str]], list[list[int]]] = lambda ts: [e.ids for e in own.encode_batch_fast(ts, add_special_tokens=False)]
         else:
             import tiktoken
 
-            encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(local_file(path)), special_tokens={}).encode_ordinary
+            held = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            ids_of = lambda ts: [held.encode(t, allowed_special="all") if "<|" in t else held.encode_ordinary(t) for t in ts]
+            if any("<|" not in t for t in special):
+                ids_of = lambda ts: [held.encode(t, allowed_special="all") for t in ts]
+        if any(" " in t for t in special):
+            raise ValueError(f"special tokens with blanks: {path}")
 
         def many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [encode(t) for t in texts]
+            ids = ids_of(texts)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum())), lens
 

@@ -13,7 +13,7 @@ from .common import crc_bucket, table
 from .oracles import ORACLES  # noqa: F401
 
 #: Tokenizers that the queries use; where they lie is a parameter of the operators.
-BPE_RANKS, PACK_RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+BPE_RANKS, PACK_TOKENIZER, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), PACK_RANKS, PATTERN, end_id=0).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, PATTERN, end_id=0).drop("ids")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Secret scans with ownership frequency across the corpus.
 
 Rules give base spans. Further candidates are long tokens of mixed letters and digits outside base spans. All matched values are counted by hash over the
-corpus: distinct repositories and distinct owners. A value that `example_owners` owners or more share is a copied example; one of fewer owners is
-owner-specific and looks live. Live-looking candidates become spans of kind `owned`; base spans stay whatever their class.
+corpus: distinct repositories and distinct owners. A value that `example_owners` owners or `example_repositories` repositories or more hold is a copied
+example; one that few hold is owner-specific and looks live. Live-looking candidates become spans of kind `owned`; base spans stay whatever their class.
 
 Text is read once: what it yields (spans and hashes) is written to the shared folder, and counting works on that alone. Counting pre-aggregates by
 (hash, repository, owner), so a value in a third of all rows costs each task one row. Built-in functions only.
@@ -50,21 +50,21 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None, example_owners: int = 3) -> DataFrame:
-    """A row per row of df: key, base and owned (arrays of spans), n_live and n_example (base values by class)."""
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None, example_owners: int = 3, example_repositories: int = 6) -> DataFrame:
+    """A row per row of df: key, row_id, text_hash, base and owned (arrays of spans), n_live and n_example (base values by class)."""
     repository, owner = (F.col("source") if repository is None else repository), (F.col("source") if owner is None else owner)
     t = F.coalesce(F.col("_t"), F.lit(""))
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), repository.cast("string").alias("_r"), owner.cast("string").alias("_o"))
+    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_x"), repository.cast("string").alias("_r"), owner.cast("string").alias("_o"))
     rows = rows.withColumns({f"_s{i}": _spans(t, i, test, pattern, group, least) for i, (_, test, pattern, group, least) in enumerate(RULES)})
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= DISTINCT)
     rows = rows.withColumn("_base", F.concat(*[F.col(f"_s{i}") for i in range(len(RULES))])).withColumn("_more", _spans(t, len(RULES), rf"[A-Za-z0-9+/_=-]{{{LEAST}}}", CANDIDATE, 0, LEAST))
     apart = lambda x: mixed(x["value"]) & ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
     hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.xxhash64(x["value"]).alias("hash")))
-    found = materialise(rows.select("_k", "_r", "_o", F.monotonically_increasing_id().alias("_id"), hashed(F.col("_base")).alias("base"), hashed(F.filter("_more", apart)).alias("more")), "secrets")
+    found = materialise(rows.select("_k", "_x", "_r", "_o", F.monotonically_increasing_id().alias("_id"), hashed(F.col("_base")).alias("base"), hashed(F.filter("_more", apart)).alias("more")), "secrets")
     each = found.select("_id", "_r", "_o", F.explode(F.concat("base", "more")).alias("s"))
     own = each.select(F.col("s.hash").alias("hash"), "_r", "_o").groupBy("hash", "_r", "_o").count()
     owners = own.groupBy("hash").agg(F.count_distinct(F.struct("_r")).alias("repositories"), F.count_distinct(F.struct("_o")).alias("owners"))
-    shared = owners.where(F.col("owners") >= example_owners).select(F.col("hash").alias("_h"), F.lit(True).alias("example"))
+    shared = owners.where((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)).select(F.col("hash").alias("_h"), F.lit(True).alias("example"))
     marked = each.select("_id", "s", F.col("s.hash").alias("_h")).join(shared, "_h", "left")
     live = F.col("example").isNull()
     per = marked.groupBy("_id").agg(
@@ -73,7 +73,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: Col
     )
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,hash:bigint>>")
     out = found.join(per, "_id", "left")
-    return out.select(F.col("_k").alias(key), F.col("_id").alias("row_id"), "base", F.coalesce("owned", none).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    return out.select(F.col("_k").alias(key), F.col("_id").alias("row_id"), F.col("_x").alias("text_hash"), "base", F.coalesce("owned", none).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
 
 def masked(text: Column, spans: Column, by: str = "[secret]") -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from .common import materialise
 
 DIMS = ["c_len", "c_lang", "c_source"]
-QUANTILES, CELLS, ROUNDS, PARTS, SLOT_BUCKETS = 64, 4096, 5, 100, 64
+QUANTILES, CELLS, ROUNDS, PARTS, SLOT_ROWS = 64, 4096, 5, 100, 50_000
 
 
 def _constant(rows: list, kind: str) -> Column:
@@ -93,14 +93,14 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", l
     t = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         F.col(key).alias("_k"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(F.col(text).isNull(), t).alias("g"),
-        F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"),
+        F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"), F.monotonically_increasing_id().alias("r"),
     )
     rows = materialise(rows, "sharding-rows")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     part = max(1, total // (shards * PARTS))
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.min("l").alias("l"), F.min("s").alias("s"), F.max("size").alias("one"))
     large = groups.where(F.col("bytes") > part).select("g", F.ceil(F.col("bytes") / part).cast("int").alias("n"))  # shards * PARTS groups at most
-    rows = rows.join(F.broadcast(large), "g", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("_k"), F.col("n")), F.lit(0)).cast("int")).drop("n")
+    rows = rows.join(F.broadcast(large), "g", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("r"), F.col("n")), F.lit(0)).cast("int")).drop("n")
     first = groups.select("g", F.col("l").alias("gl"), F.col("s").alias("gs"))
     units = rows.groupBy("g", "chunk").agg(F.sum("size").alias("bytes"), F.max("size").alias("one")).join(first, "g")
     tie = F.shiftrightunsigned(F.col("g"), 44) * 4096 + F.least(F.col("chunk"), F.lit(4095))  # chunks of a unit stay neighbours
@@ -108,7 +108,8 @@ def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", l
     named = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(2**20))
     units = materialise(units.select("g", "chunk", "bytes", wide(F.floor(F.log2("one") * 4096)).alias("c_len"), wide(named("gl")).alias("c_lang"), wide(named("gs")).alias("c_source")), "sharding-units")
     placed = materialise(tree(units, shards).select("g", "chunk", "shard"), "sharding-leaves")
-    rows = rows.join(placed, ["g", "chunk"]).withColumn("b", F.pmod(F.xxhash64("_k"), F.lit(SLOT_BUCKETS)).cast("int"))
-    counts = rows.groupBy("shard", "b").agg(F.count("*").alias("n")).withColumn("begin", F.sum("n").over(W.partitionBy("shard").orderBy("b")) - F.col("n")).drop("n")  # shards * SLOT_BUCKETS rows
-    slot = F.row_number().over(W.partitionBy("shard", "b").orderBy("_k", "crc", "size")) - 1 + F.col("begin")
+    buckets = max(64, -(-n // (shards * SLOT_ROWS)))
+    rows = rows.join(placed, ["g", "chunk"]).withColumn("b", F.pmod(F.xxhash64("r"), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("shard", "b").agg(F.count("*").alias("n")).withColumn("begin", F.sum("n").over(W.partitionBy("shard").orderBy("b")) - F.col("n")).drop("n")  # a row per SLOT_ROWS rows
+    slot = F.row_number().over(W.partitionBy("shard", "b").orderBy("_k", "crc", "size", "r")) - 1 + F.col("begin")
     return rows.join(F.broadcast(counts), ["shard", "b"]).select(F.col("_k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", slot.cast("long").alias("slot"))

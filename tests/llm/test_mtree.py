@@ -10,11 +10,11 @@ from prosemill.llm import mtree
 
 
 def brute(rows, k):
-    fine = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, [max(-(2**63), min(2**63 - 1, math.floor(64 * x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in {i: v for i, v in sorted(fine, key=lambda r: r[1], reverse=True)}.items():
+    for at, (q, a) in enumerate(fine):
         if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in fine if i != q)[:k]
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))), i) for j, (i, b) in enumerate(fine) if j != at)[:k]
             out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -45,6 +45,16 @@ def test_bounds_spare_computations():
     rng = np.random.default_rng(1)
     middles = rng.normal(0, 200, (20, 8))
     v = np.rint(np.concatenate([m + rng.normal(0, 3, (300, 8)) for m in middles])).astype(np.int32)
-    t = mtree.build(np.arange(len(v)), v, page=128)
-    scores, _, computed = mtree.search(t, v[5:6], np.array([5]), 20)
+    t = mtree.build(np.arange(len(v)), np.arange(len(v)), v, page=128)
+    scores, _, _, computed = mtree.search(t, v[5:6], np.array([5]), 20)
     assert computed < len(v) / 4 and scores[0][0] == np.delete(v @ v[5], 5).max()
+
+
+def test_any_finite_components_and_lengths(spark):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 0.0]), (1, [20000.0, 0.0]), (2, [40000.0, 0.0])]
+    assert found(spark.createDataFrame(rows, kind))[:2] == [(0, 1, 2, 163_840_000), (0, 2, 1, 81_920_000)]
+    rng = random.Random(4)
+    for size in (1e5, 3e7, 1e300):
+        rows = [(i, [rng.uniform(-size, size) for _ in range(rng.choice([1, 3, 5]))]) for i in range(90)] + [(None, [1.0]), (20, [size]), (20, [-size])]
+        assert found(spark.createDataFrame(rows, kind), tree_rows=64) == brute(rows, 20)

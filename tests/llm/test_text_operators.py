@@ -26,10 +26,9 @@ def test_bpe_is_as_tiktoken_and_comes_back(docs, texts):
 
 def test_packing_holds_each_id_once_with_little_padding(docs, texts):
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     for kwargs in ({}, {"length": 64, "open_windows": 3, "min_piece": 4, "fan_in": 2}):
         length = kwargs.get("length", 1024)
-        rows = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, end_id=0, with_ids=True, **kwargs).collect()
+        rows = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, end_id=0, with_ids=True, **kwargs).collect()
         by_doc, by_seq = defaultdict(list), defaultdict(list)
         for r in rows:
             assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
@@ -101,3 +100,22 @@ def test_owner_specific_candidates_become_spans(spark):
     got = {(r.doc_id, r.row_id): [(s.start, s.stop) for s in r.owned] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert sorted((d, tuple(s)) for (d, _), s in got.items()) == [(1, ((2, 24),)), (2, ()), (3, ()), (4, ()), (4, ((0, 22),))]
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_copied_examples_are_told_by_owners_and_repositories(spark):
+    token = "q8Q7w6E5r4T3y2U1i0O9Zx"
+    rows = [(i, f"x {token} {i}", f"owner{i % 2}", f"repo{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    live = lambda **k: sum(len(r.owned) for r in secrets.scan(df, repository=F.col("repo"), owner=F.col("owner"), **k).collect())
+    assert (live(), live(example_repositories=7), live(example_owners=2, example_repositories=7)) == (0, 6, 0)
+
+
+def test_clashing_names_pass_through(docs):
+    clash = docs.withColumns({"_q_n": F.lit("a"), "_q_words": F.lit("b"), "C0": F.lit("c"), "quality": F.lit("d")})
+    r = quality.assess(clash).first()
+    assert (r["_q_n"], r["_q_words"], r["C0"]) == ("a", "b", "c") and r["quality"]["n_words"] >= 0
+    more = docs.withColumns({"ids": F.lit(1), "decoded": F.lit(2), "part": F.lit(3), "_key": F.lit(4), "_text": F.lit(5), "_t": F.lit(6), "base": F.lit(7)})
+    assert packing.pack(more, P.path("byte_bpe_50k.json"), P.PATTERN, end_id=0).select("doc_id").distinct().count() == docs.count()
+    assert bpe.encode_decode(more, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == docs.count() == secrets.scan(more).count()
+    none = docs.limit(0)
+    assert packing.pack(none, P.path("byte_bpe_50k.json"), P.PATTERN, end_id=0).count() == 0 == bpe.encode_decode(none, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count()
