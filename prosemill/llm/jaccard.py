@@ -50,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of n-gram hashes of texts; a worker hashes each distinct word once while it remembers it."""
 
-    def __init__(self, n: int, most: int = 1_000_000):
+    def __init__(self, n: int, most: int = 500_000):
         self.n, self.most, self.index, self.hashes = n, most, {}, np.zeros(1 << 16, np.uint64)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:

@@ -2,9 +2,11 @@
 
 Symbols are the `head` most frequent tokens (the end of a text among them) and `classes` classes of all other tokens, by their first and last two bytes. A
 context is the token before, as one of `contexts` (frequent tokens by themselves, others by class); what comes before a text is an end. The model is
-s(w | h) = r_h . q_w + b_w. It is trained from the counts of (context, symbol) over all training texts, which Spark sums and which are contexts * symbols
-numbers at most: the expected NCE objective with k noise samples a token from the symbols' shares, by full-batch Adam in numpy. One matrix product gives all scores of
-a context, and their log-sum its normaliser, so probabilities sum to one. A token of a class has the class's probability times its own share in the class
+s(w | h) = r_h . q_w + b_w. How fine these are follows the training tokens: the head is a power of 2 near the root of their number, so the pairs that are told apart
+grow in proportion to the input (up to MAX_HEAD, which bounds a worker's memory). The counts of (context, symbol) over all training texts, which Spark sums, are written to the shared folder. The objective is the
+expected NCE objective with k noise samples a token from the symbols' shares. Each step of full-batch Adam is one job: tasks hold a part of the pairs, form the scores of its
+contexts by batched matrix products and send the sums of their gradients; the driver holds parameters alone. One more product gives each context's normaliser, so
+probabilities sum to one. A token of a class has the class's probability times its own share in the class
 by training counts, with 0.1 added to each count and one place for tokens never seen.
 
 Counts of tokens cover all training texts. The `known` most frequent go to the workers; what a text has beyond them is joined by hash, so no table that grows with
@@ -15,6 +17,7 @@ counts are 0, the base is log10 of 1/(V+1) with V = 0 and the model is uniform o
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +34,10 @@ from .common import chunks, materialise, words_of
 
 #: The end of a text, as a token: no word is empty.
 END = b""
+#: The largest head, and the tasks of a training step.
+MAX_HEAD, TASKS = 1 << 17, 8
+#: Scores that a task or the driver holds at a time.
+CELLS = 1 << 21
 
 
 @dataclass
@@ -51,11 +58,27 @@ class Model:
     def symbols(self) -> int:
         return len(self.head) + self.classes
 
+    def scores(self, contexts: slice) -> np.ndarray:
+        """Scores of all symbols after some contexts, from one matrix product."""
+        return self.r[contexts] @ self.q.T + self.b
+
+    def normalisers(self) -> np.ndarray:
+        """Natural log of the sum of exponentials of each context's scores."""
+        out, step = np.zeros(len(self.r), np.float32), max(1, CELLS // self.symbols)
+        for i in range(0, len(out), step):
+            s = self.scores(slice(i, i + step))
+            top = s.max(1)
+            out[i : i + step] = top + np.log(np.exp(s - top[:, None]).sum(1))
+        return out
+
     def log_probs(self) -> np.ndarray:
-        """Natural log-probabilities, contexts x symbols, from one matrix product."""
-        s = self.r @ self.q.T + self.b
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True))
+        """Natural log-probabilities, contexts x symbols."""
+        return self.scores(slice(None)) - self.normalisers()[:, None]
+
+
+def head_for(total: int) -> int:
+    """The head for so many training tokens: a power of 2 near the root of their number."""
+    return min(MAX_HEAD, 1 << max(6, round(math.log2(max(1, total)) / 2)))
 
 
 def token_class(w: bytes, classes: int) -> int:
@@ -128,55 +151,96 @@ def _token_counts(rows: DataFrame, most: int = 400_000) -> DataFrame:
     return rows.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _pair_counts(rows: DataFrame, head: list[bytes], classes: int, contexts: int) -> pa.Table:
-    """cell (context * symbols + symbol) and its count, over all rows: contexts * symbols cells at most."""
+def _pair_counts(rows: DataFrame, head: list[bytes], classes: int, contexts: int, most: int = 1_000_000) -> DataFrame:
+    """context, symbol and the number of their tokens, over all rows."""
     symbols = len(head) + classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, held = Index(head, classes, contexts), np.zeros(contexts * symbols, np.int32)
+        index, cells, counts = Index(head, classes, contexts), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array((cells // symbols).astype(np.int32)), pa.array((cells % symbols).astype(np.int32)), pa.array(counts)], ["context", "symbol", "n"])
         for _, texts in chunks(batches, "t"):
             context, symbol = index.pairs(index.rows(texts)[0])
-            cells, n = np.unique(context.astype(np.int64) * symbols + symbol, return_counts=True)
-            held[cells] += n.astype(np.int32)
-        cells = np.flatnonzero(held)
-        for i in range(0, len(cells), 100_000):
-            part = cells[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part].astype(np.int64))], ["cell", "n"])
-
-    return rows.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-
-
-def train(counts: np.ndarray, d: int, k: int, steps: int, rate: float, prior: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, q, b from counts (contexts x symbols): per-token mean of log s(D) over data and k expected noise samples log s(-D), D = score - log(k * noise share).
-    prior: a Gaussian prior on r and q, in tokens: it fades as the input grows."""
-    contexts, symbols = counts.shape
-    rng, total = np.random.default_rng(seed), max(1.0, float(counts.sum()))
-    data = (counts / np.float32(total)).astype(np.float32)
-    noise = (data.sum(0, dtype=np.float64) + 1.0 / total) / (data.sum(dtype=np.float64) + symbols / total)
-    shift = np.log(k * noise).astype(np.float32)
-    false = (data.sum(1, dtype=np.float64)[:, None] * (k * noise)).astype(np.float32)
+            new, n = np.unique(context.astype(np.int64) * symbols + symbol, return_counts=True)
+            cells, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(cells)).astype(np.int64)
+            if len(cells) > most:
+                yield out()
+                cells, counts = cells[:0], counts[:0]
+        yield out()
+
+    return rows.mapInArrow(run, "context int, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+
+
+def gradient(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, params: tuple[np.ndarray, np.ndarray, np.ndarray], noise: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and the gradients of r (of these contexts), q and b by a part of the pairs, as sums over tokens: log s(D) over data and k expected noise samples log s(-D), D = score - log(k * noise share)."""
+    r, q, b = params
+    shift = b - np.log(k * noise).astype(np.float32)
+    order = np.argsort(context, kind="stable")
+    symbol, n = symbol[order], n[order].astype(np.float32)
+    held, row = np.unique(context[order], return_inverse=True)
+    gr, gq, gb = np.zeros((len(held), r.shape[1]), np.float32), np.zeros_like(q), np.zeros_like(b)
+    step = max(1, CELLS // len(q))
+    for i in range(0, len(held), step):
+        one = r[held[i : i + step]]
+        x, y = np.searchsorted(row, [i, i + len(one)])
+        data = np.zeros((len(one), len(q)), np.float32)
+        np.add.at(data, (row[x:y] - i, symbol[x:y]), n[x:y])
+        false = data.sum(1)[:, None] * (k * noise).astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip(one @ q.T + shift, -30, 30)))  # that a pair is data
+        g = p * false - (1 - p) * data
+        gr[i : i + step] = g @ q
+        gq += g.T @ one
+        gb += g.sum(0)
+    return held, gr, gq, gb
+
+
+def train(pairs: DataFrame, contexts: int, symbols: int, d: int, k: int, steps: int, rate: float, prior: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, q, b from pairs (context, symbol, n) by Adam over the means of their gradients. prior: a Gaussian prior on r and q, in tokens: it fades as the input grows."""
+    rng = np.random.default_rng(seed)
+    own = np.zeros(symbols)
+    for x in pairs.groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # a number for each symbol
+        own[x["symbol"]] = x["n"]
+    total = max(1.0, own.sum())
+    noise = (own + 1.0) / (own.sum() + symbols)
     params = [rng.normal(0, 0.1, (contexts, d)).astype(np.float32), rng.normal(0, 0.1, (symbols, d)).astype(np.float32), np.log(noise).astype(np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    context = pairs.sparkSession.sparkContext
     for i in range(1, steps + 1):
-        r, q, b = params
-        p = 1 / (1 + np.exp(-np.clip(r @ q.T + (b - shift), -30, 30)))  # that a pair is data
-        g = p * false - (1 - p) * data
+        shared = context.broadcast(params)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [[c.to_numpy() for c in b.columns] for b in batches]
+            if held:
+                found = gradient(*(np.concatenate(c) for c in zip(*held, strict=True)), shared.value, noise, k)  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], ["held", "r", "q", "b"])
+
+        grads = [np.float32(prior / total) * params[0], np.float32(prior / total) * params[1], np.zeros_like(params[2])]
+        for x in pairs.select("context", "symbol", "n").mapInArrow(run, "held binary, r binary, q binary, b binary").toLocalIterator():
+            rows = np.frombuffer(x["held"], np.int32)
+            grads[0][rows] += np.frombuffer(x["r"], np.float32).reshape(len(rows), d) / np.float32(total)
+            grads[1] += np.frombuffer(x["q"], np.float32).reshape(symbols, d) / np.float32(total)
+            grads[2] += np.frombuffer(x["b"], np.float32) / np.float32(total)
         step = rate * (1 - (i - 1) / steps)
-        pull = np.float32(prior / total)
-        for x, grad, (m, v) in zip(params, (g @ q + pull * r, g.T @ r + pull * q, g.sum(0)), moments, strict=True):
+        new = []
+        for x, grad, (m, v) in zip(params, grads, moments, strict=True):
             m *= 0.9
             m += 0.1 * grad
             v *= 0.98
             v += 0.02 * grad * grad
-            x -= step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.98**i)) + 1e-9)
+            new.append(x - step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.98**i)) + 1e-9))
+        params = [x.astype(np.float32) for x in new]
+        shared.destroy()
     return params[0], params[1], params[2]
 
 
-def fit(df: DataFrame, train_rows: Column, text: str = "text", head: int = 4096, classes: int = 2048, contexts: int = 1024, known: int = 120_000, d: int = 24, k: int = 50, steps: int = 60, rate: float = 0.1, prior: float = 8.0) -> tuple[Model, DataFrame]:
-    """The model and the counts of its training tokens beyond the known ones (hash, c)."""
+def fit(df: DataFrame, train_rows: Column, text: str = "text", head: int | None = None, classes: int | None = None, contexts: int | None = None, known: int = 120_000, d: int = 24, k: int = 50, steps: int = 32, rate: float = 0.2, prior: float = 8.0) -> tuple[Model, DataFrame]:
+    """The model and the counts of its training tokens beyond the known ones (hash, c). head, classes, contexts: by the number of training tokens if not given."""
     rows = df.where(train_rows).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     counts = materialise(_token_counts(rows), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    head = head or head_for(total)
+    classes, contexts = classes or head // 2, contexts or head // 2
+    known = max(known, head)
     top = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "w").limit(known).collect()]
     first = [END, *[w for w, _ in top if w != END][: head - 1]]
     w = F.col("w")
@@ -189,10 +253,9 @@ def fit(df: DataFrame, train_rows: Column, text: str = "text", head: int = 4096,
         if x in of:
             class_total[token_class(x, classes)] -= of[x]
             class_distinct[token_class(x, classes)] -= 1
-    cells = _pair_counts(rows, first, classes, contexts)
-    table = np.zeros(contexts * (len(first) + classes), np.float32)
-    table[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    r, q, b = train(table.reshape(contexts, -1), d, k, steps, rate, prior)
+    pairs = _pair_counts(rows, first, classes, contexts).withColumn("part", F.pmod(F.hash("context"), F.lit(TASKS))).repartition(TASKS, "part").drop("part")
+    pairs = materialise(pairs, "lm-pairs")
+    r, q, b = train(pairs, contexts, len(first) + classes, d, k, steps, rate, prior)
     model = Model(first, classes, contexts, r, q, b, total, distinct, class_total, class_distinct, top)
     known_words = F.broadcast(df.sparkSession.createDataFrame([(x,) for x, _ in top], "w binary"))
     rare = counts.join(known_words, "w", "left_anti").select(F.xxhash64("w").alias("hash"), "c").groupBy("hash").agg(F.max("c").alias("c"))
@@ -204,18 +267,19 @@ def score(df: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", tex
     spread = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = spread.schema["_k"].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
+    normalisers = model.normalisers()
     cache: dict[int, tuple] = {}
 
-    def prepared() -> tuple[Index, np.ndarray, np.ndarray, float]:
+    def prepared() -> tuple[Index, Model, np.ndarray, np.ndarray, float]:
         if 0 not in cache:
             m = shared.value
             # natural log of a class's denominator; 0 for the head, whose symbols are tokens
             lower = np.concatenate([np.zeros(len(m.head)), np.log(m.class_total + 0.1 * (m.class_distinct + 1))])
-            cache[0] = Index(m.head, m.classes, m.contexts, m.known), m.log_probs().astype(np.float32), lower, float(np.log(m.total + 0.1 * (m.distinct + 1)))
+            cache[0] = Index(m.head, m.classes, m.contexts, m.known), m, normalisers, lower, float(np.log(m.total + 0.1 * (m.distinct + 1)))
         return cache[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, probs, lower, base_lower = prepared()
+        index, m, norm, lower, base_lower = prepared()
         part, row, n_head = TaskContext.get().partitionId(), 0, len(shared.value.head)
         for held, texts in chunks(batches, "t"):
             rows, lens = index.rows(texts)
@@ -224,7 +288,7 @@ def score(df: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", tex
             upper = np.log(np.maximum(count, 0) + 0.1)
             known = count >= 0
             base = np.where(known, upper, 0.0) - base_lower
-            own = probs[context, symbol] - lower[symbol] + np.where(known & in_class, upper, 0.0)
+            own = np.einsum("ij,ij->i", m.r[context], m.q[symbol]) + m.b[symbol] - norm[context] - lower[symbol] + np.where(known & in_class, upper, 0.0)
             ends = np.cumsum(lens)
             sums = lambda x: np.add.reduceat(x, ends - lens)
             beyond = np.flatnonzero(~known)

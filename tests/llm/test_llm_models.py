@@ -55,6 +55,37 @@ def test_lm_base_and_score(docs, texts):
         assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_lm_resolution_follows_the_corpus():
+    heads = [lm.head_for(n) for n in (0, 10**6, 10**8, 10**10, 10**13)]
+    assert heads == sorted(set(heads)) and heads[3] / heads[2] == 8
+
+
+def test_lm_gradient_is_that_of_the_objective():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 4, (6, 9)).astype(float)
+    params = [rng.normal(0, 1, s).astype(np.float32) for s in ((6, 3), (9, 3), 9)]
+    noise, k = (counts.sum(0) + 1) / (counts.sum() + 9), 5
+
+    def loss(r, q, b):
+        d = r @ q.T + b - np.log(k * noise)
+        return (counts * np.log1p(np.exp(-d))).sum() + (counts.sum(1)[:, None] * k * noise * np.log1p(np.exp(d))).sum()
+
+    at = np.argwhere(counts > 0)
+    half = rng.random(len(at)) < 0.5
+    total = [np.zeros_like(p) for p in params]
+    for part in (at[half], at[~half]):
+        held, gr, gq, gb = lm.gradient(part[:, 0].astype(np.int32), part[:, 1].astype(np.int32), counts[part[:, 0], part[:, 1]].astype(np.int64), tuple(params), noise, k)
+        total[0][held] += gr
+        total[1] += gq
+        total[2] += gb
+    for i, p in enumerate(params):
+        for j in list(np.ndindex(p.shape))[:6]:
+            up, down = ([x.astype(float).copy() for x in params] for _ in range(2))
+            up[i][j] += 1e-4
+            down[i][j] -= 1e-4
+            assert math.isclose(total[i][j], (loss(*up) - loss(*down)) / 2e-4, rel_tol=1e-3, abs_tol=1e-2)
+
+
 def test_lm_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model, rare = lm.fit(none, F.lit(True), steps=2)
