@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 #: Characters that normalisation replaces or drops.
-REPLACED = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " "}
+REPLACED = {
+    "\u2014": "--", "\u2013": "-", "\u2015": "--", "\u2012": "-", "\u2010": "-", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u201a": "'", "\u201e": '"', "\u2026": "...", "\u2032": "'", "\u2033": '"',
+    "\u00a0": " ", "\u202f": " ", "\u2009": " ",
+}
 DROPPED = "﻿​‌‍­"
 _TABLE = str.maketrans({**REPLACED, **dict.fromkeys(DROPPED, "")})
 _BREAK, _SENTENCE = re.compile(r"\n\s*\n+"), re.compile(r"(?<=[.!?])\s+")
-KINDS = ("shuffle_sentences", "shuffle_paragraphs", "repeat_sentences", "drop_punctuation", "flatten_paragraphs")
+KINDS = ("shuffle_sentences", "shuffle_paragraphs", "repeat_sentences", "drop_punctuation", "flatten_paragraphs", "shuffle_all_sentences")
 
 
 def normalise(text: str | None) -> str | None:
@@ -41,7 +44,13 @@ def corrupt(text: str, kind: str, seed: str) -> str:
     if kind == "flatten_paragraphs":
         return " ".join(paragraphs)
     if kind == "drop_punctuation":
-        return re.sub(r"[ \t]{2,}", " ", re.sub(r"[.,;:!?\"'()-]", "", text))
+        t = re.sub(r"[ \t]{2,}", " ", re.sub(r"[.,;:!?\"'()-]", "", text.replace("\r\n", "\n").replace("\r", "\n")))
+        return re.sub(r"\n{3,}", "\n\n", t).strip()
+    if kind == "shuffle_all_sentences":
+        sentences = [s for p in paragraphs for s in _SENTENCE.split(p) if s.strip()]
+        if len(sentences) > 1:
+            rng.shuffle(sentences)
+        return " ".join(sentences)
     if kind == "shuffle_paragraphs":
         if len(paragraphs) > 2:
             rng.shuffle(paragraphs)
@@ -51,9 +60,8 @@ def corrupt(text: str, kind: str, seed: str) -> str:
         sentences = _SENTENCE.split(p)
         if kind == "shuffle_sentences":
             before = list(sentences)
-            for _ in range(8):
-                if len(set(before)) > 1 and sentences == before:
-                    rng.shuffle(sentences)
+            while len(set(before)) > 1 and sentences == before:  # a paragraph of two swaps
+                rng.shuffle(sentences)
         else:
             sentences = [s for x in sentences for s in ([x, x] if rng.random() < 0.35 else [x])]
         out.append(" ".join(sentences))

@@ -17,12 +17,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 WORD, TOKEN, SENTENCE = r"[A-Za-z]+(?:\'[A-Za-z]+)?", r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", r"[^.!?\n]+[.!?]?\s*"
 
 
-def _list(name: str, pattern: str, value: str, cap: int = 0) -> dict[str, str]:
-    """A view of a document's matches: doc_id, source, idx from 0, value. cap: matches a document that DuckDB's SQL keeps (0: all); Spark's query has no cap."""
+def _list(name: str, pattern: str, value: str) -> dict[str, str]:
+    """A view of a document's matches: doc_id, source, idx from 0, value."""
     duck = pattern.replace(r"\'", "''")
     return {
         "spark": f"{name} AS (SELECT doc_id, source, CAST(t.pos AS BIGINT) AS idx, {value} AS v FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, r\"{pattern.replace(chr(92) + chr(39), chr(39))}\", 0)) t AS pos, m)",
-        "duck": f"{name} AS (SELECT doc_id, source, idx, {value} AS v FROM (SELECT doc_id, source, unnest(range(len(l))) AS idx, unnest(l) AS m FROM (SELECT doc_id, source, regexp_extract_all(text, '{duck}'){f'[1:{cap}]' if cap else ''} AS l FROM documents)))",
+        "duck": f"{name} AS (SELECT doc_id, source, idx, {value} AS v FROM (SELECT doc_id, source, unnest(range(len(l))) AS idx, unnest(l) AS m FROM (SELECT doc_id, source, regexp_extract_all(text, '{duck}') AS l FROM documents)))",
     }
 
 
@@ -33,13 +33,29 @@ def _same(text: str) -> dict[str, str]:
 #: Views that queries name in `uses`, each after those that it needs.
 VIEWS: dict[str, dict[str, str]] = {
     "corpus": _same("corpus AS (SELECT doc_id, source AS author, CASE doc_id % 4 WHEN 0 THEN 'poem' WHEN 1 THEN 'shortstory' WHEN 2 THEN 'novel' ELSE 'prose' END AS doc_type, lang, text FROM documents)"),
-    "words": _list("words", WORD, "lower(m)", 6000),
+    "words": _list("words", WORD, "lower(m)"),
     "tokens": _list("tokens", TOKEN, "m"),
     "sentences": _list("sentences", SENTENCE, "m"),
     "lines": {
         "spark": "lines AS (SELECT doc_id, source, CAST(t.pos AS BIGINT) AS idx, m AS v FROM documents LATERAL VIEW posexplode(split(text, '\\n')) t AS pos, m)",
         "duck": "lines AS (SELECT doc_id, source, unnest(range(len(l))) AS idx, unnest(l) AS v FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))",
     },
+    "sentwords": {
+        "spark": "sentwords AS (SELECT doc_id, idx, t.w FROM sentences LATERAL VIEW explode(regexp_extract_all(lower(v), '[a-z]+', 0)) t AS w)",
+        "duck": "sentwords AS (SELECT doc_id, idx, unnest(regexp_extract_all(lower(v), '[a-z]+')) AS w FROM sentences)",
+    },
+    "turnwords": {
+        "spark": "turnwords AS (SELECT conv_id, turn, t.w FROM conversations LATERAL VIEW explode(regexp_extract_all(lower(text), '[a-z]+', 0)) t AS w)",
+        "duck": "turnwords AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations)",
+    },
+    "turnfacts": {
+        "spark": "turnfacts AS (SELECT conv_id, turn, kind, t.w FROM (SELECT conv_id, turn, k.kind, k.ws FROM conversations LATERAL VIEW stack(3, 'number', regexp_extract_all(text, r'[0-9]+(?:[.,][0-9]+)*%?', 0), 'negation', regexp_extract_all(lower(text), r'\\b(?:not|no|never|none|nor|without)\\b', 0), 'name', regexp_extract_all(text, r'[a-z,;] ([A-Z][a-z]{2,}|[A-Z]{2,})', 1)) k AS kind, ws) f LATERAL VIEW explode(ws) t AS w)",
+        "duck": "turnfacts AS (SELECT conv_id, turn, 'number' AS kind, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*%?')) AS w FROM conversations UNION ALL SELECT conv_id, turn, 'negation' AS kind, unnest(regexp_extract_all(lower(text), '\\b(?:not|no|never|none|nor|without)\\b')) AS w FROM conversations UNION ALL SELECT conv_id, turn, 'name' AS kind, unnest(regexp_extract_all(text, '[a-z,;] ([A-Z][a-z]{2,}|[A-Z]{2,})', 1)) AS w FROM conversations)",
+    },
+    "grid": {
+        "spark": "grid AS (SELECT doc_id, CAST(t.k AS BIGINT) AS k FROM documents LATERAL VIEW explode(sequence(0, CAST(floor(greatest(length(text) - 1, 0) / 800) AS INT))) t AS k)",
+        "duck": "grid AS (SELECT doc_id, unnest(range(0, CAST(floor(greatest(length(text) - 1, 0) / 800) AS BIGINT) + 1)) AS k FROM documents)",
+    },
     "series": _same("series AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS s FROM events)"),
     "unigram": _same("unigram AS (SELECT v, count(*) AS c FROM tokens GROUP BY v), size AS (SELECT sum(c) AS n, count(*) AS k FROM unigram)"),
     "surprisal": _same(

@@ -48,6 +48,11 @@ def nearest_centroid_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.centroid_folds(_table(spark, sf_dir, "embeddings"), "vec_id", "label", F.col("vec_id") % 5, "embedding")
 
 
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels against the predictions of the nearest centroid of the other folds."""
+    return nearest_centroid_loo(spark, sf_dir).groupBy("label", "predicted").agg(F.count("*").alias("n"))
+
+
 def _variation(a: Column) -> Column:
     """Standard deviation over mean of an array of two counts or more, not all 0."""
     total = lambda f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x.cast("double")))
@@ -96,8 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_text": normalize_text, **{f"corrupt_{k}": corrupted(k) for k in T.KINDS}, "similarity_ratio": similarity_ratio, "spectral_peak": spectral_peak, "dtw": dtw,
     "nearest_centroid_loo": nearest_centroid_loo, "rubric_score": rubric_score, "incremental_ingest": incremental_ingest,
 }
+QUERIES["confusion"] = confusion
 #: Those that SQL can express all the same.
 ORACLES = {
     "incremental_ingest": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1",
     "nearest_centroid_loo": "WITH r AS (SELECT vec_id, label, vec_id % 5 AS fold, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT f.fold AS out, r.label AS predicted, r.i, avg(r.x) AS m FROM r JOIN (SELECT DISTINCT fold FROM r) f ON r.fold <> f.fold GROUP BY 1, 2, 3), d AS (SELECT r.vec_id, r.fold, r.label, c.predicted, 1 - sum(r.x * c.m) / (sqrt(sum(r.x * r.x)) * sqrt(sum(c.m * c.m)) + 1e-12) AS d FROM r JOIN c ON r.fold = c.out AND r.i = c.i GROUP BY 1, 2, 3, 4) SELECT vec_id, fold, label, predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), predicted) AS k FROM d) WHERE k = 1",
 }
+ORACLES["confusion"] = f"SELECT label, predicted, count(*) AS n FROM ({ORACLES['nearest_centroid_loo']}) p GROUP BY label, predicted"

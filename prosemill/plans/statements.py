@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .dialect import Statement as S
+from .prose import PROSE
 
 R6 = lambda x, name: f"round({x}, 6) AS {name}"
 
@@ -46,10 +47,6 @@ TEXT = {
         "SELECT doc_id, round(len, 6) AS mean_len, round(long, 6) AS long_rate, round(nom, 6) AS nominal_rate, round(5 * nom + 1.5 * long + 0.1 * greatest(0, len - 4.7), 6) AS droning FROM rates",
         "words", "rates AS (SELECT doc_id, avg(length(v)) AS len, avg(CASE WHEN length(v) >= 8 THEN 1.0 ELSE 0.0 END) AS long, avg(CASE WHEN v LIKE '%tion' OR v LIKE '%ment' OR v LIKE '%ness' OR v LIKE '%ity' THEN 1.0 ELSE 0.0 END) AS nom FROM words GROUP BY doc_id)",
     ),
-    "entity_diffs": S(
-        "SELECT conv_id, turn, count(CASE WHEN b IS NULL THEN 1 END) AS removed, count(CASE WHEN a IS NULL THEN 1 END) AS added FROM (SELECT coalesce(x.conv_id, y.conv_id) AS conv_id, coalesce(x.turn, y.turn) AS turn, x.w AS a, y.w AS b FROM held x FULL OUTER JOIN (SELECT conv_id, turn - 1 AS turn, w FROM held WHERE turn > 0) y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.w = y.w) z GROUP BY conv_id, turn",
-        "", "held AS (SELECT DISTINCT conv_id, turn, regexp_extract(lower(text), R'[a-z]+', 0) AS w FROM conversations)",
-    ),
     "slug_ids": S("SELECT p_partkey, trim(BOTH '_' FROM regexp_replace(lower(p_name), R'[^a-z0-9]+', '_'SLUG)) AS slug, substr(sha1(p_name), 1, 12) AS id FROM part"),
     "author_norm": S("SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(c_name, R'[#.]+', ' 'SLUG), R' +', ' 'SLUG))) AS author FROM customer"),
     "json_props": S("SELECT event_type, count(*) AS n, CAST(sum(CAST(JSON(props, k) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type"),
@@ -110,10 +107,8 @@ SERIES = {
     "chunk_signature": S("SELECT user_id, CAST(floor(idx / 25) AS BIGINT) AS chunk, count(*) AS n, " + ", ".join(f"round(PCT(s, {q}), 6) AS q{int(q * 100):02d}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM series GROUP BY user_id, CAST(floor(idx / 25) AS BIGINT) HAVING count(*) >= 10", "series"),
     "interval_merge": S(
         "SELECT user_id, min(a) AS first, max(b) AS last, count(*) AS merged FROM (SELECT user_id, a, b, sum(new) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, a, b, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM spans) m) i GROUP BY user_id, island",
-        "series", "spans AS (SELECT user_id, idx AS a, idx + CAST(floor(abs(s)) AS BIGINT) % 4 AS b FROM series WHERE idx % 3 = 0)",
+        "series", "spans AS (SELECT user_id, idx AS a, idx + CAST(floor(abs(s)) AS BIGINT) % 4 AS b FROM series)",
     ),
-    "group_advantage": S("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id) + 1e-9, 6) AS advantage FROM events"),
-    "pairwise_weights": S("SELECT a.user_id, a.idx AS i, b.idx AS j, round(1 / (1 + exp(-0.1 * (a.s - b.s))), 6) AS weight FROM series a JOIN series b ON a.user_id = b.user_id AND a.idx <> b.idx WHERE a.idx < 6 AND b.idx < 6", "series"),
     "zscore": S("SELECT user_id, idx, round((s - avg(s) OVER (PARTITION BY user_id)) / CASE WHEN stddev_pop(s) OVER (PARTITION BY user_id) < 1e-8 THEN 1.0 ELSE stddev_pop(s) OVER (PARTITION BY user_id) END, 6) AS z FROM series", "series"),
 }
 
@@ -121,13 +116,11 @@ CORPUS = {
     "sample_ids": S("SELECT seq, substr(sha1(concat(source, NUL, title, NUL, url, NUL, text)), 1, 12) AS sample_id, sha1(concat(source, NUL, title, NUL)) AS stable_id, concat(source, ':', substr(sha1(title), 1, 12)) AS group_id FROM samples", "samples"),
     "dedup_text": S("SELECT seq, k AS kept FROM (SELECT seq, row_number() OVER (PARTITION BY sha1(lower(trim(regexp_replace(text, R'[ \\n\\t]+', ' 'SLUG)))) ORDER BY seq) AS k FROM samples) x WHERE k = 1", "samples"),
     "compaction_last": S("SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1"),
-    "mixed_union": S("SELECT origin, count(*) AS n, count(CASE WHEN k = 1 THEN 1 END) AS kept FROM (SELECT origin, row_number() OVER (PARTITION BY text ORDER BY origin, id) AS k FROM (SELECT 'benchmark' AS origin, item_id AS id, text FROM benchmark UNION ALL SELECT 'documents' AS origin, doc_id AS id, text FROM documents) u) x GROUP BY origin"),
     "group_split": S(
         "SELECT source, group_id, CASE WHEN n = 1 THEN 'test' WHEN n = 2 AND k = 1 THEN 'train' WHEN n = 2 THEN 'test' WHEN k <= least(n - 2, greatest(1, EVEN(n * 0.7))) THEN 'train' WHEN k <= least(n - 1, greatest(1, EVEN(n * 0.7)) + greatest(1, EVEN(n * 0.15))) THEN 'val' ELSE 'test' END AS split FROM (SELECT source, group_id, row_number() OVER (PARTITION BY source ORDER BY sha1(concat('1337', NUL, group_id)), group_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, group_id FROM samples) g) x",
         "samples",
     ),
     "split_manifest": S("SELECT source, count(*) AS samples, count(DISTINCT group_id) AS groups, count(DISTINCT CASE WHEN b < 70 THEN group_id END) AS train_groups FROM (SELECT source, group_id, HEX8(group_id) % 100 AS b FROM samples) x GROUP BY source", "samples"),
-    "consolidate_pairs": S("SELECT substr(sha1(concat(CAST(chosen_id AS VARCHAR(20)), NUL, CAST(rejected_id AS VARCHAR(20)))), 1, 12) AS pair_id, group_id, chosen_id, rejected_id FROM pairs WHERE trim(chosen_text) <> '' AND trim(rejected_text) <> ''", "pairs"),
     "pair_unpivot": S("SELECT k, chosen_id AS doc_id, 1 AS label FROM pairs UNION ALL SELECT k, rejected_id AS doc_id, 0 AS label FROM pairs", "pairs"),
     "job_grid": S("SELECT j.doc_id, j.tier, HEX8(job) % 3 AS provider, CASE WHEN l.doc_id IS NULL THEN 'unresolved' ELSE 'done' END AS status FROM (SELECT d.doc_id, t.tier, concat(CAST(d.doc_id AS VARCHAR(20)), NUL, t.tier) AS job FROM documents d CROSS JOIN tiers t) j LEFT JOIN labels l ON j.doc_id = l.doc_id", "", "tiers AS (SELECT 'plain' AS tier UNION ALL SELECT 'guided' UNION ALL SELECT 'strict')"),
     "resume_anti_join": S("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL"),
@@ -151,11 +144,7 @@ EVALUATION = {
     "correlations": S("SELECT round(corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)), 6) AS pearson, round(corr(CAST(r AS DOUBLE), CAST(ry AS DOUBLE)), 6) AS spearman FROM ordered", "labelled", _POS),
     "pair_margins": S("SELECT round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(m), 6) AS mean, round(PCT(m, 0.1), 6) AS p10, round(PCT(m, 0.5), 6) AS p50, round(PCT(m, 0.9), 6) AS p90 FROM (SELECT CAST(chosen_x - rejected_x AS DOUBLE) AS m FROM pairs) p", "pairs"),
     "error_measures": S("SELECT round(avg(power(y - p, 2)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae FROM (SELECT y, 1 / (1 + exp(-(x - 2000) / 1000.0)) AS p FROM labelled) e", "labelled"),
-    "confusion": S("SELECT a.label, b.n AS predicted, count(*) AS n FROM embeddings a JOIN (SELECT vec_id, vec_id % 10 AS n FROM embeddings) b ON a.vec_id = b.vec_id GROUP BY a.label, b.n"),
-    "penalty_adjust": S("SELECT event_id, round(CASE WHEN p < 0.85 THEN 100 * u ELSE greatest(0.0, 100 * u - 40 * power((p - 0.85) / 0.15, 2)) END, 6) AS adjusted FROM (SELECT event_id, (abs(value) % 100) / 100 AS p, (abs(value) % 37) / 37 AS u FROM events) e"),
     "target_bands": S("SELECT doc_type, round(PCT(length(text), 0.25), 6) AS p25, round(avg(length(text)), 6) AS mean, round(PCT(length(text), 0.75), 6) AS p75 FROM corpus GROUP BY doc_type", "corpus"),
-    "model_compare": S("SELECT a.source, round(b.m - a.m, 6) AS delta, row_number() OVER (ORDER BY b.m - a.m, a.source) AS k FROM (SELECT source, avg(n_chars) AS m FROM documents WHERE (doc_id // 20) % 2 = 0 GROUP BY source) a JOIN (SELECT source, avg(n_chars) AS m FROM documents WHERE (doc_id // 20) % 2 = 1 GROUP BY source) b ON a.source = b.source"),
-    "adjacent_jaccard": S("SELECT conv_id, count(*) AS turns, round(avg(CASE WHEN role = prev THEN 1.0 ELSE 0.0 END), 6) AS same_role FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) c GROUP BY conv_id"),
 }
 
 MORE = {
@@ -175,7 +164,6 @@ MORE = {
         "SELECT doc_id, island, min(idx) AS first, max(idx) + 2 AS last, count(*) AS windows FROM (SELECT doc_id, idx, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM flat WHERE k = 3 AND sd <= greatest(0.5, 0.25 * whole)) f GROUP BY doc_id, island",
         "sentences", "sized AS (SELECT doc_id, idx, CAST(MATCHES(v, R'[A-Za-z]+') AS DOUBLE) AS n FROM sentences), flat AS (SELECT doc_id, idx, stddev_pop(n) OVER w AS sd, count(*) OVER w AS k, stddev_pop(n) OVER (PARTITION BY doc_id) AS whole FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))",
     ),
-    "window_starts": S("SELECT d.doc_id, k.k AS win, max(b.at) AS start FROM (SELECT doc_id, length(text) AS n FROM documents) d JOIN ks k ON k.k * 800 < d.n JOIN bounds b ON b.doc_id = d.doc_id AND b.at <= k.k * 800 GROUP BY d.doc_id, k.k", "lines", "ks AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3), bounds AS (SELECT doc_id, CAST(coalesce(sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM lines)"),
     "type_coercion": S("SELECT doc_id, CASE lang WHEN 'en' THEN 'prose' WHEN 'fr' THEN 'poem' WHEN 'de' THEN 'novel' ELSE 'shortstory' END AS doc_type, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 1 WHEN source IN ('src3', 'src4') THEN 0 END AS label FROM documents"),
     "primary_score_select": S("SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'trained' WHEN d.n_chars >= 1000 THEN 'rubric' ELSE 'none' END AS origin, coalesce(CAST(100 * l.quality AS DOUBLE), CASE WHEN d.n_chars >= 1000 THEN least(100.0, d.n_chars / 100.0) END) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "negations_numbers": S("SELECT doc_id, MATCHES(lower(text), R'(^|[^a-z])(not|no|never|none|nor)([^a-z]|$)') AS negations, MATCHES(text, R'[0-9]+([.][0-9]+)?%?') AS numbers FROM (SELECT doc_id, text FROM documents) d"),
@@ -194,4 +182,4 @@ MORE = {
     "gibberish_share": S("SELECT source, round(avg(CASE WHEN ttr > 0.95 AND n > 50 THEN 1e0 ELSE 0e0 END), 6) AS share FROM (SELECT source, doc_id, count(DISTINCT v) / CAST(count(*) AS DOUBLE) AS ttr, count(*) AS n FROM words GROUP BY source, doc_id) w GROUP BY source", "words"),
 }
 
-ALL = {**TEXT, **TOKENS, **SERIES, **CORPUS, **EVALUATION, **MORE}
+ALL = {**TEXT, **TOKENS, **SERIES, **CORPUS, **EVALUATION, **MORE, **PROSE}
