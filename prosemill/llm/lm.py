@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, words_of
+from .common import chunks, discard, materialise, words_of
 
 #: The end of a text, as a token: no word is empty.
 END = b""
 #: The largest head, and the tasks of a training step.
 MAX_HEAD, TASKS = 1 << 17, 8
-#: Scores that a task or the driver holds at a time.
-CELLS = 1 << 21
+#: Scores that a task or the driver holds at a time, and characters of text that a task works on.
+CELLS, CHUNK = 1 << 21, 1_000_000
 
 
 @dataclass
@@ -88,9 +89,9 @@ def token_class(w: bytes, classes: int) -> int:
 class Index:
     """Symbol and context of tokens, remembered for the distinct tokens of a worker; row 0 is the end."""
 
-    def __init__(self, head: list[bytes], classes: int, contexts: int, known: list[tuple[bytes, int]] = (), most: int = 600_000):
+    def __init__(self, head: list[bytes], classes: int, contexts: int, known: list[tuple[bytes, int]] | None = None, most: int = 400_000):
         self.head, self.classes, self.own, self.most = {w: i for i, w in enumerate(head)}, classes, contexts // 2, most
-        self.rest, self.known = contexts - contexts // 2, dict(known)
+        self.rest, self.known = contexts - contexts // 2, None if known is None else dict(known)
         self._clear()
 
     def _clear(self) -> None:
@@ -102,29 +103,32 @@ class Index:
         n, k = len(self.at), len(words)
         while n + k > len(self.symbol):
             self.symbol, self.context, self.count, self.hash = (np.resize(x, 2 * len(x)) for x in (self.symbol, self.context, self.count, self.hash))
-        klass = [token_class(w, self.classes) for w in words]
-        head, own = self.head, self.own
-        rank = [head.get(w, -1) for w in words]
-        self.symbol[n : n + k] = [r if r >= 0 else len(head) + c for r, c in zip(rank, klass, strict=True)]
-        self.context[n : n + k] = [r if 0 <= r < own else own + c % self.rest for r, c in zip(rank, klass, strict=True)]
-        self.count[n : n + k] = [self.known.get(w, -1) for w in words]
-        self.hash[n : n + k] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, k).view(np.int64)
+        klass = np.array([zlib.crc32(w[:2] + b" " + w[-2:]) for w in words], np.int64) % self.classes
+        rank = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, k)
+        self.symbol[n : n + k] = np.where(rank >= 0, rank, len(self.head) + klass)
+        self.context[n : n + k] = np.where((rank >= 0) & (rank < self.own), rank, self.own + klass % self.rest)
+        if self.known is not None:  # counts and hashes are for scores alone
+            self.count[n : n + k] = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, k)
+            self.hash[n : n + k] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, k).view(np.int64)
         self.at.update(zip(words, range(n, n + k), strict=True))
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the texts' tokens, each text with its end, and the number of tokens of each."""
         found = [words_of(t) for t in texts]
-        wanted = set().union(*found)
-        new = wanted - self.at.keys()
-        if len(self.at) + len(new) > self.most:
-            self._clear()
-            new = wanted
-        if new:
-            self._add(list(new))
-        get = self.at.__getitem__
         lens = np.fromiter((len(f) + 1 for f in found), np.int64, len(found))
-        out = np.zeros(int(lens.sum()), np.int64)
-        out[np.setdiff1d(np.arange(len(out)), np.cumsum(lens) - 1, assume_unique=True)] = np.fromiter((get(w) for f in found for w in f), np.int64, len(out) - len(found))
+        words = list(chain.from_iterable(found))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new = {words[i] for i in miss.tolist()}
+            if len(self.at) + len(new) > self.most:
+                self._clear()
+                new, miss = set(words), np.arange(len(words))
+            self._add(list(new))
+            at[miss] = np.fromiter((self.at[words[i]] for i in miss.tolist()), np.int64, len(miss))
+        out, inside = np.zeros(int(lens.sum()), np.int64), np.ones(int(lens.sum()), bool)
+        inside[np.cumsum(lens) - 1] = False
+        out[inside] = at
         return out, lens
 
     def pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +137,13 @@ class Index:
         return np.concatenate([self.context[:1], context[:-1]]), symbol
 
 
-def _token_counts(rows: DataFrame, most: int = 400_000) -> DataFrame:
+def _token_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
     """w binary, c long: partial sums of tasks, then over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["w", "c"])
-        for _, texts in chunks(batches, "t"):
+        for _, texts in chunks(batches, "t", CHUNK):
             for t in texts:
                 held.update(words_of(t))
             held[END] += len(texts)
@@ -156,50 +160,82 @@ def _pair_counts(rows: DataFrame, head: list[bytes], classes: int, contexts: int
     symbols = len(head) + classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, cells, counts = Index(head, classes, contexts), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array((cells // symbols).astype(np.int32)), pa.array((cells % symbols).astype(np.int32)), pa.array(counts)], ["context", "symbol", "n"])
-        for _, texts in chunks(batches, "t"):
+        index, held, size = Index(head, classes, contexts), [], 0
+
+        def out() -> pa.RecordBatch:
+            cells, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([n for _, n in held]), len(cells)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((cells // symbols).astype(np.int32)), pa.array((cells % symbols).astype(np.int32)), pa.array(counts)], ["context", "symbol", "n"])
+
+        for _, texts in chunks(batches, "t", CHUNK):
             context, symbol = index.pairs(index.rows(texts)[0])
-            new, n = np.unique(context.astype(np.int64) * symbols + symbol, return_counts=True)
-            cells, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(cells)).astype(np.int64)
-            if len(cells) > most:
+            held.append(np.unique(context.astype(np.int64) * symbols + symbol, return_counts=True))
+            size += len(held[-1][0])
+            if size > most:
                 yield out()
-                cells, counts = cells[:0], counts[:0]
-        yield out()
+                size = 0
+        if held:
+            yield out()
 
     return rows.mapInArrow(run, "context int, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
 def gradient(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, params: tuple[np.ndarray, np.ndarray, np.ndarray], noise: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and the gradients of r (of these contexts), q and b by a part of the pairs, as sums over tokens: log s(D) over data and k expected noise samples log s(-D), D = score - log(k * noise share)."""
+    """Contexts and the gradients of r (of these contexts), q and b by distinct pairs ordered by context, as sums over tokens: log s(D) over data and k expected noise samples log s(-D), D = score - log(k * noise share)."""
     r, q, b = params
     shift = b - np.log(k * noise).astype(np.float32)
-    order = np.argsort(context, kind="stable")
-    symbol, n = symbol[order], n[order].astype(np.float32)
-    held, row = np.unique(context[order], return_inverse=True)
+    held, row = np.unique(context, return_inverse=True)
+    expected = (k * noise).astype(np.float32)
     gr, gq, gb = np.zeros((len(held), r.shape[1]), np.float32), np.zeros_like(q), np.zeros_like(b)
     step = max(1, CELLS // len(q))
     for i in range(0, len(held), step):
         one = r[held[i : i + step]]
         x, y = np.searchsorted(row, [i, i + len(one)])
-        data = np.zeros((len(one), len(q)), np.float32)
-        np.add.at(data, (row[x:y] - i, symbol[x:y]), n[x:y])
-        false = data.sum(1)[:, None] * (k * noise).astype(np.float32)
-        p = 1 / (1 + np.exp(-np.clip(one @ q.T + shift, -30, 30)))  # that a pair is data
-        g = p * false - (1 - p) * data
+        at, c = (row[x:y] - i, symbol[x:y]), n[x:y]
+        g = one @ q.T  # to be the probabilities that a pair is data, in place
+        g += shift
+        np.clip(g, -30, 30, out=g)
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        true = (1 - g[at]) * c
+        g *= np.bincount(at[0], c, len(one)).astype(np.float32)[:, None]
+        g *= expected
+        g[at] -= true
         gr[i : i + step] = g @ q
         gq += g.T @ one
         gb += g.sum(0)
     return held, gr, gq, gb
 
 
-def train(pairs: DataFrame, contexts: int, symbols: int, d: int, k: int, steps: int, rate: float, prior: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, q, b from pairs (context, symbol, n) by Adam over the means of their gradients. prior: a Gaussian prior on r and q, in tokens: it fades as the input grows."""
+def packed(pairs: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """Distinct pairs as rows of up to `most`, ordered by context: three columns of little-endian 32-bit numbers. A training step reads them without a row for each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            kinds = ("<i4", "<i4", "<f4")
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).astype(k).tobytes()], pa.binary()) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["context", "symbol", "n"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= most:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    dealt = pairs.repartition(TASKS, "context").sortWithinPartitions("context").select("context", "symbol", "n")
+    return dealt.mapInArrow(run, "context binary, symbol binary, n binary")
+
+
+def train(pairs: DataFrame, own: np.ndarray, contexts: int, symbols: int, d: int, k: int, steps: int, rate: float, prior: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, q, b from packed pairs, by Adam over the means of their gradients. own: tokens of each symbol. prior: a Gaussian prior on r and q, in tokens: it fades as the input grows."""
     rng = np.random.default_rng(seed)
-    own = np.zeros(symbols)
-    for x in pairs.groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # a number for each symbol
-        own[x["symbol"]] = x["n"]
     total = max(1.0, own.sum())
     noise = (own + 1.0) / (own.sum() + symbols)
     params = [rng.normal(0, 0.1, (contexts, d)).astype(np.float32), rng.normal(0, 0.1, (symbols, d)).astype(np.float32), np.log(noise).astype(np.float32)]
@@ -209,13 +245,21 @@ def train(pairs: DataFrame, contexts: int, symbols: int, d: int, k: int, steps:
         shared = context.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [[c.to_numpy() for c in b.columns] for b in batches]
-            if held:
-                found = gradient(*(np.concatenate(c) for c in zip(*held, strict=True)), shared.value, noise, k)  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in found], ["held", "r", "q", "b"])
+            r, q, b = shared.value  # noqa: B023
+            gr, gq, gb, seen = np.zeros_like(r), np.zeros_like(q), np.zeros_like(b), np.zeros(len(r), bool)
+            for batch in batches:
+                for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    held, *found = gradient(*(np.frombuffer(x, t) for x, t in zip(row, ("<i4", "<i4", "<f4"), strict=True)), (r, q, b), noise, k)
+                    gr[held] += found[0]
+                    gq += found[1]
+                    gb += found[2]
+                    seen[held] = True
+            if seen.any():
+                held = np.flatnonzero(seen).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (held, gr[held], gq, gb)], ["held", "r", "q", "b"])
 
         grads = [np.float32(prior / total) * params[0], np.float32(prior / total) * params[1], np.zeros_like(params[2])]
-        for x in pairs.select("context", "symbol", "n").mapInArrow(run, "held binary, r binary, q binary, b binary").toLocalIterator():
+        for x in pairs.mapInArrow(run, "held binary, r binary, q binary, b binary").toLocalIterator():
             rows = np.frombuffer(x["held"], np.int32)
             grads[0][rows] += np.frombuffer(x["r"], np.float32).reshape(len(rows), d) / np.float32(total)
             grads[1] += np.frombuffer(x["q"], np.float32).reshape(symbols, d) / np.float32(total)
@@ -233,7 +277,7 @@ def train(pairs: DataFrame, contexts: int, symbols: int, d: int, k: int, steps:
     return params[0], params[1], params[2]
 
 
-def fit(df: DataFrame, train_rows: Column, text: str = "text", head: int | None = None, classes: int | None = None, contexts: int | None = None, known: int = 120_000, d: int = 24, k: int = 50, steps: int = 32, rate: float = 0.2, prior: float = 8.0) -> tuple[Model, DataFrame]:
+def fit(df: DataFrame, train_rows: Column, text: str = "text", head: int | None = None, classes: int | None = None, contexts: int | None = None, known: int = 120_000, d: int = 24, k: int = 50, steps: int = 24, rate: float = 0.25, prior: float = 8.0) -> tuple[Model, DataFrame]:
     """The model and the counts of its training tokens beyond the known ones (hash, c). head, classes, contexts: by the number of training tokens if not given."""
     rows = df.where(train_rows).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     counts = materialise(_token_counts(rows), "lm-counts")
@@ -253,9 +297,13 @@ def fit(df: DataFrame, train_rows: Column, text: str = "text", head: int | None
         if x in of:
             class_total[token_class(x, classes)] -= of[x]
             class_distinct[token_class(x, classes)] -= 1
-    pairs = _pair_counts(rows, first, classes, contexts).withColumn("part", F.pmod(F.hash("context"), F.lit(TASKS))).repartition(TASKS, "part").drop("part")
-    pairs = materialise(pairs, "lm-pairs")
-    r, q, b = train(pairs, contexts, len(first) + classes, d, k, steps, rate, prior)
+    pairs = materialise(_pair_counts(rows, first, classes, contexts), "lm-pairs")
+    own = np.zeros(len(first) + classes)
+    for x in pairs.groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # a number for each symbol
+        own[x["symbol"]] = x["n"]
+    parts = materialise(packed(pairs), "lm-packed")
+    r, q, b = train(parts, own, contexts, len(first) + classes, d, k, steps, rate, prior)
+    discard(pairs, parts)
     model = Model(first, classes, contexts, r, q, b, total, distinct, class_total, class_distinct, top)
     known_words = F.broadcast(df.sparkSession.createDataFrame([(x,) for x, _ in top], "w binary"))
     rare = counts.join(known_words, "w", "left_anti").select(F.xxhash64("w").alias("hash"), "c").groupBy("hash").agg(F.max("c").alias("c"))
@@ -281,7 +329,7 @@ def score(df: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, m, norm, lower, base_lower = prepared()
         part, row, n_head = TaskContext.get().partitionId(), 0, len(shared.value.head)
-        for held, texts in chunks(batches, "t"):
+        for held, texts in chunks(batches, "t", CHUNK):
             rows, lens = index.rows(texts)
             context, symbol = index.pairs(rows)
             count, in_class = index.count[rows], symbol >= n_head
