@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -56,18 +57,23 @@ class Shingler:
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct hashes of each text."""
         found = [words_of(t) for t in texts]
-        wanted = set().union(*found)
-        if len(self.index) + len(wanted) > self.most:
-            self.index = {}
-        new = list(wanted - self.index.keys())
-        at = len(self.index)
-        while at + len(new) > len(self.hashes):
-            self.hashes = np.resize(self.hashes, 2 * len(self.hashes))
-        self.hashes[at : at + len(new)] = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
-        get, out = self.index.__getitem__, []
+        words = list(chain.from_iterable(found))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new = {words[i] for i in miss.tolist()}
+            if len(self.index) + len(new) > self.most:
+                self.index, new, miss = {}, set(words), np.arange(len(words))
+            n = len(self.index)
+            while n + len(new) > len(self.hashes):
+                self.hashes = np.resize(self.hashes, 2 * len(self.hashes))
+            self.hashes[n : n + len(new)] = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
+            self.index.update(zip(new, range(n, n + len(new)), strict=True))
+            at[miss] = np.fromiter((self.index[words[i]] for i in miss.tolist()), np.int64, len(miss))
+        out, hashes, begin = [], self.hashes[at], 0
         for ws in found:
-            h = self.hashes[np.fromiter(map(get, ws), np.int64, len(ws))]
+            h = hashes[begin : begin + len(ws)]
+            begin += len(ws)
             width = min(self.n, len(h))
             if not width:
                 out.append(h)
@@ -245,6 +251,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
 
 
+def _step(percent: int) -> float:
+    """Buckets of sizes: logarithms, so wide that sizes which may match lie in one bucket or in neighbours."""
+    return 1.001 * max(1e-3, math.log(100 / percent))
+
+
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Rows of entries (gram, class, size, bucket, ...) for each pair of blocks of their list that may hold links: i <= j, own (the row's block). Blocks are parts of a bucket of sizes; buckets that aren't neighbours never match."""
     counts = entries.groupBy("gram", "bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -257,8 +268,10 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     rows = entries.join(counts, ["gram", "bucket"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     block = lambda bucket, part: bucket.cast("long") * 2**32 + part
     own = block(F.col("bucket"), F.col("part"))
+    # the largest partner that what comes after the n-gram allows, and the least size of a bucket
+    reach, least = F.floor((F.col("size") - F.col("at") + 1) * (100 + percent) / percent) - F.col("size"), lambda d: 0.999 * F.exp((F.col("bucket") + d) * F.lit(_step(percent)))
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    meets = lambda c, d: F.transform(upto(c), lambda k: block(F.col("bucket") + d, k))
+    meets = lambda c, d: F.when(reach >= least(d), F.transform(upto(c), lambda k: block(F.col("bucket") + d, k))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("other", F.explode(F.concat(meets("same", 0), meets("up", 1), meets("down", -1))))
     return rows.withColumn("i", F.least(own, "other")).withColumn("j", F.greatest(own, "other")).withColumn("own", own == F.col("i")).drop("blocks", "same", "up", "down", "part", "other", "bucket")
 
@@ -292,9 +305,8 @@ def link(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text
     of = lambda x: members.select(F.col("group").alias(f"group_{x}"), F.col("class").alias(x))
     pairs = pairs.join(of("a"), "group_a").join(of("b"), "group_b").where((F.col("group_a") < F.col("group_b")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # long lists
-    step = 1.001 * max(1e-3, math.log(100 / percent))
-    entries = members.select("class", "size", F.explode("prefix").alias("x")).select("class", "size", F.col("x.gram").alias("gram")).join(heavy, "gram")
-    entries = materialise(entries.withColumn("bucket", F.floor(F.log(F.col("size").cast("double")) / step).cast("int")), "jaccard-heavy")
+    entries = members.select("class", "size", F.explode("prefix").alias("x")).select("class", "size", F.col("x.at").alias("at"), F.col("x.gram").alias("gram")).join(heavy, "gram")
+    entries = materialise(entries.withColumn("bucket", F.floor(F.log(F.col("size").cast("double")) / _step(percent)).cast("int")), "jaccard-heavy")
     sketches = first.groupBy("class").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     sketches = materialise(sketches.join(members.select("class"), "class", "left_semi"), "jaccard-sketches")
     with_sketch = lambda x: sketches.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -303,13 +315,14 @@ def link(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text
     def candidates(pdf: pd.DataFrame, thin: bool) -> pd.DataFrame:
         gram, i, j = (int(pdf[c].iloc[0]) for c in ("gram", "i", "j"))
         same, ours = i == j, pdf["own"].to_numpy(bool)
-        name, size, root = pdf["class"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64), pdf["root"].to_numpy(np.int64)
+        name, size, after, root = pdf["class"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64), (pdf["size"] - pdf["at"] + 1).to_numpy(np.int64), pdf["root"].to_numpy(np.int64)
         left, right = (np.arange(len(name)), np.arange(len(name))) if same else (np.flatnonzero(ours), np.flatnonzero(~ours))
         width = min(map(len, pdf["sketch"]))
         bits = np.array([_folded(s, width) for s in pdf["sketch"]])
         found, far = [], []
         for x in left:
             need = (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])) & (root[right] != root[x])
+            need &= (100 + percent) * np.minimum(after[right], after[x]) >= percent * (size[right] + size[x])
             if same:
                 need &= name[right] > name[x]
             at = right[need]
@@ -339,7 +352,7 @@ def link(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text
             rooted = entries.withColumn("root", F.col("class"))
         else:
             rooted = entries.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        blocks = _block_pairs(rooted, percent).join(sketches.select("class", "sketch"), "class").select("gram", "i", "j", "own", "class", "size", "root", "sketch")
+        blocks = _block_pairs(rooted, percent).join(sketches.select("class", "sketch"), "class").select("gram", "i", "j", "own", "class", "size", "at", "root", "sketch")
         return materialise(blocks.groupBy("gram", "i", "j").applyInPandas(lambda pdf: candidates(pdf, thin), "a long, b long, block string"), "jaccard-blocks")
 
     thin = by_blocks(None)
