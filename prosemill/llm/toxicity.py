@@ -149,7 +149,7 @@ def train_weights(xs: list[list[int]], y: np.ndarray, cs: list[list[int] | None]
     return w, bias
 
 
-def score(df: DataFrame, model: Model, text: str = "text", out_col: str = "toxicity", max_words: int = 500_000) -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", out_col: str = "toxicity", max_words: int = 150_000) -> DataFrame:
     """df with out_col (in place of any such column), the probability of label 1. max_words: distinct words that a worker remembers."""
     weights, bias = model.weights, model.bias
     names = list(weights)
@@ -172,7 +172,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out_col: str = "toxic
                 return out
 
         known = Known()
-        for part, texts in chunks(batches, f"c{at}"):
+        for part, texts in chunks(batches, f"c{at}", 1_000_000):
             scores = []
             for t in texts:
                 shared = Counter(f for w in set(_WORD.findall(t.lower())) if (found := known[w]) for f in found)
