@@ -89,7 +89,11 @@ def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of available files, compacted by user."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='prosemill-')}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='prosemill-')}"
     home = f"{base.rstrip('/')}/ingest-{os.urandom(8).hex()}"
     events = _table(spark, sf_dir, "events")
     events.repartition(3, "user_id").write.parquet(f"{home}/in")
