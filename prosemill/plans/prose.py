@@ -128,7 +128,7 @@ PROSE = {
     ),
     # all ordered pairs of a conversation's turns
     "pairwise_weights": S("SELECT a.conv_id, a.turn AS i, b.turn AS j, round(1 / (1 + exp(-(length(a.text) - length(b.text)) / 1000.0)), 6) AS weight FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn"),
-    "group_advantage": S("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS advantage FROM events"),
+    "group_advantage": S("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 10) AS advantage FROM events"),
     # rows of both tables; of equal texts the first by origin and id stays
     "mixed_union": S(
         "SELECT origin, id, sample_id, key FROM (SELECT origin, id, sample_id, key, row_number() OVER (PARTITION BY key ORDER BY origin, id) AS k FROM (SELECT origin, id, concat(origin, ':', CAST(id AS VARCHAR(20))) AS sample_id, concat('text:', sha1(text)) AS key FROM "
