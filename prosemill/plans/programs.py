@@ -7,18 +7,37 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, series
+from ..operators import evaluation, models, series
 from ..streaming import ingest
 from .dialect import SENTENCE
+from .prose import PROSE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one in local mode alone."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='prosemill-')}"
+    return base.rstrip("/")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows, written once and reread, where several passes follow."""
+    path = f"{_shared(df.sparkSession)}/kept-{os.urandom(8).hex()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.normalised("text").alias("text"))
 
@@ -61,6 +80,9 @@ def _variation(a: Column) -> Column:
     return F.when((F.size(a) >= 2) & (mean > 0), F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)) / mean)
 
 
+TEXT_METRICS = ["word_ttr", "word_hapax_ratio", "sent_words_cv", "syllables_per_word_cv", "trigram_repeat_rate", "punct_variety_per_1000_chars"]
+
+
 def rubric_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, slice, metric, value of the six rubric metrics that need the text alone."""
     word = "[A-Za-z]+"
@@ -79,22 +101,65 @@ def rubric_metrics(docs: DataFrame) -> DataFrame:
     return words.select("doc_id", "slice", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("x")).select("doc_id", "slice", "x.*")
 
 
-def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the metrics that need the text alone, by document type, against 201 quantiles of each metric."""
+#: Columns of cadence_metrics that the rubric knows.
+MODEL_METRICS = [m for _, _, m, _, _ in evaluation.RUBRIC if f" AS {m}" in PROSE["cadence_metrics"].select]
+
+
+def _rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with each rubric metric's value, percentile and score: 15 of the 17, those of the text alone and those by shares of tokens; the baseline of each document type and of all is 201 quantiles of each metric."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("poem", "shortstory", "novel", "prose")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("slice"), "text")
-    long = rubric_metrics(docs)
-    baseline = long.where(F.col("value").isNotNull()).groupBy("slice", "metric").agg(F.percentile("value", [i / 200 for i in range(201)]).alias("values"))
-    return evaluation.overall(evaluation.rubric(long, baseline))
+    scored = PROSE["cadence_metrics"].query()(spark, sf_dir).unpivot("doc_id", MODEL_METRICS, "metric", "value")
+    long = _kept(rubric_metrics(docs).unionByName(docs.select("doc_id", "slice").join(scored, "doc_id")))
+    slices = F.explode(F.array_distinct(F.array(F.coalesce("slice", F.lit("all")), F.lit("all")))).alias("slice")
+    baseline = long.where(F.col("value").isNotNull()).select(slices, "metric", "value").groupBy("slice", "metric").agg(F.percentile("value", [i / 200 for i in range(201)]).alias("values"))
+    return evaluation.rubric_rows(long, baseline)
+
+
+def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.overall(evaluation.categories(_rubric(spark, sf_dir)))
+
+
+def rubric_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.worst(_rubric(spark, sf_dir))
+
+
+def rubric_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.improvements(_rubric(spark, sf_dir))
+
+
+def rubric_critique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.critique(_rubric(spark, sf_dir))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """doc_id and the scores of categories and metrics as columns c_ and m_; missing ones are 0.5."""
+    rows = _kept(_rubric(spark, sf_dir))
+    long = rows.select("doc_id", F.concat(F.lit("m_"), "metric").alias("name"), "score").unionByName(evaluation.categories(rows).select("doc_id", F.concat(F.lit("c_"), "category").alias("name"), "score"))
+    names = [f"c_{c}" for c in evaluation.LIMITS] + [f"m_{m}" for _, _, m, _, _ in evaluation.RUBRIC if m in MODEL_METRICS or m in TEXT_METRICS]
+    return _kept(long.groupBy("doc_id").pivot("name", names).agg(F.first("score")).fillna(0.5, names)), names
+
+
+def calibrator_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out, n, accuracy and auc of a calibrator that learns `quality` from rubric scores; a fifth of the labelled documents, by the crc32 of doc_id, is held out."""
+    feats, names = _features(spark, sf_dir)
+    rows = feats.join(_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id").where("y IS NOT NULL")
+    rows = rows.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return evaluation.report(rows.withColumn("p", models.train_direct(rows.where("NOT held_out"), names, "y").score() / 100), "held_out", "y", "p")
+
+
+def preference_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score of 0 to 100, the feature that moves it most and which way: a preference model over pairs of a good and a bad document each, dealt by hash."""
+    feats, names = _features(spark, sf_dir)
+    labelled = feats.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 1024)
+    dealt = labelled.withColumn("k", F.row_number().over(W.partitionBy("quality", "part").orderBy("doc_id")))
+    side = lambda q, prefix: dealt.where(F.col("quality") == q).select("part", "k", *[F.col(n).alias(prefix + n) for n in names])
+    model = models.train_pairs(side(1, "chosen_").join(side(0, "rejected_"), ["part", "k"]), names)
+    return feats.select("doc_id", F.bround(model.score(), 0).cast("int").alias("score"), model.leverage()[0]["name"].alias("feature"), model.leverage()[0]["way"].alias("way"))
 
 
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of available files, compacted by user."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='prosemill-')}"
-    home = f"{base.rstrip('/')}/ingest-{os.urandom(8).hex()}"
+    home = f"{_shared(spark)}/ingest-{os.urandom(8).hex()}"
     events = _table(spark, sf_dir, "events")
     events.repartition(3, "user_id").write.parquet(f"{home}/in")
     ingest.ingest(spark, f"{home}/in", events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), f"{home}/out", f"{home}/state", 1)
@@ -103,7 +168,8 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_text": normalize_text, **{f"corrupt_{k}": corrupted(k) for k in T.KINDS}, "similarity_ratio": similarity_ratio, "spectral_peak": spectral_peak, "dtw": dtw,
-    "nearest_centroid_loo": nearest_centroid_loo, "rubric_score": rubric_score, "incremental_ingest": incremental_ingest,
+    "nearest_centroid_loo": nearest_centroid_loo, "rubric_score": rubric_score, "rubric_worst": rubric_worst, "rubric_improvements": rubric_improvements, "rubric_critique": rubric_critique,
+    "calibrator_training": calibrator_training, "preference_training": preference_training, "incremental_ingest": incremental_ingest,
 }
 QUERIES["confusion"] = confusion
 #: Those that SQL can express all the same.

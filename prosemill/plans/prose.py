@@ -53,6 +53,22 @@ PROSE = {
         "round(coalesce(PCT(gap, 0.5), 0.0), 6) AS ipi_median, round(coalesce(0.3 * avg(gap), 0.0), 6) AS cooldown FROM (SELECT *, CAST(idx - lag(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS DOUBLE) AS gap FROM spikes) g GROUP BY doc_id",
         TOKENS, f"{STOP_VIEW}, {PLACED}, {SPIKES}",
     ),
+    # measures of a text by the shares of tokens, and how open each place is by the tokens that follow the one before it
+    "cadence_metrics": S(
+        "SELECT a.doc_id, round(a.h, 9) AS entropy_mean, round(a.rate, 9) AS high_surprise_rate_per_100, round(a.ipi, 9) AS ipi_mean, round(a.cooldown, 9) AS cooldown_entropy_drop_3, round(b.cv, 9) AS sent_burst_cv, round(c.cv, 9) AS para_burst_cv, "
+        "round(a.next_content, 9) AS spike_next_content_rate, round(a.prev_punct, 9) AS spike_prev_punct_rate, round(a.content, 9) AS content_fraction FROM "
+        "(SELECT doc_id, avg(h) AS h, 100.0 * count(CASE WHEN up = 1 AND s > prev AND s >= next THEN 1 END) / max(n) AS rate, CASE WHEN sum(up) >= 2 THEN 1.0 * (max(CASE WHEN up = 1 THEN idx END) - min(CASE WHEN up = 1 THEN idx END)) / (sum(up) - 1) END AS ipi, "
+        "avg(CASE WHEN up = 1 AND idx + 3 < n THEN h - after END) AS cooldown, coalesce(avg(CASE WHEN up = 1 AND next_tok IS NOT NULL THEN CASE WHEN MATCHES(next_tok, R'\\p{L}') >= 3 THEN 1.0 ELSE 0.0 END END), 0.0) AS next_content, "
+        "coalesce(avg(CASE WHEN up = 1 AND prev_tok IS NOT NULL THEN CASE WHEN MATCHES(prev_tok, R'[\\p{L}\\p{N}]') = 0 THEN 1.0 ELSE 0.0 END END), 0.0) AS prev_punct, avg(CASE WHEN MATCHES(tok, R'\\p{L}') >= 3 THEN 1.0 ELSE 0.0 END) AS content FROM flat GROUP BY doc_id) a "
+        "LEFT JOIN (SELECT doc_id, stddev_pop(m) / (abs(avg(m)) + 1e-12) AS cv FROM (SELECT doc_id, sent, avg(s) AS m FROM flat GROUP BY doc_id, sent) x GROUP BY doc_id HAVING count(*) >= 2) b ON b.doc_id = a.doc_id "
+        "LEFT JOIN (SELECT doc_id, stddev_pop(m) / (abs(avg(m)) + 1e-12) AS cv FROM (SELECT doc_id, para, avg(s) AS m FROM flat GROUP BY doc_id, para) x GROUP BY doc_id HAVING count(*) >= 2) c ON c.doc_id = a.doc_id",
+        TOKENS,
+        "places AS (SELECT doc_id, idx - 1 AS idx, v, lag(v) OVER w AS before, coalesce(sum(CASE WHEN MATCHES(v, R'[.!?\\n]') > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent, "
+        "coalesce(sum(MATCHES(v, R'\\n\\s*\\n')) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS para FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY idx)), "
+        "grams AS (SELECT before, v, CAST(count(*) AS DOUBLE) AS c FROM places WHERE before IS NOT NULL GROUP BY before, v), openness AS (SELECT before, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM grams GROUP BY before), "
+        "steps AS (SELECT p.doc_id, p.idx, p.sent, p.para, o.h, avg(o.h) OVER (PARTITION BY p.doc_id ORDER BY p.idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS after FROM places p JOIN openness o ON o.before = p.before), "
+        "flat AS (SELECT n.doc_id, n.idx, n.tok, n.s, n.n, n.prev, n.next, n.prev_tok, n.next_tok, t.h, t.after, t.sent, t.para, CASE WHEN n.s >= n.mean + n.sd THEN 1 ELSE 0 END AS up FROM near n JOIN steps t ON t.doc_id = n.doc_id AND t.idx = n.idx)",
+    ),
     # the sentence that each spike lies in
     "spike_sentences": S("SELECT p.doc_id, p.sent, count(*) AS tokens, count(k.idx) AS spikes FROM placed p LEFT JOIN spikes k ON k.doc_id = p.doc_id AND k.idx + 1 = p.idx GROUP BY p.doc_id, p.sent", TOKENS, f"{STOP_VIEW}, {PLACED}, {SPIKES}"),
     # spikes of each line against 1.5 of max(4, length) tokens; runs of four or more cost
