@@ -150,8 +150,9 @@ def calibrator_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preference_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, score of 0 to 100, the feature that moves it most and which way: a preference model over pairs of a good and a bad document each, dealt by hash."""
     feats, names = _features(spark, sf_dir)
-    labelled = feats.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 1024)
-    dealt = labelled.withColumn("k", F.row_number().over(W.partitionBy("quality", "part").orderBy("doc_id")))
+    labelled = feats.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    parts = max(1, labelled.count() // 64)  # of about 64 documents each, however many there are
+    dealt = labelled.withColumn("part", F.crc32(F.col("doc_id").cast("string")) % parts).withColumn("k", F.row_number().over(W.partitionBy("quality", "part").orderBy("doc_id")))
     side = lambda q, prefix: dealt.where(F.col("quality") == q).select("part", "k", *[F.col(n).alias(prefix + n) for n in names])
     model = models.train_pairs(side(1, "chosen_").join(side(0, "rejected_"), ["part", "k"]), names)
     return feats.select("doc_id", F.bround(model.score(), 0).cast("int").alias("score"), model.leverage()[0]["name"].alias("feature"), model.leverage()[0]["way"].alias("way"))
