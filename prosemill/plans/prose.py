@@ -55,8 +55,8 @@ PROSE = {
     ),
     # measures of a text by the shares of tokens, and how open each place is by the tokens that follow the one before it
     "cadence_metrics": S(
-        "SELECT a.doc_id, round(a.h, 9) AS entropy_mean, round(a.rate, 9) AS high_surprise_rate_per_100, round(a.ipi, 9) AS ipi_mean, round(a.cooldown, 9) AS cooldown_entropy_drop_3, round(b.cv, 9) AS sent_burst_cv, round(c.cv, 9) AS para_burst_cv, "
-        "round(a.next_content, 9) AS spike_next_content_rate, round(a.prev_punct, 9) AS spike_prev_punct_rate, round(a.content, 9) AS content_fraction FROM "
+        "SELECT a.doc_id, round(a.h, 6) AS entropy_mean, round(a.rate, 6) AS high_surprise_rate_per_100, round(a.ipi, 6) AS ipi_mean, round(a.cooldown, 6) AS cooldown_entropy_drop_3, round(b.cv, 6) AS sent_burst_cv, round(c.cv, 6) AS para_burst_cv, "
+        "round(a.next_content, 6) AS spike_next_content_rate, round(a.prev_punct, 6) AS spike_prev_punct_rate, round(a.content, 6) AS content_fraction FROM "
         "(SELECT doc_id, avg(h) AS h, 100.0 * count(CASE WHEN up = 1 AND s > prev AND s >= next THEN 1 END) / max(n) AS rate, CASE WHEN sum(up) >= 2 THEN 1.0 * (max(CASE WHEN up = 1 THEN idx END) - min(CASE WHEN up = 1 THEN idx END)) / (sum(up) - 1) END AS ipi, "
         "avg(CASE WHEN up = 1 AND idx + 3 < n THEN h - after END) AS cooldown, coalesce(avg(CASE WHEN up = 1 AND next_tok IS NOT NULL THEN CASE WHEN MATCHES(next_tok, R'\\p{L}') >= 3 THEN 1.0 ELSE 0.0 END END), 0.0) AS next_content, "
         "coalesce(avg(CASE WHEN up = 1 AND prev_tok IS NOT NULL THEN CASE WHEN MATCHES(prev_tok, R'[\\p{L}\\p{N}]') = 0 THEN 1.0 ELSE 0.0 END END), 0.0) AS prev_punct, avg(CASE WHEN MATCHES(tok, R'\\p{L}') >= 3 THEN 1.0 ELSE 0.0 END) AS content FROM flat GROUP BY doc_id) a "
