@@ -60,4 +60,46 @@ def quality(common: int = 12) -> str:
  NOT failed AND NOT coalesce(chars >= {LEAST_CHARS} AND {js("own", "classes")} > {CHAR_LIMIT}, FALSE) AND NOT coalesce(words >= {LEAST_WORDS} AND {js(rest("hits"), rest("share"))} > {WORD_LIMIT}, FALSE) AS kept FROM hit"""
 
 
-ORACLES = {"op4_quality": quality(), "op9_secrets": secrets(), "op10_jaccard": jaccard()}
+def _crc(text: str) -> str:
+    """crc32 of a string's UTF-8 bytes: half a byte at a time, low half first."""
+    steps = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        steps.append(x)
+    halves = f"list_transform(range(length(hex(encode({text})))), lambda i: CAST(instr('0123456789ABCDEF', substr(hex(encode({text})), xor(i, 1) + 1, 1)) - 1 AS BIGINT))"
+    return f"xor(list_reduce({halves}, lambda c, x: xor(c >> 4, ({steps}::BIGINT[])[xor(c, x) % 16 + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def resample(seed: int = 7, percent: int = 25, least_words: int = 20, buckets: int = 10_000) -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH w AS (SELECT TRUE AS own, doc_id, {words} AS w FROM documents UNION ALL SELECT FALSE, item_id, {words} FROM benchmark),
+ f AS (SELECT own, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+ b AS (SELECT f, {_crc("f")} % {buckets} AS b FROM (SELECT DISTINCT f FROM f)),
+ c AS (SELECT b, count(*) FILTER (WHERE own) AS s, count(*) FILTER (WHERE NOT own) AS t FROM f JOIN b USING (f) GROUP BY b),
+ z AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM c),
+ g AS (SELECT b, floor(1000 * ln((c.t + 1) * (z.s + {buckets}) / ((c.s + 1) * (z.t + {buckets}))))::BIGINT AS gain FROM c, z),
+ d AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE own GROUP BY doc_id),
+ h AS (SELECT doc_id, ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h FROM documents),
+ e AS (SELECT h.doc_id, coalesce(d.n, 0) AS n_features, coalesce(d.weight, 0) AS weight, coalesce(d.weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0)))::BIGINT AS score FROM h LEFT JOIN d ON d.doc_id = h.doc_id),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM e WHERE n_features >= {2 * least_words - 1})
+ SELECT e.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN r <= {percent} * n // 100 THEN r END AS rank FROM e LEFT JOIN r ON r.doc_id = e.doc_id"""
+
+
+def trie() -> str:
+    return rf"""WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ k AS (SELECT c, c - c % 20 AS base, {_crc("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+ m AS (SELECT k.*, (SELECT count(*) FROM o WHERE o.c = k.base AND o.p <= k.h) AS got FROM k),
+ t AS (SELECT m.c, o.p, role, text FROM m JOIN o ON o.c = m.base AND o.p <= m.h UNION ALL SELECT m.c, o.p - m.h + m.got, role, text FROM m JOIN o ON o.c = m.c AND o.p > m.h),
+ s AS (SELECT c, p, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY p) AS path FROM t),
+ x AS (SELECT c, p, words, path FROM s UNION ALL SELECT c, 0, 0, '' FROM k),
+ q AS (SELECT c, p, words, path, max(p) OVER (PARTITION BY c) AS size FROM x),
+ node AS (SELECT path, p AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE p = size), '')) AS ends_sha256 FROM q GROUP BY path, p),
+ edge AS (SELECT *, CASE WHEN depth > 0 THEN left(path, 32 * (depth::INT - 1)) END AS up FROM node),
+ kids AS (SELECT up, count(*) AS n FROM edge WHERE up IS NOT NULL GROUP BY up),
+ below AS (SELECT a.path, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (WHERE b.path NOT IN (SELECT up FROM kids)) AS leaves FROM edge b JOIN q ON q.c = b.conv_id AND q.p <= b.depth JOIN node a ON a.path = q.path GROUP BY a.path)
+ SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+ FROM edge n JOIN below b ON b.path = n.path LEFT JOIN kids ON kids.up = n.path LEFT JOIN node u ON u.path = n.up"""
+
+
+ORACLES = {"op4_quality": quality(), "op9_secrets": secrets(), "op10_jaccard": jaccard(), "op12_resample": resample(), "op13_trie": trie()}

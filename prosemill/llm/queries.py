@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, jaccard, lm, mtree, packing, quality, secrets, sharding, toxicity
+from . import bpe, extraction, idfiles, jaccard, lm, mtree, packing, quality, resample, secrets, sharding, toxicity, trie
 from .common import crc_bucket, table
 from .oracles import ORACLES  # noqa: F401
 
-#: Tokenizers that the queries use; where they lie is a parameter of the operators.
-BPE_RANKS, PACK_TOKENIZER, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+def tokenizer(name: str) -> tuple[str, str]:
+    """Path and pattern of a public tokenizer that the queries use; the operators take both as parameters. Imported where it is used, so that other queries work without it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +26,7 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_decode(table(spark, sf_dir, "documents"), BPE_RANKS, PATTERN)
+    out = bpe.encode_decode(table(spark, sf_dir, "documents"), *tokenizer("byte_bpe_multi_50k.tiktoken"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -42,7 +45,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, PATTERN, end_id=0).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.json"), end_id=0).drop("ids")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +70,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op3_extraction": op3_extraction, "op4_quality": op4_quality, "op5_sharding": op5_sharding, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_mtree": op8_mtree, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
+def op11_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = idfiles.write(docs, *tokenizer("byte_bpe_50k.json"), end_id=0)
+    return idfiles.read(files, docs.schema["doc_id"].dataType.simpleString()).drop("ids")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=7, percent=25, least_words=20)
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.by_twenties(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_lm, op2_bpe, op3_extraction, op4_quality, op5_sharding, op6_packing, op7_toxicity, op8_mtree, op9_secrets, op10_jaccard, op11_idfiles, op12_resample, op13_trie)
+}
