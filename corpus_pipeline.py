@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prosemill.llm import jaccard, packing, quality, secrets, toxicity
 from prosemill.llm.common import crc_bucket, discard, fresh, materialise, table
-from prosemill.llm.queries import PACK_TOKENIZER, PATTERN
+from prosemill.llm.queries import tokenizer
 
 #: Bytes of ids or spans up to which a join sends them to all executors; beyond, both sides are shuffled.
 BROADCAST_BYTES = 16_000_000
@@ -74,7 +74,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, with their ids."""
-    return packing.pack(docs, PACK_TOKENIZER, PATTERN, end_id=0, with_ids=True)
+    return packing.pack(docs, *tokenizer("byte_bpe_50k.json"), end_id=0, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
