@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import programs
+from .plans import analysis, programs
 from .plans.statements import ALL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{name: statement.query() for name, statement in ALL.items()}, **programs.QUERIES}
-ORACLES: dict[str, str] = {**{name: statement.text("duck") for name, statement in ALL.items()}, **programs.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{name: statement.query() for name, statement in ALL.items()}, **programs.QUERIES, **analysis.QUERIES}
+ORACLES: dict[str, str] = {**{name: statement.text("duck") for name, statement in ALL.items()}, **programs.ORACLES, **analysis.ORACLES}

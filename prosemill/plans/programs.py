@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,31 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, models, series
+from ..operators import evaluation, models, scoring, series
 from ..streaming import ingest
 from .dialect import SENTENCE
-from .prose import PROSE
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one in local mode alone."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='prosemill-')}"
-    return base.rstrip("/")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows, written once and reread, where several passes follow."""
-    path = f"{_shared(df.sparkSession)}/kept-{os.urandom(8).hex()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from . import analysis
+from .shared import kept as _kept
+from .shared import shared_dir as _shared
+from .shared import table as _table
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +82,14 @@ def rubric_metrics(docs: DataFrame) -> DataFrame:
     return words.select("doc_id", "slice", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("x")).select("doc_id", "slice", "x.*")
 
 
-#: Columns of cadence_metrics that the rubric knows.
-MODEL_METRICS = [m for _, _, m, _, _ in evaluation.RUBRIC if f" AS {m}" in PROSE["cadence_metrics"].select]
+#: Measures of the token scorer that the rubric knows.
+MODEL_METRICS = [m for _, _, m, _, _ in evaluation.RUBRIC if m in scoring.MEASURES]
 
 
 def _rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id with each rubric metric's value, percentile and score: 15 of the 17, those of the text alone and those by shares of tokens; the baseline of each document type and of all is 201 quantiles of each metric."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("poem", "shortstory", "novel", "prose")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("slice"), "text")
-    scored = PROSE["cadence_metrics"].query()(spark, sf_dir).unpivot("doc_id", MODEL_METRICS, "metric", "value")
+    """doc_id with each of the 17 rubric metrics' value, percentile and score; the baseline of each document type and of all is 201 quantiles of each metric."""
+    docs = analysis.corpus_para(spark, sf_dir).select("doc_id", F.col("doc_type").alias("slice"), "text")
+    scored = analysis.analysis(spark, sf_dir).unpivot("doc_id", MODEL_METRICS, "metric", "value")
     long = _kept(rubric_metrics(docs).unionByName(docs.select("doc_id", "slice").join(scored, "doc_id")))
     slices = F.explode(F.array_distinct(F.array(F.coalesce("slice", F.lit("all")), F.lit("all")))).alias("slice")
     baseline = long.where(F.col("value").isNotNull()).select(slices, "metric", "value").groupBy("slice", "metric").agg(F.percentile("value", [i / 200 for i in range(201)]).alias("values"))
