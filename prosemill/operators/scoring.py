@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from ..plans.dialect import SENTENCE, TOKEN
 
+#: What is known of a pair: surprisal of its second token, and the distribution after its first.
+FACTS = ["s", "h", "width", "rank", "top10"]
 #: Characters of text in a chunk, and orders of units that cohesion takes.
 CHUNK, ORDERS = 2_000_000, 5
 #: The same patterns with ASCII white space spelled out: \s of the JVM's patterns knows no other.
@@ -78,12 +80,21 @@ def orders(n: int) -> list[list[int]]:
     return out
 
 
-def _chunk(texts: list[str], kinds: list[str | None]) -> tuple[list[bytes], list[bytes], list[bytes], list[tuple[int, int]], bytes]:
-    """For each text: numbers of its pairs, bits of its tokens, numbers of the pairs at new borders, and (orders, units); then the chunk's list of pairs."""
+def _chunk(texts: list[str], kinds: list[str | None], contexts: bool = True) -> tuple[list[bytes], list[bytes], list[bytes], list[bytes], list[tuple[int, int]], bytes]:
+    """For each text: numbers of its pairs, bits of its tokens, numbers of the pairs at new borders, its segments with tokens (level, start and end character, first token, tokens), and (orders, units); then the chunk's list of pairs.
+
+    contexts False: numbers are of single tokens (pairs with the start of a text), without bits, borders and segments."""
     tokens = [_TOKEN.findall(t) for t in texts]
     lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
     coded = pa.array([w for t in tokens for w in t], pa.string()).dictionary_encode()
     of, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words] + [0], np.uint64).view(np.int64)
+    raw = lambda x, c: [y.tobytes() for y in np.split(x, c)] if len(texts) else []
+    narrow = lambda x, n: x.astype("<u2" if n <= 1 << 16 else "<u4")
+    cuts = np.cumsum(lens)[:-1]
+    if not contexts:
+        packed = np.zeros(len(words), "<i8").tobytes() + hashes[:-1].astype("<i8").tobytes() + np.bincount(of, minlength=len(words)).astype("<i8").tobytes()
+        return raw(narrow(of, len(words)), cuts), [b""] * len(texts), [b""] * len(texts), [b""] * len(texts), [(0, 0)] * len(texts), packed
     size = np.fromiter(map(len, words), np.int64, len(words))
     bits = np.zeros(len(words), np.uint16)
     for i, w in enumerate(words):
@@ -92,18 +103,21 @@ def _chunk(texts: list[str], kinds: list[str | None]) -> tuple[list[bytes], list
     start_of_text, firsts = len(words), np.cumsum(lens) - lens
     before = np.concatenate([[start_of_text], of[:-1]])[: len(of)]
     before[firsts[lens > 0]] = start_of_text
-    flags, borders, facts = bits[of], [], []
+    flags, borders, facts, segments = bits[of], [], [], []
     for text, kind, a, n in zip(texts, kinds, firsts.tolist(), lens.tolist(), strict=True):
         own = of[a : a + n]
         ends = np.cumsum(size[own])
-        starts = ends - size[own]
-        for name, (inside, first) in SEGMENTS.items():
+        starts, rows = ends - size[own], []
+        for level, (name, (inside, first)) in enumerate(SEGMENTS.items()):
             if n and (spans := _spans(text, name)):
                 s, e = np.array(spans).T
                 at = np.searchsorted(s, starts, "right") - 1
                 held = (at >= 0) & (starts < e[at])
                 new = held & np.concatenate([[True], (at[1:] != at[:-1]) | ~held[:-1]])
                 flags[a : a + n] |= (held * np.uint16(inside)) | (new * np.uint16(first))
+                held_spans = at[new]
+                rows.append(np.stack([np.full(len(held_spans), level), s[held_spans], e[held_spans], np.flatnonzero(new), np.bincount(at[held], minlength=len(s))[held_spans]], 1))
+        segments.append(np.concatenate(rows).astype("<i4").tobytes() if rows else b"")
         found = units(text, kind) if n else []
         unit = np.maximum(0, np.searchsorted(np.array([x for x, _ in found]), ends - 1, "right") - 1) if found else np.zeros(n, np.int64)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1]) if n else np.zeros(0, np.int64)
@@ -118,16 +132,13 @@ def _chunk(texts: list[str], kinds: list[str | None]) -> tuple[list[bytes], list
     base = len(words) + 1
     pairs, at = np.unique(np.concatenate([before * base + of, extra[0] * base + extra[1]]), return_inverse=True)
     counts = np.bincount(at[: len(of)], minlength=len(pairs))
-    hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words] + [0], np.uint64).view(np.int64)
     packed = hashes[pairs // base].astype("<i8").tobytes() + hashes[pairs % base].astype("<i8").tobytes() + counts.astype("<i8").tobytes()
-    at = at.astype("<i4")
-    cuts, more = np.cumsum(lens)[:-1], np.cumsum([b.shape[1] for b in borders])[:-1].astype(int)
-    raw = lambda x, c: [y.tobytes() for y in np.split(x, c)] if len(texts) else []
-    return raw(at[: len(of)], cuts), raw(flags.astype("<u2"), cuts), raw(at[len(of) :], more), facts, packed
+    at, more = narrow(at, len(pairs)), np.cumsum([b.shape[1] for b in borders])[:-1].astype(int)
+    return raw(at[: len(of)], cuts), raw(flags.astype("<u2"), cuts), raw(at[len(of) :], more), segments, facts, packed
 
 
-def coded(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
-    """key, chunk, codes, flags, borders, orders, units of each row; pairs: the chunk's list, on its first row."""
+def coded(df: DataFrame, key: str, text: str, kind: str, contexts: bool = True) -> DataFrame:
+    """key, chunk, width (bytes of a number), codes, flags, borders, segments, orders, units of each row; pairs: the chunk's list, on its first row."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(kind).cast("string").alias("_kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +150,14 @@ def coded(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
                 last, held = first, 0
                 while last < len(texts) and (last == first or held + len(texts[last]) <= CHUNK):
                     held, last = held + len(texts[last]), last + 1
-                codes, flags, borders, facts, pairs = _chunk(texts[first:last], kinds[first:last])
+                codes, flags, borders, segments_, facts, pairs = _chunk(texts[first:last], kinds[first:last], contexts)
                 n = last - first
-                cols = [batch.column(0).slice(first, n), pa.array([(part << 32) + number] * n, pa.int64()), *(pa.array(x, pa.binary()) for x in (codes, flags, borders)), *(pa.array(x, pa.int32()) for x in zip(*facts, strict=True))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([pairs] + [None] * (n - 1), pa.binary())], ["_key", "chunk", "codes", "flags", "borders", "orders", "units", "pairs"])
+                width = 2 if len(pairs) <= 24 << 16 else 4
+                cols = [batch.column(0).slice(first, n), pa.array([(part << 32) + number] * n, pa.int64()), pa.array([width] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in (codes, flags, borders, segments_)), *(pa.array(x, pa.int32()) for x in zip(*facts, strict=True))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([pairs] + [None] * (n - 1), pa.binary())], ["_key", "chunk", "width", "codes", "flags", "borders", "segments", "orders", "units", "pairs"])
                 first, number = last, number + 1
 
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, chunk long, codes binary, flags binary, borders binary, orders int, units int, pairs binary")
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, chunk long, width int, codes binary, flags binary, borders binary, segments binary, orders int, units int, pairs binary")
 
 
 def chunk_pairs(rows: DataFrame) -> DataFrame:
@@ -160,41 +172,37 @@ def chunk_pairs(rows: DataFrame) -> DataFrame:
     return rows.where("pairs is not null").select("chunk", "pairs").mapInArrow(run, "chunk long, slot int, before long, v long, n long")
 
 
-def distributions(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The next-token distribution of each context, sorted and cumulated: before, v, c, total (of the context), rank, mass (up to and with this token), place, support, entropy, width, top10;
-    and v, c of all tokens. A context's tokens are its distinct followers, counted before; the start of a text is no context."""
-    counts = pairs.where("n > 0").groupBy("before", "v").agg(F.sum("n").alias("c"))
-    tokens = counts.groupBy("v").agg(F.sum("c").alias("c"))
+def distributions(pairs: DataFrame) -> DataFrame:
+    """The next-token distribution of each context, sorted and cumulated: before, v, c, total (of the context), rank (tokens at least as frequent), mass (up to and with this token), place, support, entropy, width, top10.
+
+    A context's tokens are its distinct followers, counted before; the start of a text is no context. Pairs that never occur (c = 0) come last and change nothing."""
+    counts = pairs.where("before <> 0").groupBy("before", "v").agg(F.sum("n").alias("c"))
     all_, down = Window.partitionBy("before"), Window.partitionBy("before").orderBy(F.desc("c"), "v")
-    rows = counts.where("before <> 0").withColumns({
-        "total": F.sum("c").over(all_), "support": F.count("*").over(all_), "place": F.row_number().over(down), "cumulated": F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, 0)),
+    seen = F.col("c") > 0
+    rows = counts.withColumns({
+        "total": F.sum("c").over(all_), "support": F.count_if(seen).over(all_), "place": F.row_number().over(down), "cumulated": F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, 0)),
         "rank": F.count("*").over(Window.partitionBy("before").orderBy(F.desc("c")).rangeBetween(Window.unboundedPreceding, 0)),
     })
-    rows = rows.withColumns({
-        "entropy": F.log("total") - F.sum(F.col("c") * F.log("c")).over(all_) / F.col("total"), "mass": F.col("cumulated") / F.col("total"),
-        "width": F.count_if(10 * (F.col("cumulated") - F.col("c")) < 9 * F.col("total")).over(all_), "top10": F.sum(F.when(F.col("place") <= 10, F.col("c"))).over(all_) / F.col("total"),
-    })
-    return rows.drop("cumulated"), tokens
+    return rows.withColumns({
+        "entropy": F.log("total") - F.sum(F.when(seen, F.col("c") * F.log("c"))).over(all_) / F.col("total"), "mass": F.col("cumulated") / F.col("total"),
+        "width": F.count_if(seen & (10 * (F.col("cumulated") - F.col("c")) < 9 * F.col("total"))).over(all_), "top10": F.sum(F.when(F.col("place") <= 10, F.col("c"))).over(all_) / F.col("total"),
+    }).drop("cumulated")
 
 
 def pair_facts(pairs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], contexts: bool = True) -> tuple[DataFrame, int]:
-    """chunk, slot, s (surprisal), h, width, rank, top10 of each chunk's pairs, and the number of distinct tokens. Pairs at new borders that never occur have s alone.
+    """chunk, slot, s (surprisal), h, width, rank, top10 of each chunk's pairs, and the number of distinct tokens. Pairs at new borders that never occur have the probability of their token alone.
 
     contexts False: s is that of the token's smoothed share of all tokens, and there is nothing else. s has nine decimals, so that equal shares tie."""
-    table, tokens = distributions(pairs)
-    tokens = kept(tokens, "tokens")
-    total, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    share = lambda c: (F.col(c) + 1) / F.lit(float(total + distinct + 1))
+    tokens = kept(pairs.where("n > 0").groupBy("v").agg(F.sum("n").alias("all")), "tokens")
+    total, distinct = tokens.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count("*")).first()
+    share = (F.col("all") + 1) / F.lit(float(total + distinct + 1))
     surprisal = lambda p: F.round(-F.log(p), 9).alias("s")
-    wanted = pairs.where("before <> 0").select("chunk", "slot", "before", "v", "n")
     names = {"h": "double", "width": "long", "rank": "long", "top10": "double"}
     if not contexts:
-        return wanted.join(tokens.select("v", surprisal(share("c"))), "v").select("chunk", "slot", "s", *[F.lit(None).cast(k).alias(n) for n, k in names.items()]), distinct
-    p = 0.7 * F.col("c") / F.col("total") + 0.3 * share("all")
-    facts = kept(table.join(tokens.withColumnRenamed("c", "all"), "v").select("before", "v", surprisal(p), F.col("entropy").alias("h"), "width", "rank", "top10"), "facts")
-    known = wanted.join(facts, ["before", "v"]).select("chunk", "slot", "s", *names)
-    new = wanted.where("n = 0").join(facts, ["before", "v"], "left_anti").join(tokens, "v").select("chunk", "slot", surprisal(0.3 * share("c")))
-    return known.unionByName(new, allowMissingColumns=True), distinct
+        return pairs.join(tokens.select("v", surprisal(share)), "v").select("chunk", "slot", "s", *[F.lit(None).cast(k).alias(n) for n, k in names.items()]), distinct
+    p = 0.7 * F.coalesce(F.try_divide(F.col("c"), F.col("total")), F.lit(0.0)) + 0.3 * share
+    facts = distributions(pairs).join(tokens, "v").select("before", "v", surprisal(p), F.col("entropy").alias("h"), "width", "rank", "top10")
+    return pairs.where("before <> 0").join(facts, ["before", "v"]).select("chunk", "slot", "s", *names), distinct
 
 
 class _Docs:
@@ -240,16 +248,17 @@ def _hurst(s: np.ndarray) -> float:
     return float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) >= 2 else math.nan
 
 
-def measures(codes: list[bytes], flags: list[bytes], borders: list[bytes], dealt: np.ndarray, unit_counts: np.ndarray, facts: dict[str, np.ndarray], distinct: int) -> dict[str, np.ndarray]:
+def measures(width: int, codes: list[bytes], flags: list[bytes], borders: list[bytes], dealt: np.ndarray, unit_counts: np.ndarray, facts: dict[str, np.ndarray], distinct: int) -> dict[str, np.ndarray]:
     """Values of COUNTS and MEASURES by document; NaN: none."""
     count = len(codes)
-    slot, bit = np.frombuffer(b"".join(codes), "<i4"), np.frombuffer(b"".join(flags), "<u2")
-    tokens = np.fromiter((len(c) // 4 for c in codes), np.int64, count)
+    slot, bit = np.frombuffer(b"".join(codes), f"<u{width}"), np.frombuffer(b"".join(flags), "<u2")
+    bit = bit if len(bit) == len(slot) else np.zeros(len(slot), np.uint16)
+    tokens = np.fromiter((len(c) // width for c in codes), np.int64, count)
     doc, place = np.repeat(np.arange(count), tokens), np.arange(len(slot)) - np.repeat(np.cumsum(tokens) - tokens, tokens)
     scored = place > 0
     segment = {k: np.cumsum((bit & first) > 0) for k, (_, first) in SEGMENTS.items()}
     own = _Docs(doc[scored], count)
-    s, h, width, rank, top10 = (facts[k][slot[scored]] for k in ("s", "h", "width", "rank", "top10"))
+    s, h, nucleus, rank, top10 = (facts[k][slot[scored]] for k in ("s", "h", "width", "rank", "top10"))
     bit_, at, n = bit[scored], place[scored] - 1, own.n
     out: dict[str, np.ndarray] = {"tokens_count": n}
     flag = lambda x: ((bit_ & x) > 0).astype(float)
@@ -270,7 +279,7 @@ def measures(codes: list[bytes], flags: list[bytes], borders: list[bytes], dealt
         "surprisal_acf1": enough(over(pair, z[1:] * z[:-1]) / energy, 5), "surprisal_acf2": enough(over(third, z[2:] * z[:-2]) / energy, 5),
         "entropy_mean": h_mean, "entropy_median": h50, "entropy_p10": h10, "entropy_p90": h90, "entropy_range_ratio": np.where((n >= 4) & (h_mean > 1e-12), (h90 - h10) / h_mean, np.nan), "entropy_bits_mean": h_mean / math.log(2), "bpt_mean": mean / math.log(2),
         "eff_support_mean": own.mean(np.exp(h)), "rank_percentile_mean": share_mean, "rank_percentile_cv": enough(own.sd(share) / np.maximum(share_mean, 1e-12), 2), "rank_percentile_p10": enough(own.quantiles(share, [0.1])[0], 2),
-        "nucleus_w_mean": own.mean(width), "top10_mass_mean": own.mean(top10), "tail_mass_mean": 1 - own.mean(top10), "norm_surprisal_mean_clipped": own.mean(s / np.maximum(h, 1)),
+        "nucleus_w_mean": own.mean(nucleus), "top10_mass_mean": own.mean(top10), "tail_mass_mean": 1 - own.mean(top10), "norm_surprisal_mean_clipped": own.mean(s / np.maximum(h, 1)),
         "norm_surprisal_median": own.quantiles(s / np.maximum(h, 1), [0.5])[0], "norm_surprisal_ratio_of_means": mean / np.maximum(h_mean, 1e-12), "content_fraction": own.mean(flag(CONTENT)), "punct_rate": own.mean(flag(PUNCT)), "newline_rate": own.mean(flag(NEWLINE)),
     }
     high = s >= (mean + sd)[own.doc]
@@ -318,8 +327,8 @@ def measures(codes: list[bytes], flags: list[bytes], borders: list[bytes], dealt
         out[f"{name}_count"] = seg.n
         out[f"{name}_tokens_mean"], out[f"{name}_tokens_p90"] = seg.mean(size), seg.quantiles(size.astype(float), [0.9])[0]
         out[f"{name}_burst_cv"], out[f"{name}_len_cv"] = several(means), several(size.astype(float))
-    border = np.frombuffer(b"".join(borders), "<i4")
-    b_doc = np.repeat(np.arange(count), [len(b) // 4 for b in borders])
+    border = np.frombuffer(b"".join(borders), f"<u{width}")
+    b_doc = np.repeat(np.arange(count), [len(b) // width for b in borders])
     old = np.flatnonzero(scored & ((bit & 512) > 0))
     dealt_sum, own_sum = np.bincount(b_doc, facts["s"][border], count), np.bincount(doc[old], facts["s"][slot[old]], count)
     delta = (own_sum - dealt_sum / np.maximum(1, dealt)) / np.maximum(1, n)
@@ -329,26 +338,70 @@ def measures(codes: list[bytes], flags: list[bytes], borders: list[bytes], dealt
     return out
 
 
+def _gathered(found: pa.Table) -> dict[str, np.ndarray]:
+    """Facts by slot; NaN: none."""
+    slot, held = found["slot"].to_numpy(), {}
+    for k in FACTS:
+        held[k] = np.full(int(slot.max()) + 1 if len(slot) else 1, np.nan)
+        held[k][slot] = found[k].to_numpy()
+    return held
+
+
 def analyse(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", kind: str = "doc_type", contexts: bool = True) -> DataFrame:
     """A row per row of df: key, COUNTS (long) and MEASURES (double). kept(df, name) writes a table to a folder that all executors share and gives it back; kind 'poem' has lines for units.
 
     contexts False: surprisal by shares of all tokens, without measures of next-token distributions."""
-    rows = kept(coded(df, key, text, kind), "coded")
-    facts, distinct = pair_facts(kept(chunk_pairs(rows), "pairs"), kept, contexts)
+    rows = kept(coded(df, key, text, kind, contexts), "coded")
+    facts, distinct = pair_facts(chunk_pairs(rows), kept, contexts)
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{m} double" for m in MEASURES])
-    names = ["s", "h", "width", "rank", "top10"]
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        slot = found["slot"].to_numpy()
-        held = {}
-        for k in names:
-            held[k] = np.full(int(slot.max()) + 1 if len(slot) else 1, np.nan)
-            held[k][slot] = found[k].to_numpy()
         with np.errstate(all="ignore"):
-            values = measures(*(docs[c].to_pylist() for c in ("codes", "flags", "borders")), *(docs[c].to_numpy() for c in ("orders", "units")), held, distinct)
+            values = measures(docs["width"][0].as_py(), *(docs[c].to_pylist() for c in ("codes", "flags", "borders")), *(docs[c].to_numpy() for c in ("orders", "units")), _gathered(found), distinct)
         cols = [docs["_key"], *(pa.array(values[c], pa.int64()) for c in COUNTS), *(pa.array(np.asarray(values[m], float), from_pandas=True) for m in MEASURES)]
         return pa.table(cols, ["_key", *COUNTS, *MEASURES])
 
-    docs = rows.select("_key", "chunk", "codes", "flags", "borders", "orders", "units")
+    docs = rows.select("_key", "chunk", "width", "codes", "flags", "borders", "orders", "units")
     out = docs.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(lambda a, b: run(a, b), schema)
     return out.withColumnRenamed("_key", key)
+
+
+def segments(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", kind: str = "doc_type") -> DataFrame:
+    """A row per sentence, paragraph and line with scored tokens: key, level (sent, para, line), number from 0 within the text and level, start_char, end_char, start_token and tokens in the scored series,
+    mean_surprisal, spikes (tokens a standard deviation or more above the text's mean) and spike_median, their median place from the segment's start (null: none)."""
+    rows = kept(coded(df, key, text, kind), "coded")
+    facts, _ = pair_facts(chunk_pairs(rows), kept)
+    names = ["level", "number", "start_char", "end_char", "start_token", "tokens", "mean_surprisal", "spikes", "spike_median"]
+    schema = f"_key {rows.schema['_key'].dataType.simpleString()}, level string, number int, start_char int, end_char int, start_token int, tokens int, mean_surprisal double, spikes int, spike_median double"
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        codes, spans = docs["codes"].to_pylist(), docs["segments"].to_pylist()
+        width = docs["width"][0].as_py()
+        n = np.fromiter((len(c) // width for c in codes), np.int64, len(codes))
+        slot, first = np.frombuffer(b"".join(codes), f"<u{width}"), np.cumsum(n) - n
+        doc, place = np.repeat(np.arange(len(n)), n), np.arange(len(slot)) - np.repeat(first, n)
+        scored, s = place > 0, np.zeros(len(slot))
+        s[scored] = _gathered(found)["s"][slot[scored]]
+        own = _Docs(doc[scored], len(n))
+        high = np.zeros(len(s), bool)
+        with np.errstate(all="ignore"):
+            high[scored] = s[scored] >= (own.mean(s[scored]) + own.sd(s[scored]))[own.doc]
+        span = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 5).astype(np.int64)
+        span_doc = np.repeat(np.arange(len(n)), [len(x) // 20 for x in spans])
+        begin = np.maximum(span[:, 3], 1)  # the first token has no score
+        size = span[:, 3] + span[:, 4] - begin
+        span, span_doc, begin, size = (x[size > 0] for x in (span, span_doc, begin, size))
+        of, at = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        token = first[span_doc][of] + begin[of] + at
+        group = span_doc * 3 + span[:, 0]
+        number = np.arange(len(group)) - np.searchsorted(group, group)
+        spiky = _Docs(of[high[token]], len(size))
+        median = spiky.quantiles(at[high[token]].astype(float), [0.5])[0]
+        columns = [
+            docs["_key"].take(pa.array(span_doc)), pa.array(np.array(list(SEGMENTS), object)[span[:, 0]], pa.string()), *(pa.array(x.astype(np.int32)) for x in (number, span[:, 1], span[:, 2], begin - 1, size)),
+            pa.array(np.bincount(of, s[token], len(size)) / np.maximum(1, size)), pa.array(spiky.n.astype(np.int32)), pa.array(median, from_pandas=True),
+        ]
+        return pa.table(columns, ["_key", *names])
+
+    out = rows.select("_key", "chunk", "width", "codes", "segments").groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(lambda a, b: run(a, b), schema)
+    return out.withColumnRenamed("_key", key)

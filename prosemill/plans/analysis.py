@@ -52,8 +52,9 @@ def _segments(name: str, pattern: str | None) -> str:
     else:
         gap = "\\n" if name == "line" else "\\n\\s*\\n"
         pieces = f"SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS piece FROM (SELECT doc_id, string_split(regexp_replace(text, '({gap})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS l FROM c)"
-        span = "doc_id, i, e - length(piece) AS a, e + CASE WHEN line THEN 1 ELSE 0 END AS b, CASE WHEN i % 2 = 0 THEN piece ELSE '' END AS held".replace("line", "TRUE" if name == "line" else "FALSE")
-    return f"""{name}_spans AS (SELECT * FROM (SELECT {span} FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM ({pieces}))) WHERE regexp_matches(held, '[^\\s]')),
+        end = "least(e + 1, total)" if name == "line" else "e"
+        span = f"doc_id, i, e - length(piece) AS a, {end} AS b, CASE WHEN i % 2 = 0 THEN piece ELSE '' END AS held"
+    return f"""{name}_spans AS (SELECT * FROM (SELECT {span} FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(length(piece)) OVER (PARTITION BY doc_id) AS total FROM ({pieces}))) WHERE regexp_matches(held, '[^\\s]')),
  {name}_means AS (SELECT s.doc_id, p.i, avg(s.s) AS m, count(*)::DOUBLE AS n FROM scored s JOIN {name}_spans p ON p.doc_id = s.doc_id AND s.a >= p.a AND s.a < p.b GROUP BY s.doc_id, p.i),
  {name}_facts AS (SELECT doc_id, count(*) AS {name}_count, avg(n) AS {name}_tokens_mean, quantile_cont(n, 0.9) AS {name}_tokens_p90, CASE WHEN count(*) > 1 THEN stddev_pop(m) / (abs(avg(m)) + 1e-12) END AS {name}_burst_cv,
   CASE WHEN count(*) > 1 THEN stddev_pop(n) / (abs(avg(n)) + 1e-12) END AS {name}_len_cv FROM {name}_means GROUP BY doc_id)"""
@@ -64,7 +65,7 @@ def _gaps(name: str, mask: str) -> str:
     return f"{name} AS (SELECT doc_id, avg(g) AS mean, CASE WHEN count(*) > 1 THEN stddev_pop(g) / (avg(g) + 1e-12) END AS cv, quantile_cont(g, 0.5) AS med FROM (SELECT doc_id, (i - lag(i) OVER (PARTITION BY doc_id ORDER BY i))::DOUBLE AS g FROM near WHERE {mask}) WHERE g IS NOT NULL GROUP BY doc_id)"
 
 
-def _statement() -> str:
+def statement() -> str:
     """doc_id, counts and measures; one row per token, joined to its pair's share and its context's distribution."""
     return rf"""c AS (SELECT doc_id, source AS author, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
  t AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS v FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS l FROM c)),
@@ -109,6 +110,6 @@ def doc_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"doc_cadence": doc_cadence, "doc_analysis": doc_analysis, "author_means": author_means, "cohesion": cohesion}
 ORACLES = {
-    "doc_analysis": f"WITH {_statement()} SELECT doc_id, {', '.join(COUNTS_IN_SQL)}, {', '.join(f'round({m}, 6) AS {m}' for m in IN_SQL)} FROM measured",
-    "author_means": f"WITH {_statement()} SELECT author, count(*) AS docs_count, sum(tokens_count)::BIGINT AS tokens_total, {', '.join(f'round(avg({m}), 6) AS {m}_mean' for m in IN_SQL)} FROM measured GROUP BY author",
+    "doc_analysis": f"WITH {statement()} SELECT doc_id, {', '.join(COUNTS_IN_SQL)}, {', '.join(f'round({m}, 6) AS {m}' for m in IN_SQL)} FROM measured",
+    "author_means": f"WITH {statement()} SELECT author, count(*) AS docs_count, sum(tokens_count)::BIGINT AS tokens_total, {', '.join(f'round(avg({m}), 6) AS {m}_mean' for m in IN_SQL)} FROM measured GROUP BY author",
 }

@@ -31,5 +31,5 @@ def shared_dir(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """The rows, written once to the shared folder and reread: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{os.urandom(8).hex()}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
