@@ -43,3 +43,71 @@ def test_text_of_all_slots_in_page_order(spark):
     rows = [(i, f"http://a.example/{i}", page.format(i, table.format(i) if i % 2 else "")) for i in range(8)]
     got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n".join([f"before {i}", *[f"cell {i}"] * (i % 2), f"after {i}"]) for i in range(8)}
+
+
+def spun(i, n):
+    return " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(n))
+
+
+def extracted(spark, pages):
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages)]
+    return [r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_template_decides_without_article_class_or_id(spark):
+    """Sites of bare div elements: menus, notes and footers differ from page to page; boilerplate within the content is shared."""
+    page = "<html><head><title>T {0}</title></head><body><div><a>m {0}</a><a>n {0}</a></div><div><div><h2>{1}</h2><p>{2}</p><p>Follow us for more</p><p>{3}</p></div></div><div>note {0}</div><div><a>back {0}</a></div></body></html>"
+    pages = [(f"http://bare.example/{i}", page.format(i, spun(i, 5), spun(i + 50, 40), spun(i + 90, 30))) for i in range(12)]
+    assert extracted(spark, pages) == [f"{spun(i, 5)}\n{spun(i + 50, 40)}\n{spun(i + 90, 30)}" for i in range(12)]
+
+
+def test_names_alone_do_not_drop_content(spark):
+    page = '<html><body><nav><a>x</a></nav><article><h1>{0}</h1><p class="related-work">{1}</p><div class="side-by-side"><p>{2}</p></div><p class="hidden-gem">{3}</p></article><footer>f {4}</footer></body></html>'
+    few = '<html><body><div id="wrap"><div class="ad">{4} buy</div><article><h1>{0}</h1><p>{1}</p></article><section class="comments"><p>{2} {3}</p></section></div></body></html>'
+    pages = [(f"http://n{i % 3}.example/{i}", page.format(spun(i, 3), spun(i + 9, 20), spun(i + 99, 15), spun(i + 7, 9), i)) for i in range(9)] + [("http://single.example/", few.format(*(spun(k, 30) for k in range(4)), 1))]
+    want = [f"{spun(i, 3)}\n{spun(i + 9, 20)}\n{spun(i + 99, 15)}\n{spun(i + 7, 9)}" for i in range(9)] + [f"{spun(0, 30)}\n{spun(1, 30)}"]
+    assert extracted(spark, pages) == want
+
+
+def brute_classes(pages):
+    """Tokens by occurrence vector, classes of two or more in half the pages or more, in one order on all pages."""
+    tokens = [[s for s, _, _ in extraction.Page(p).tokens if s] for p in pages]
+    vectors = {}
+    for t in {s for p in tokens for s in p}:
+        vectors.setdefault(tuple(p.count(t) for p in tokens), set()).add(t)
+    out = set()
+    for vector, held in vectors.items():
+        if len(held) > 1 and sum(v > 0 for v in vector) * 2 >= len(pages):
+            orders = set()
+            for p in tokens:
+                mine = [t for t in p if t in held]
+                orders.add(tuple(mine[: len(held)]) if mine and mine == mine[: len(held)] * (len(mine) // len(held)) else None if mine else ())
+            if len(orders - {()}) == 1 and None not in orders:
+                out |= held
+    return out
+
+
+def test_templates_against_plain_vectors(spark, sf):
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").withColumn("host", F.regexp_extract("url", "://([^/:?#]+)", 1))
+    hosts = [r.host for r in rows.groupBy("host").count().where("count between 6 and 13").orderBy("host").collect()][:5]
+    df = rows.where(F.col("host").isin(hosts))
+    got = {r._host: set(r.template) for r in extraction.templates(df.select(F.col("page_id").alias("_key"), F.col("url").alias("_url"), F.col("html").alias("_html")), 0.5, 0, 1 << 24).collect()}
+    for host in hosts:
+        want = brute_classes([r.html for r in df.where(F.col("host") == host).collect()])
+        assert {"<article>", "</article>", "<nav>", "<footer>"} <= want and got[host] <= want and {t for t in want if t[0] == "<"} - got[host] <= {"<br>", "<p>", "</p>", "<b>"}, host
+
+
+def test_texts_change_without_the_template(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(30).collect()]
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    assert sum(extraction.Page(p).text(set(), None, set()) != article(q) for p, q in zip(bare, pages, strict=True)) == len(pages)
+    got = extracted(spark, [("http://one.example/", p) for p in bare])
+    want = [article(p) for p in pages]
+    assert sum(a.split("\n")[-1] == b.split("\n")[-1] or b in a for a, b in zip(got, want, strict=True)) >= 0.9 * len(pages)
+
+
+def test_very_long_html(spark):
+    page = "<html><body><div class='x'>" + "<p>" + "word " * 200_000 + "</p>" * 2 + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</div></body></html>"
+    assert [len(t) for t in extracted(spark, [("http://long.example/", page)])] == [5 * 200_000 - 1 + 5]
