@@ -189,20 +189,19 @@ def distributions(pairs: DataFrame) -> DataFrame:
     }).drop("cumulated")
 
 
-def pair_facts(pairs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], contexts: bool = True) -> tuple[DataFrame, int]:
-    """chunk, slot, s (surprisal), h, width, rank, top10 of each chunk's pairs, and the number of distinct tokens. Pairs at new borders that never occur have the probability of their token alone.
+def pair_facts(pairs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], contexts: bool = True) -> tuple[DataFrame, int, int]:
+    """chunk, slot, s (surprisal), h, width, rank, top10 of each chunk's pairs, and the numbers of distinct and of all tokens. Pairs at new borders that never occur have the probability of their token alone.
 
-    contexts False: s is that of the token's smoothed share of all tokens, and there is nothing else. s has nine decimals, so that equal shares tie."""
+    contexts False: chunk, slot and c, how often the token occurs at all. s has nine decimals, so that equal shares tie."""
     tokens = kept(pairs.where("n > 0").groupBy("v").agg(F.sum("n").alias("all")), "tokens")
     total, distinct = tokens.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count("*")).first()
     share = (F.col("all") + 1) / F.lit(float(total + distinct + 1))
     surprisal = lambda p: F.round(-F.log(p), 9).alias("s")
-    names = {"h": "double", "width": "long", "rank": "long", "top10": "double"}
     if not contexts:
-        return pairs.join(tokens.select("v", surprisal(share)), "v").select("chunk", "slot", "s", *[F.lit(None).cast(k).alias(n) for n, k in names.items()]), distinct
+        return pairs.join(tokens, "v").select("chunk", "slot", F.col("all").alias("c")), distinct, total
     p = 0.7 * F.coalesce(F.try_divide(F.col("c"), F.col("total")), F.lit(0.0)) + 0.3 * share
     facts = distributions(pairs).join(tokens, "v").select("before", "v", surprisal(p), F.col("entropy").alias("h"), "width", "rank", "top10")
-    return pairs.where("before <> 0").join(facts, ["before", "v"]).select("chunk", "slot", "s", *names), distinct
+    return pairs.where("before <> 0").join(facts, ["before", "v"]).select("chunk", "slot", *FACTS), distinct, total
 
 
 class _Docs:
@@ -338,12 +337,15 @@ def measures(width: int, codes: list[bytes], flags: list[bytes], borders: list[b
     return out
 
 
-def _gathered(found: pa.Table) -> dict[str, np.ndarray]:
-    """Facts by slot; NaN: none."""
+def _gathered(found: pa.Table, size: int) -> dict[str, np.ndarray]:
+    """Facts by slot; NaN: none. size: smoothed number of all tokens, for facts that are counts."""
     slot, held = found["slot"].to_numpy(), {}
     for k in FACTS:
         held[k] = np.full(int(slot.max()) + 1 if len(slot) else 1, np.nan)
-        held[k][slot] = found[k].to_numpy()
+        if k in found.column_names:
+            held[k][slot] = found[k].to_numpy()
+    if "c" in found.column_names:
+        held["s"][slot] = np.round(-np.log((found["c"].to_numpy() + 1) / size), 9)
     return held
 
 
@@ -352,12 +354,13 @@ def analyse(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str
 
     contexts False: surprisal by shares of all tokens, without measures of next-token distributions."""
     rows = kept(coded(df, key, text, kind, contexts), "coded")
-    facts, distinct = pair_facts(chunk_pairs(rows), kept, contexts)
+    facts, distinct, total = pair_facts(chunk_pairs(rows), kept, contexts)
+    size = total + distinct + 1
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{m} double" for m in MEASURES])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         with np.errstate(all="ignore"):
-            values = measures(docs["width"][0].as_py(), *(docs[c].to_pylist() for c in ("codes", "flags", "borders")), *(docs[c].to_numpy() for c in ("orders", "units")), _gathered(found), distinct)
+            values = measures(docs["width"][0].as_py(), *(docs[c].to_pylist() for c in ("codes", "flags", "borders")), *(docs[c].to_numpy() for c in ("orders", "units")), _gathered(found, size), distinct)
         cols = [docs["_key"], *(pa.array(values[c], pa.int64()) for c in COUNTS), *(pa.array(np.asarray(values[m], float), from_pandas=True) for m in MEASURES)]
         return pa.table(cols, ["_key", *COUNTS, *MEASURES])
 
@@ -370,7 +373,7 @@ def segments(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: st
     """A row per sentence, paragraph and line with scored tokens: key, level (sent, para, line), number from 0 within the text and level, start_char, end_char, start_token and tokens in the scored series,
     mean_surprisal, spikes (tokens a standard deviation or more above the text's mean) and spike_median, their median place from the segment's start (null: none)."""
     rows = kept(coded(df, key, text, kind), "coded")
-    facts, _ = pair_facts(chunk_pairs(rows), kept)
+    facts, _, _ = pair_facts(chunk_pairs(rows), kept)
     names = ["level", "number", "start_char", "end_char", "start_token", "tokens", "mean_surprisal", "spikes", "spike_median"]
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, level string, number int, start_char int, end_char int, start_token int, tokens int, mean_surprisal double, spikes int, spike_median double"
 
@@ -381,7 +384,7 @@ def segments(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: st
         slot, first = np.frombuffer(b"".join(codes), f"<u{width}"), np.cumsum(n) - n
         doc, place = np.repeat(np.arange(len(n)), n), np.arange(len(slot)) - np.repeat(first, n)
         scored, s = place > 0, np.zeros(len(slot))
-        s[scored] = _gathered(found)["s"][slot[scored]]
+        s[scored] = _gathered(found, 0)["s"][slot[scored]]
         own = _Docs(doc[scored], len(n))
         high = np.zeros(len(s), bool)
         with np.errstate(all="ignore"):
