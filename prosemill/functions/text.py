@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import html
 import random
 import re
 import unicodedata
@@ -12,60 +13,137 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-#: Characters that normalisation replaces or drops.
+#: Characters that normalisation replaces after NFKC, and those that it drops before.
 REPLACED = {
-    "\u2014": "--", "\u2013": "-", "\u2015": "--", "\u2012": "-", "\u2010": "-", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u201a": "'", "\u201e": '"', "\u2026": "...", "\u2032": "'", "\u2033": '"',
-    "\u00a0": " ", "\u202f": " ", "\u2009": " ",
+    "—": "--", "–": "-", "―": "--", "‒": "-", "‐": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "‚": "'", "„": '"', "…": "...", "′": "'", "″": '"',
+    " ": " ", " ": " ", " ": " ",
 }
-DROPPED = "﻿​‌‍­"
-_TABLE = str.maketrans({**REPLACED, **dict.fromkeys(DROPPED, "")})
+ZERO_WIDTH, SOFT_HYPHEN, HYPHENS = "​‌‍⁠", "­", "-‐‑"
+SYMBOLS = "{}[]();<>/\\=+-*#@"
+#: Breaks of paragraphs and sentences, list items, indents, headings, marks of free e-books, and what drop_punctuation drops.
 _BREAK, _SENTENCE = re.compile(r"\n\s*\n+"), re.compile(r"(?<=[.!?])\s+")
+_ITEM, _INDENT, _HEADING = re.compile(r"^\s*(?:[-*+]|•|\d+[.)])\s+\S"), re.compile(r"^(?:\t+|\s{4,})\S"), re.compile(r"^\s*#{1,6}\s+\S")
+_BOOK_START, _BOOK_END = (re.compile(rf"\*\*\*\s*{x} OF (?:THE )?PROJECT GUTENBERG EBOOK.*?\*\*\*", re.I | re.S) for x in ("START", "END"))
+_PUNCTUATION = re.compile(r"[\"'“”‘’`]+|[.,;:!?]+")
 KINDS = ("shuffle_sentences", "shuffle_paragraphs", "repeat_sentences", "drop_punctuation", "flatten_paragraphs", "shuffle_all_sentences")
+#: What normalisation tells of a text, besides the text.
+META = "text string, applied boolean, original_chars int, normalized_chars int, original_newlines int, normalized_newlines int, replaced_single_newlines int, joined_hyphen_breaks int, preserved_newlines boolean, removed_zero_width_chars int, removed_soft_hyphens int, stripped_boilerplate boolean"
+
+
+def without_boilerplate(text: str) -> tuple[str, bool]:
+    """The text between the start and end marks of free e-books, and whether there were any; texts that name no such project stay."""
+    low = text.lower()
+    if "project gutenberg" not in low or not any(x in low for x in ("*** start of", "*** end of", "project gutenberg ebook")):
+        return text, False
+    start, end = _BOOK_START.search(text), _BOOK_END.search(text)
+    a, b = start.end() if start else 0, end.start() if end else len(text)
+    if b <= a:  # an end before the start doesn't count
+        b = len(text)
+    return (text[a:b].strip(), True) if start or end else (text, False)
+
+
+def keeps_lines(text: str) -> bool:
+    """Whether line ends carry meaning: fenced or symbol-heavy code, indented lines, lists, headings, verse."""
+    if "```" in text or "~~~" in text:
+        return True
+    lines = text.split("\n")
+    full = [x for x in lines if x.strip()]
+    if len(full) < 6:
+        return False
+    share = lambda pattern: sum(bool(pattern.match(x)) for x in full) / len(full)
+    letters, symbols = sum(map(str.isalpha, text)), sum(c in SYMBOLS for c in text)
+    ratio = symbols / max(1, letters + symbols)
+    middle = sorted(len(x.strip()) for x in full)[len(full) // 2]
+    verse = len(full) >= 10 and middle <= 44 and (len(lines) - len(full)) / len(lines) <= 0.25 and ratio <= 0.20
+    return ratio >= 0.28 or share(_INDENT) >= 0.12 or share(_ITEM) >= 0.25 or verse or share(_HEADING) >= 0.35
+
+
+def normalise_with_meta(text: str, kind: str | None = None) -> tuple:
+    """The normalised text and the other values of META. Zero-width characters and soft hyphens go, then NFKC, then plain quotes, dashes and blanks; poems keep their lines, other texts lose
+    e-book boilerplate and, unless line ends carry meaning, are joined to one line a paragraph, words cut by a hyphen too."""
+    t = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
+    zero, soft = sum(t.count(c) for c in ZERO_WIDTH), t.count(SOFT_HYPHEN)
+    t = unicodedata.normalize("NFKC", t.translate(dict.fromkeys(map(ord, ZERO_WIDTH + SOFT_HYPHEN)))).translate(_TABLE)
+    t = re.sub(r"\n{4,}", "\n\n\n", re.sub(r"[ \t]+\n", "\n", t))
+    joined = single = 0
+    stripped = kept = False
+    if kind != "poem":
+        t, stripped = without_boilerplate(t)
+        kept = keeps_lines(t)
+        if not kept:
+            t, joined = re.subn(rf"([A-Za-z0-9])[{HYPHENS}]\n([A-Za-z0-9])", r"\1\2", t)
+            t, single = re.subn(r"(?<!\n)\n(?!\n)", " ", t)
+            t = re.sub(r"[ \t]+", " ", t)
+        t = re.sub(r"[ \t]*\n[ \t]*", "\n", t)
+        t = re.sub(r"\n{4,}", "\n\n\n", t) if kept else re.sub(r"\n{3,}", "\n\n", t)
+    t = t.strip()
+    return t, t != text, len(text), len(t), text.count("\n"), t.count("\n"), single, joined, kept, zero, soft, stripped
+
+
+_TABLE = str.maketrans(REPLACED)
+
+
+def normalise(text: str | None, kind: str | None = None) -> str | None:
+    """The normalised text; null stays null."""
+    return None if text is None else normalise_with_meta(text, (kind or "").strip().lower())[0]
 
 
-def normalise(text: str | None) -> str | None:
-    """NFKC, plain quotes and dashes, LF line ends, no trailing blanks, at most two empty lines; words cut by a hyphen at a line end are joined. Null stays null."""
-    if text is None:
-        return None
-    t = unicodedata.normalize("NFKC", text.replace("\r\n", "\n").replace("\r", "\n").translate(_TABLE))
-    t = re.sub(r"[ \t]+(?=\n|\Z)", "", t)
-    return re.sub(r"([a-z])-\n([a-z])", r"\1\2", re.sub(r"\n{4,}", "\n\n\n", t)).strip()
+@F.pandas_udf(StringType())
+def normalised(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+    return pd.Series([normalise(t, k) for t, k in zip(texts, kinds, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def normalised(texts: pd.Series) -> pd.Series:
-    return texts.map(normalise, na_action="ignore")
+def normalised_with_meta() -> Column:
+    """UDF of (text, kind): a struct of META; null text: nulls."""
+    names = [x.split()[0] for x in META.split(", ")]
+
+    @F.pandas_udf(META)
+    def run(texts: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * len(names) if t is None else normalise_with_meta(t, (k or "").strip().lower()) for t, k in zip(texts, kinds, strict=True)]
+        return pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def _paragraphs(text: str) -> list[str]:
+    return [p.strip() for p in _BREAK.split(text.strip()) if p.strip()]
+
+
+def _sentences(paragraph: str) -> list[str]:
+    return [s.strip() for s in _SENTENCE.split(paragraph) if s.strip()]
+
+
+def _dealt(items: list[str], rng: random.Random, tries: int = 8) -> list[str]:
+    """The items in another order, if one of `tries` shuffles gives one."""
+    out = list(items)
+    for _ in range(tries):
+        rng.shuffle(out)
+        if out != items:
+            break
+    return out
 
 
 def corrupt(text: str, kind: str, seed: str) -> str:
-    """A worse version of a text; the same for the same seed, whatever the partitioning."""
+    """A worse version of a text; the same for the same seed, whatever the partitioning. Paragraphs of one sentence stay as they are; two sentences swap; sentences of the whole text are dealt
+    back to paragraphs of the old lengths if there are four at least, else within paragraphs."""
     rng = random.Random(seed)
-    paragraphs = [p for p in _BREAK.split(text) if p.strip()]
-    if kind == "flatten_paragraphs":
-        return " ".join(paragraphs)
+    t = text.replace("\r\n", "\n").replace("\r", "\n")
     if kind == "drop_punctuation":
-        t = re.sub(r"[ \t]{2,}", " ", re.sub(r"[.,;:!?\"'()-]", "", text.replace("\r\n", "\n").replace("\r", "\n")))
-        return re.sub(r"\n{3,}", "\n\n", t).strip()
-    if kind == "shuffle_all_sentences":
-        sentences = [s for p in paragraphs for s in _SENTENCE.split(p) if s.strip()]
-        if len(sentences) > 1:
-            rng.shuffle(sentences)
-        return " ".join(sentences)
+        return re.sub(r"\n{4,}", "\n\n\n", re.sub(r"[ \t]{2,}", " ", _PUNCTUATION.sub("", t))).strip()
+    if kind == "flatten_paragraphs":
+        return re.sub(r"[ \t]{2,}", " ", _BREAK.sub(" ", t.strip())).strip()
+    paragraphs = _paragraphs(text)
     if kind == "shuffle_paragraphs":
-        if len(paragraphs) > 2:
-            rng.shuffle(paragraphs)
-        return "\n\n".join(paragraphs)
-    out = []
-    for p in paragraphs:
-        sentences = _SENTENCE.split(p)
-        if kind == "shuffle_sentences":
-            before = list(sentences)
-            while len(set(before)) > 1 and sentences == before:  # a paragraph of two swaps
-                rng.shuffle(sentences)
-        else:
-            sentences = [s for x in sentences for s in ([x, x] if rng.random() < 0.35 else [x])]
-        out.append(" ".join(sentences))
-    return "\n\n".join(out)
+        return "\n\n".join(_dealt(paragraphs, rng)) if len(paragraphs) > 2 else text.strip()
+    split = [_sentences(p) for p in paragraphs]
+    if kind == "repeat_sentences":
+        split = [s if len(s) < 2 else [y for x in s for y in ([x, x] if rng.random() < 0.35 else [x])] for s in split]
+    elif kind == "shuffle_all_sentences" and sum(map(len, split)) >= 4:
+        pool = iter(_dealt([x for s in split for x in s], rng))
+        split = [[next(pool) for _ in s] for s in split]
+    else:
+        split = [s[::-1] if len(s) == 2 else _dealt(s, rng) if len(s) > 2 else s for s in split]
+    return "\n\n".join(" ".join(s) if len(s) > 1 else p if s == _sentences(p) else s[0] for s, p in zip(split, paragraphs, strict=True) if s)
 
 
 def corrupted(kind: str, seed: int) -> Column:
@@ -78,6 +156,21 @@ def corrupted(kind: str, seed: int) -> Column:
     return run
 
 
+def html_text(page: str | None) -> str | None:
+    """Text of a page, a line for each closed block: scripts, styles, comments and tags go, character references are decoded."""
+    if page is None:
+        return None
+    t = re.sub(r"<(script|style)\b.*?</\1>", " ", page.replace("\r\n", "\n").replace("\r", "\n"), flags=re.I | re.S)
+    t = re.sub(r"</(?:p|div|section|article|h[1-6]|li|br|tr)>", "\n", t, flags=re.I)
+    t = html.unescape(html.unescape(re.sub(r"<!--.*?-->|</?[A-Za-z!?][^>]*>", "", t, flags=re.S)))
+    return re.sub(r"\n{4,}", "\n\n\n", re.sub(r"[ \t]+\n", "\n", t)).strip()
+
+
+@F.pandas_udf(StringType())
+def html_texts(pages: pd.Series) -> pd.Series:
+    return pages.map(html_text, na_action="ignore")
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts, lower-cased with white space folded; null if either is."""

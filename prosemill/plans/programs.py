@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import urls
 from ..operators import evaluation, models, scoring, series
 from ..streaming import ingest
 from .dialect import SENTENCE
@@ -20,11 +21,27 @@ from .shared import table as _table
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", T.normalised("text").alias("text"))
+    """Normalised texts of the corpus, poems line by line, with what was changed."""
+    docs = analysis.corpus_para(spark, sf_dir)
+    return docs.select("doc_id", T.normalised_with_meta()("text", "doc_type").alias("n")).select("doc_id", "n.*")
+
+
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", T.html_texts("html").alias("text"))
+
+
+def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", urls.verdicts("url").alias("verdict"))
+
+
+def redirect_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first link of each page leads, taken as a redirect of the page's address."""
+    link = F.regexp_extract("html", r'<a\s[^>]*href="([^"]*)"', 1)
+    return _table(spark, sf_dir, "pages").select("page_id", urls.redirects("url", link).alias("r")).select("page_id", "r.*")
 
 
 def corrupted(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _table(spark, sf_dir, "documents").select("doc_id", T.corrupted(kind, 1337)("text", "doc_id").alias("text"))
+    return lambda spark, sf_dir: analysis.corpus_para(spark, sf_dir).select("doc_id", T.corrupted(kind, 1337)("text", "doc_id").alias("text"))
 
 
 def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +166,19 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "normalize_text": normalize_text, **{f"corrupt_{k}": corrupted(k) for k in T.KINDS}, "similarity_ratio": similarity_ratio, "spectral_peak": spectral_peak, "dtw": dtw,
+    "normalize_text": normalize_text, "html_to_text": html_to_text, "url_safety": url_safety, "redirect_safety": redirect_safety, **{f"corrupt_{k}": corrupted(k) for k in T.KINDS}, "similarity_ratio": similarity_ratio, "spectral_peak": spectral_peak, "dtw": dtw,
     "nearest_centroid_loo": nearest_centroid_loo, "rubric_score": rubric_score, "rubric_worst": rubric_worst, "rubric_improvements": rubric_improvements, "rubric_critique": rubric_critique,
     "calibrator_training": calibrator_training, "preference_training": preference_training, "incremental_ingest": incremental_ingest,
 }
 QUERIES["confusion"] = confusion
 #: Those that SQL can express all the same.
 ORACLES = {
+    "html_to_text": r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?i)</(?:p|div|section|article|h[1-6]|li|br|tr)>', chr(10), 'g'), '(?s)<!--.*?-->|</?[A-Za-z!?][^>]*>', '', 'g'),
+ '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""",
+    "url_safety": r"""SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'scheme' WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]*@') THEN 'userinfo' WHEN h = '' OR regexp_matches(h, '(^|[.])(localhost|local|internal)$') THEN 'host'
+ WHEN regexp_matches(h, '^(0|10|127|169[.]254|192[.]168|172[.](1[6-9]|2[0-9]|3[01])|22[4-9]|23[0-9]|24[0-9]|25[0-5])[.][0-9.]+$') THEN 'address' ELSE 'ok' END AS verdict FROM (SELECT page_id, url, regexp_extract(lower(url), '^https?://([^/?#:]*)', 1) AS h FROM pages)""",
+    "redirect_safety": r"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_extract(html, '<a\s[^>]*href="([^"]*)"', 1) AS target, 'ok' AS verdict FROM pages""",
     "incremental_ingest": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1",
     "nearest_centroid_loo": "WITH r AS (SELECT vec_id, label, vec_id % 5 AS fold, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT f.fold AS out, r.label AS predicted, r.i, avg(r.x) AS m FROM r JOIN (SELECT DISTINCT fold FROM r) f ON r.fold <> f.fold GROUP BY 1, 2, 3), d AS (SELECT r.vec_id, r.fold, r.label, c.predicted, 1 - sum(r.x * c.m) / (sqrt(sum(r.x * r.x)) * sqrt(sum(c.m * c.m)) + 1e-12) AS d FROM r JOIN c ON r.fold = c.out AND r.i = c.i GROUP BY 1, 2, 3, 4) SELECT vec_id, fold, label, predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), predicted) AS k FROM d) WHERE k = 1",
 }

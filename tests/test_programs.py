@@ -19,11 +19,6 @@ def test_every_program_gives_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-def test_normalise():
-    assert T.normalise("﻿“Don’t”\r\nexam-\nple  \n\n\n\n\nend…") == '"Don\'t"\nexample\n\n\nend...'
-    assert T.normalise(None) is None and T.normalise("") == ""
-
-
 def test_corruptions_depend_on_the_seed_alone():
     text = "One. Two! Three?\n\nFour. Five.\n\nSix."
     for kind in T.KINDS:
