@@ -29,8 +29,9 @@ def secrets(example_owners: int = 3, example_repositories: int = 6) -> str:
  placed AS (SELECT *, start + l AS stop FROM spans WHERE length(v) >= least), base AS (SELECT * FROM placed WHERE kind < {len(RULES)}),
  more AS (SELECT * FROM placed p WHERE kind = {len(RULES)} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {DISTINCT} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.start < p.stop AND p.start < b.stop)),
  owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n, count(DISTINCT repo) AS r FROM (SELECT v, source, repo FROM base UNION ALL SELECT v, source, repo FROM more) GROUP BY v),
- every AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT m.doc_id, m.kind, m.start, m.stop FROM more m JOIN owners o ON o.v = m.v WHERE o.n < {example_owners} AND o.r < {example_repositories})
- SELECT d.doc_id, count(CASE WHEN kind = 0 THEN 1 END) AS n_assign, count(CASE WHEN kind = 1 THEN 1 END) AS n_access, count(CASE WHEN kind = 2 THEN 1 END) AS n_hex,
+ class AS (SELECT v, n < {example_owners} AND r < {example_repositories} AS live FROM owners),
+ every AS (SELECT doc_id, kind, start, stop, live FROM base JOIN class USING (v) UNION ALL SELECT m.doc_id, m.kind, m.start, m.stop, TRUE FROM more m JOIN owners o ON o.v = m.v WHERE o.n < {example_owners} AND o.r < {example_repositories})
+ SELECT d.doc_id, count(CASE WHEN kind = 0 THEN 1 END) AS n_assign, count(CASE WHEN kind = 1 THEN 1 END) AS n_access, count(CASE WHEN kind = 2 THEN 1 END) AS n_hex, count(CASE WHEN kind < {len(RULES)} AND live THEN 1 END) AS n_live, count(CASE WHEN kind < {len(RULES)} AND NOT live THEN 1 END) AS n_example,
  sha256(coalesce(string_agg({line}, ',' ORDER BY start, kind) FILTER (WHERE kind < {len(RULES)}), '')) AS base_sha256, coalesce(string_agg({line}, ',' ORDER BY start, kind), '') AS spans FROM documents d LEFT JOIN every e ON e.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 

@@ -63,7 +63,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = secrets.scan(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.concat("base", "owned")).alias("spans"))
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), "n_live", "n_example", F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.concat("base", "owned")).alias("spans"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

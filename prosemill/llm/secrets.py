@@ -5,7 +5,8 @@ corpus: distinct repositories and distinct owners. A value that `example_owners`
 example; one that few hold is owner-specific and looks live. Live-looking candidates become spans of kind `owned`; base spans stay whatever their class.
 
 Text is read once: what it yields (spans and hashes) is written to the shared folder, and counting works on that alone. Counting pre-aggregates by
-(hash, repository, owner), so a value in a third of all rows costs each task one row. Built-in functions only.
+(hash, repository, owner), so a value in a third of all rows costs each task one row. Hashes of examples are sent to all tasks if they have few bytes; beyond that, each
+row's distinct hashes are joined with them under a salt, so that one example's occurrences are dealt to several tasks. Built-in functions only.
 
 Defined cases: a null or empty text has no spans; a null repository or owner counts as one of its own; repeated rows each get their spans; equal starts
 are ordered by kind as listed; other columns pass through, whatever their names; an empty table gives an empty result."""
@@ -50,7 +51,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None, example_owners: int = 3, example_repositories: int = 6) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None, example_owners: int = 3, example_repositories: int = 6, broadcast_bytes: int = 16_000_000) -> DataFrame:
     """A row per row of df: key, row_id, text_hash, base and owned (arrays of spans), n_live and n_example (base values by class)."""
     repository, owner = (F.col("source") if repository is None else repository), (F.col("source") if owner is None else owner)
     t = F.coalesce(F.col("_t"), F.lit(""))
@@ -65,7 +66,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: Col
     own = each.select(F.col("s.hash").alias("hash"), "_r", "_o").groupBy("hash", "_r", "_o").count()
     owners = own.groupBy("hash").agg(F.count_distinct(F.struct("_r")).alias("repositories"), F.count_distinct(F.struct("_o")).alias("owners"))
     shared = owners.where((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)).select(F.col("hash").alias("_h"), F.lit(True).alias("example"))
-    marked = each.select("_id", "s", F.col("s.hash").alias("_h")).join(shared, "_h", "left")
+    shared = materialise(shared, "secrets-examples")
+    marked = each.select("_id", "s", F.col("s.hash").alias("_h"))
+    if 16 * shared.count() <= broadcast_bytes:
+        marked = marked.join(F.broadcast(shared), "_h", "left")
+    else:
+        salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        marked = marked.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(16)).cast("int")).join(salted, ["_h", "_salt"], "left")
     live = F.col("example").isNull()
     per = marked.groupBy("_id").agg(
         F.collect_list(F.when(live & (F.col("s.kind") == len(RULES)), F.col("s"))).alias("owned"),

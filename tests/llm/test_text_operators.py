@@ -108,6 +108,13 @@ def test_copied_examples_are_told_by_owners_and_repositories(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
     live = lambda **k: sum(len(r.owned) for r in secrets.scan(df, repository=F.col("repo"), owner=F.col("owner"), **k).collect())
     assert (live(), live(example_repositories=7), live(example_owners=2, example_repositories=7)) == (0, 6, 0)
+    assert (live(broadcast_bytes=0), live(example_repositories=7, broadcast_bytes=0)) == (0, 6)
+
+
+def test_base_values_are_classed_and_many_matches_do_no_harm(spark):
+    rows = [(i, f"password={'q1w2e3r4t5' if i < 4 else f'own{i}secret'}", f"owner{i}", f"repo{i}") for i in range(6)] + [(9, "0123456789abcdef0123456789abcdef " * 20_000, "owner9", "repo9")]
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string"), repository=F.col("repo"), owner=F.col("owner")).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (0, 1), 4: (1, 0), 5: (1, 0), 9: (20_000, 0)}
 
 
 def test_clashing_names_pass_through(docs):
