@@ -241,7 +241,8 @@ def _hurst(s: np.ndarray) -> float:
         if len(s) >= 64 and 2 * size <= len(s):
             x = s[: len(s) // size * size].reshape(-1, size)
             walk = np.cumsum(x - x.mean(1, keepdims=True), 1)
-            rs = float(np.mean((walk.max(1) - walk.min(1)) / (x.std(1) + 1e-12)))
+            span = walk.max(1) - walk.min(1)
+            rs = float(np.mean(np.where(span < 1e-9, 0, span) / (x.std(1) + 1e-12)))  # blocks of equal values have none
             if rs > 0:
                 points.append((math.log(size), math.log(rs)))
     return float(np.polyfit(*zip(*points, strict=True), 1)[0]) if len(points) >= 2 else math.nan

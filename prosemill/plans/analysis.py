@@ -10,7 +10,7 @@ from .dialect import SENTENCE, TOKEN
 from .shared import kept, table
 
 #: Measures that the statement below has too; the others need a generator or fits.
-IN_SQL = [m for m in scoring.MEASURES if m not in ("hurst_rs", "logp_per_token_original", "cohesion_delta")]
+IN_SQL = [m for m in scoring.MEASURES if m not in ("logp_per_token_original", "cohesion_delta")]
 COUNTS_IN_SQL = [c for c in scoring.COUNTS if c != "cohesion_n_shuffles"]
 DOC_TYPES = ("poem", "shortstory", "novel", "prose")
 
@@ -85,6 +85,9 @@ def statement() -> str:
   lead(punct) OVER d AS punct2, lead(content) OVER d AS content2, avg(s.h) OVER (PARTITION BY s.doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS cool FROM scored s JOIN stats USING (doc_id) WINDOW d AS (PARTITION BY s.doc_id ORDER BY i)),
  {_gaps("peak_gaps", "high AND s > s1 AND s >= after")}, {_gaps("high_gaps", "high")},
  orders AS (SELECT doc_id, 0 - sum(k / n * ln(k / n)) / ln(6) AS pe FROM (SELECT doc_id, p, count(*)::DOUBLE AS k, sum(count(*)) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, (s2 <= s1)::INT * 4 + (s1 <= s)::INT * 2 + (s2 <= s)::INT AS p FROM near WHERE s2 IS NOT NULL) GROUP BY doc_id, p) GROUP BY doc_id),
+ blocks AS (SELECT x.doc_id, z.size, x.i // z.size AS block, x.i, x.s FROM near x JOIN (SELECT unnest([8, 16, 32, 64, 128, 256, 512]) AS size) z ON x.n >= 64 AND 2 * z.size <= x.n WHERE x.i < x.n // z.size * z.size),
+ walks AS (SELECT doc_id, size, block, sd, sum(c) OVER (PARTITION BY doc_id, size, block ORDER BY i) AS y FROM (SELECT *, s - avg(s) OVER b AS c, stddev_pop(s) OVER b AS sd FROM blocks WINDOW b AS (PARTITION BY doc_id, size, block))),
+ hurst AS (SELECT doc_id, regr_slope(ln(rs), ln(size)) AS hurst_rs FROM (SELECT doc_id, size, avg(rs) AS rs FROM (SELECT doc_id, size, block, CASE WHEN max(y) - min(y) < 1e-9 THEN 0 ELSE (max(y) - min(y)) / (max(sd) + 1e-12) END AS rs FROM walks GROUP BY doc_id, size, block) GROUP BY doc_id, size) WHERE rs > 0 GROUP BY doc_id HAVING count(*) >= 2),
  {_segments("sent", SENTENCE)}, {_segments("para", None)}, {_segments("line", None)},
  moved AS (SELECT doc_id, max(n) AS n, avg(exp(0 - s)) AS p_true_mean, max(mean) AS surprisal_mean, max(med) AS surprisal_median, sum(z ** 3) / max(n) AS z3, sum(z ** 4) / max(n) AS z4, max(sd) AS sd, avg(abs(s - s1)) AS masd, sum(z * (s1 - mean)) / (sum(z * z) + 1e-12) AS acf1, sum(z * (s2 - mean)) / (sum(z * z) + 1e-12) AS acf2,
   avg(exp(h)) AS eff_support_mean, avg(width) AS nucleus_w_mean, avg(top10) AS top10_mass_mean, avg(s / greatest(h, 1)) AS norm_surprisal_mean_clipped, 100.0 * count(*) FILTER (WHERE high AND s > s1 AND s >= after) / max(n) AS peaks,
@@ -94,9 +97,9 @@ def statement() -> str:
   CASE WHEN m.n >= 4 AND m.sd > 1e-12 THEN s75 - s25 END AS surprisal_iqr, CASE WHEN m.n >= 5 THEN m.sd / s.mean END AS surprisal_cv, CASE WHEN m.n >= 5 THEN masd END AS surprisal_masd, CASE WHEN m.n >= 4 AND m.sd > 1e-12 THEN z3 / m.sd ** 3 END AS surprisal_skewness, CASE WHEN m.n >= 4 AND m.sd > 1e-12 THEN z4 / m.sd ** 4 - 3 END AS surprisal_kurtosis,
   CASE WHEN m.n >= 5 THEN acf1 END AS surprisal_acf1, CASE WHEN m.n >= 5 THEN acf2 END AS surprisal_acf2, s.h AS entropy_mean, h50 AS entropy_median, h10 AS entropy_p10, h90 AS entropy_p90, CASE WHEN m.n >= 4 AND s.h > 1e-12 THEN (h90 - h10) / s.h END AS entropy_range_ratio, s.h / ln(2) AS entropy_bits_mean, s.mean / ln(2) AS bpt_mean, eff_support_mean,
   r AS rank_percentile_mean, CASE WHEN m.n >= 2 THEN r_sd / r END AS rank_percentile_cv, CASE WHEN m.n >= 2 THEN r10 END AS rank_percentile_p10, nucleus_w_mean, top10_mass_mean, 1 - top10_mass_mean AS tail_mass_mean, norm_surprisal_mean_clipped, norm_med AS norm_surprisal_median, s.mean / greatest(s.h, 1e-12) AS norm_surprisal_ratio_of_means,
-  CASE WHEN m.n >= 5 THEN peaks END AS high_surprise_rate_per_100, CASE WHEN m.n >= 5 THEN pg.mean END AS high_surprise_ipi_mean, CASE WHEN m.n >= 5 THEN pg.cv END AS high_surprise_ipi_cv, CASE WHEN m.n >= 5 THEN run_low END AS run_low_mean_len, CASE WHEN m.n >= 5 THEN run_high END AS run_high_mean_len, pe AS perm_entropy,
+  CASE WHEN m.n >= 5 THEN peaks END AS high_surprise_rate_per_100, CASE WHEN m.n >= 5 THEN pg.mean END AS high_surprise_ipi_mean, CASE WHEN m.n >= 5 THEN pg.cv END AS high_surprise_ipi_cv, CASE WHEN m.n >= 5 THEN run_low END AS run_low_mean_len, CASE WHEN m.n >= 5 THEN run_high END AS run_high_mean_len, pe AS perm_entropy, hurst_rs,
   content_fraction, punct_rate, newline_rate, prev_content AS spike_prev_content_rate, prev_punct AS spike_prev_punct_rate, next_content AS spike_next_content_rate, next_punct AS spike_next_punct_rate, hg.mean AS ipi_mean, hg.cv AS ipi_cv, hg.med AS ipi_p50, cooldown AS cooldown_entropy_drop_3,
-  {", ".join(scoring.LEVELS)} FROM c LEFT JOIN moved m USING (doc_id) LEFT JOIN stats s USING (doc_id) LEFT JOIN peak_gaps pg USING (doc_id) LEFT JOIN high_gaps hg USING (doc_id) LEFT JOIN orders USING (doc_id) LEFT JOIN sent_facts USING (doc_id) LEFT JOIN para_facts USING (doc_id) LEFT JOIN line_facts USING (doc_id))"""
+  {", ".join(scoring.LEVELS)} FROM c LEFT JOIN moved m USING (doc_id) LEFT JOIN stats s USING (doc_id) LEFT JOIN peak_gaps pg USING (doc_id) LEFT JOIN high_gaps hg USING (doc_id) LEFT JOIN orders USING (doc_id) LEFT JOIN hurst USING (doc_id) LEFT JOIN sent_facts USING (doc_id) LEFT JOIN para_facts USING (doc_id) LEFT JOIN line_facts USING (doc_id))"""
 
 
 def doc_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
