@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,11 +139,11 @@ def _chunk(texts: list[str], kinds: list[str | None], contexts: bool = True) ->
 
 
 def coded(df: DataFrame, key: str, text: str, kind: str, contexts: bool = True) -> DataFrame:
-    """key, chunk, width (bytes of a number), codes, flags, borders, segments, orders, units of each row; pairs: the chunk's list, on its first row."""
+    """key, chunk, width (bytes of a number), codes and flags (compressed), borders, segments, orders, units of each row; pairs: the chunk's list, on its first row."""
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(kind).cast("string").alias("_kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts, kinds = [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
             first = 0
@@ -151,6 +152,7 @@ def coded(df: DataFrame, key: str, text: str, kind: str, contexts: bool = True)
                 while last < len(texts) and (last == first or held + len(texts[last]) <= CHUNK):
                     held, last = held + len(texts[last]), last + 1
                 codes, flags, borders, segments_, facts, pairs = _chunk(texts[first:last], kinds[first:last], contexts)
+                codes, flags = ([pack.compress(x) for x in c] for c in (codes, flags))
                 n = last - first
                 width = 2 if len(pairs) <= 24 << 16 else 4
                 cols = [batch.column(0).slice(first, n), pa.array([(part << 32) + number] * n, pa.int64()), pa.array([width] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in (codes, flags, borders, segments_)), *(pa.array(x, pa.int32()) for x in zip(*facts, strict=True))]
@@ -338,6 +340,11 @@ def measures(width: int, codes: list[bytes], flags: list[bytes], borders: list[b
     return out
 
 
+def _unpacked(column: pa.ChunkedArray) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(x) for x in column.to_pylist()]
+
+
 def _gathered(found: pa.Table, size: int) -> dict[str, np.ndarray]:
     """Facts by slot; NaN: none. size: smoothed number of all tokens, for facts that are counts."""
     slot, held = found["slot"].to_numpy(), {}
@@ -361,7 +368,7 @@ def analyse(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         with np.errstate(all="ignore"):
-            values = measures(docs["width"][0].as_py(), *(docs[c].to_pylist() for c in ("codes", "flags", "borders")), *(docs[c].to_numpy() for c in ("orders", "units")), _gathered(found, size), distinct)
+            values = measures(docs["width"][0].as_py(), _unpacked(docs["codes"]), _unpacked(docs["flags"]), docs["borders"].to_pylist(), *(docs[c].to_numpy() for c in ("orders", "units")), _gathered(found, size), distinct)
         cols = [docs["_key"], *(pa.array(values[c], pa.int64()) for c in COUNTS), *(pa.array(np.asarray(values[m], float), from_pandas=True) for m in MEASURES)]
         return pa.table(cols, ["_key", *COUNTS, *MEASURES])
 
@@ -379,7 +386,7 @@ def segments(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: st
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, level string, number int, start_char int, end_char int, start_token int, tokens int, mean_surprisal double, spikes int, spike_median double"
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        codes, spans = docs["codes"].to_pylist(), docs["segments"].to_pylist()
+        codes, spans = _unpacked(docs["codes"]), docs["segments"].to_pylist()
         width = docs["width"][0].as_py()
         n = np.fromiter((len(c) // width for c in codes), np.int64, len(codes))
         slot, first = np.frombuffer(b"".join(codes), f"<u{width}"), np.cumsum(n) - n
