@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,15 +64,31 @@ def quantile(s: Column, q: float) -> Column:
     return F.when(F.size(a) > 0, F.get(s, low) + (F.coalesce(F.get(s, low + 1), F.get(s, low)) - F.get(s, low)) * (at - low))
 
 
-@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("unique", "once", "five", "repeats", "pairs", "triples")]))
+@lru_cache(maxsize=1 << 17)
+def syllables(word: str) -> int:
+    """Groups of vowels, one at least; a final e counts only after l or y."""
+    w = re.sub("[^a-z]", "", word)
+    groups = len(re.findall("[aeiouy]+", w))
+    return max(1, groups - (groups > 1 and w.endswith("e") and not w.endswith(("le", "ye"))))
+
+
+_COUNTS = ["unique", "once", "five", "repeats", "pairs", "triples"] + [f"{x}_{y}" for x in ("len", "syl") for y in ("mean", "p90", "cv")]
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in _COUNTS]))
 def word_counts(words: pd.Series) -> pd.DataFrame:
-    """Distinct words, those that stand once, uses of the five most frequent, words equal to the one before, distinct runs of two and of three."""
+    """Distinct words, those that stand once, uses of the five most frequent, words equal to the one before, distinct runs of two and of three; mean, 90th percentile and variation of letters and of syllables."""
     rows = []
     for w in words:
         w = list(w)
         counts = Counter(w)
-        rows.append((len(counts), sum(c == 1 for c in counts.values()), sum(c for _, c in counts.most_common(5)), sum(a == b for a, b in pairwise(w)), len(set(pairwise(w))), len(set(zip(w, w[1:], w[2:])))))  # noqa: B905
-    return pd.DataFrame(rows, columns=["unique", "once", "five", "repeats", "pairs", "triples"], dtype=float)
+        row = [len(counts), sum(c == 1 for c in counts.values()), sum(c for _, c in counts.most_common(5)), sum(a == b for a, b in pairwise(w)), len(set(pairwise(w))), len(set(zip(w, w[1:], w[2:])))]  # noqa: B905
+        for size in (len, syllables):
+            x = np.fromiter(map(size, w), float, len(w))
+            m = x.mean() if len(w) else None
+            row += [m, np.percentile(x, 90) if len(w) else None, x.std() / m if len(w) > 1 else None]
+        rows.append(row)
+    return pd.DataFrame(rows, columns=_COUNTS, dtype=float)
 
 
 @F.pandas_udf(DoubleType())
@@ -82,12 +101,6 @@ def _words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
 
 
-def _syllables(w: Column) -> Column:
-    plain = F.regexp_replace(w, "[^a-z]", "")
-    groups = F.regexp_count(plain, F.lit("[aeiouy]+"))
-    return F.greatest(F.lit(1), groups - F.when(plain.rlike("e$") & ~plain.rlike("[ly]e$") & (groups > 1), 1).otherwise(0)).cast("double")
-
-
 def _matches(pattern: str) -> Callable[[Column], Column]:
     return lambda x: x.rlike(pattern)
 
@@ -99,7 +112,7 @@ def surface(df: DataFrame, text: str = "text") -> DataFrame:
     full = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"\S"))
     sentences = F.filter(F.regexp_extract_all("_t", F.lit(SENTENCE), F.lit(0)), lambda x: x.rlike(r"\S"))
     rows = df.withColumn("_t", t).withColumns({"_n": F.length("_t").cast("double"), "_w": _words(F.col("_t")), "_l": F.transform(full, lambda x: F.regexp_replace(x, r"\s+$", "")), "_s": F.transform(sentences, lambda x: F.regexp_count(x, F.lit(WORD)).cast("double"))})
-    rows = rows.withColumns({"_c": word_counts("_w"), "_k": F.size("_w").cast("double"), "_len": F.transform("_w", lambda w: F.length(w).cast("double")), "_y": F.transform("_w", _syllables), "_m": F.size(F.array_distinct(F.regexp_extract_all("_t", F.lit(MARKS), F.lit(0)))).cast("double")})
+    rows = rows.withColumns({"_c": word_counts("_w"), "_k": F.size("_w").cast("double"), "_m": F.size(F.array_distinct(F.regexp_extract_all("_t", F.lit(MARKS), F.lit(0)))).cast("double")})
     some, k, n = F.col("_n") > 0, F.col("_k"), F.col("_n")
     of_text = lambda x: F.when(some, x / n)
     of_words = lambda x: F.when(k > 0, x / k)
@@ -109,10 +122,10 @@ def surface(df: DataFrame, text: str = "text") -> DataFrame:
     values = [
         n, of_text(count(r"\p{L}")), of_text(count(r"\p{Nd}")), of_text(count(SYMBOLS)), of_text(count(r"\s")), F.when(some, F.col("_m")), F.when(n >= 200, F.col("_m") / (n / 1000)), k, F.col("_c.unique"), of_words(F.col("_c.unique")), of_words(F.col("_c.once")),
         of_words(F.col("_c.five")), F.when(k >= 2, F.col("_c.repeats") / (k - 1)), F.when(k >= 3, 1 - F.col("_c.pairs") / (k - 1)), F.when(k >= 3, 1 - F.col("_c.triples") / (k - 2)),
-        mean(F.col("_len")), quantile(F.array_sort("_len"), 0.9), variation(F.col("_len")), mean(F.col("_y")), quantile(F.array_sort("_y"), 0.9), variation(F.col("_y")), F.when(some, mean(F.col("_s"))), F.when(some, quantile(F.array_sort("_s"), 0.9)), variation(F.col("_s")),
+        *[F.when(~F.isnan(f"_c.{x}_{y}"), F.col(f"_c.{x}_{y}")) for x in ("len", "syl") for y in ("mean", "p90", "cv")], F.when(some, mean(F.col("_s"))), F.when(some, quantile(F.array_sort("_s"), 0.9)), variation(F.col("_s")),
         share(code), *[share(_matches(p)) for p in LINES.values()],
     ]
-    return rows.withColumns(dict(zip(METRICS, [v.cast("double") for v in values], strict=True))).drop("_t", "_n", "_w", "_l", "_s", "_c", "_k", "_len", "_y", "_m")
+    return rows.withColumns(dict(zip(METRICS, [v.cast("double") for v in values], strict=True))).drop("_t", "_n", "_w", "_l", "_s", "_c", "_k", "_m")
 
 
 def _literal(phrase: str) -> str:
