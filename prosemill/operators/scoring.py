@@ -185,9 +185,10 @@ def distributions(pairs: DataFrame) -> DataFrame:
         "total": F.sum("c").over(all_), "support": F.count_if(seen).over(all_), "place": F.row_number().over(down), "cumulated": F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, 0)),
         "rank": F.count("*").over(Window.partitionBy("before").orderBy(F.desc("c")).rangeBetween(Window.unboundedPreceding, 0)),
     })
+    of = lambda x: F.try_divide(x, F.col("total"))  # noqa: E731  a token that never goes before another has no distribution
     return rows.withColumns({
-        "entropy": F.log("total") - F.sum(F.when(seen, F.col("c") * F.log("c"))).over(all_) / F.col("total"), "mass": F.col("cumulated") / F.col("total"),
-        "width": F.count_if(seen & (10 * (F.col("cumulated") - F.col("c")) < 9 * F.col("total"))).over(all_), "top10": F.sum(F.when(F.col("place") <= 10, F.col("c"))).over(all_) / F.col("total"),
+        "entropy": F.log("total") - of(F.sum(F.when(seen, F.col("c") * F.log("c"))).over(all_)), "mass": of(F.col("cumulated")),
+        "width": F.count_if(seen & (10 * (F.col("cumulated") - F.col("c")) < 9 * F.col("total"))).over(all_), "top10": of(F.sum(F.when(F.col("place") <= 10, F.col("c"))).over(all_)),
     }).drop("cumulated")
 
 

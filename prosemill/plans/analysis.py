@@ -65,9 +65,13 @@ def _gaps(name: str, mask: str) -> str:
     return f"{name} AS (SELECT doc_id, avg(g) AS mean, CASE WHEN count(*) > 1 THEN stddev_pop(g) / (avg(g) + 1e-12) END AS cv, quantile_cont(g, 0.5) AS med FROM (SELECT doc_id, (i - lag(i) OVER (PARTITION BY doc_id ORDER BY i))::DOUBLE AS g FROM near WHERE {mask}) WHERE g IS NOT NULL GROUP BY doc_id)"
 
 
-def statement() -> str:
-    """doc_id, counts and measures; one row per token, joined to its pair's share and its context's distribution."""
-    return rf"""c AS (SELECT doc_id, source AS author, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+#: The corpus in paragraphs, as SQL.
+CORPUS_SQL = "SELECT doc_id, source AS author, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents"
+
+
+def statement(corpus: str = CORPUS_SQL) -> str:
+    """doc_id, counts and measures; one row per token, joined to its pair's share and its context's distribution. corpus: SQL of doc_id, author, text."""
+    return rf"""c AS ({corpus}),
  t AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS v FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS l FROM c)),
  w AS (SELECT doc_id, idx, v, lag(v) OVER d AS before, sum(length(v)) OVER d - length(v) AS a FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY idx)),
  u AS (SELECT v, count(*) AS c FROM t GROUP BY v), z AS (SELECT sum(c) AS n, count(*) AS k FROM u),

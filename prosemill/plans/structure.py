@@ -21,11 +21,13 @@ def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).withColumns({"mean_surprisal": R("mean_surprisal"), "spike_median": R("spike_median")})
 
 
-_SEGMENT_SQL = f"WITH {statement()}, seg AS (" + " UNION ALL ".join(
+_SEGMENT_TAIL = ", seg AS (" + " UNION ALL ".join(
     f"SELECT p.doc_id, '{k}' AS level, p.a AS start_char, p.b AS end_char, min(s.i) AS start_token, count(*) AS tokens, avg(s.s) AS mean_surprisal, count(*) FILTER (WHERE high) AS spikes, quantile_cont(s.i, 0.5) FILTER (WHERE high) - min(s.i) AS spike_median, "
     f"row_number() OVER (PARTITION BY p.doc_id ORDER BY p.a) - 1 AS number FROM near s JOIN {k}_spans p ON p.doc_id = s.doc_id AND s.a >= p.a AND s.a < p.b GROUP BY p.doc_id, p.a, p.b"
     for k in scoring.SEGMENTS
 ) + ")"
+_SEGMENT_SQL = f"WITH {statement()}" + _SEGMENT_TAIL
+
 
 
 def _variation(x: str) -> Column:
@@ -74,13 +76,15 @@ def paragraph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("para_count"), *[R(v, k) for k, v in values.items()])
 
 
-_PARAGRAPH_SQL = _SEGMENT_SQL + """, sent AS (SELECT *, 100.0 * spikes / tokens AS rate FROM seg WHERE level = 'sent'),
+_PARAGRAPH_TAIL = """, sent AS (SELECT *, 100.0 * spikes / tokens AS rate FROM seg WHERE level = 'sent'),
  inside AS (SELECT p.doc_id, p.number AS para, s.number, s.tokens::DOUBLE AS n, s.mean_surprisal AS m, s.rate FROM sent s JOIN seg p ON p.level = 'para' AND p.doc_id = s.doc_id AND s.start_token >= p.start_token AND s.start_token < p.start_token + p.tokens),
  facts AS (SELECT doc_id, para, count(*) AS k, CASE WHEN count(*) > 1 THEN stddev_pop(n) / avg(n) ELSE 0 END AS n_cv, avg(m) AS m, max(m) - min(m) AS r, CASE WHEN count(*) > 1 THEN stddev_pop(m) / avg(m) ELSE 0 END AS m_cv, arg_min(m, number) AS m0, arg_max(m, number) AS m1, arg_min(rate, number) AS r0, arg_max(rate, number) AS r1,
   CASE WHEN count(*) > 2 THEN greatest(-1, least(1, covar_pop(m, number) / ((stddev_pop(m) + 1e-9) * (stddev_pop(number) + 1e-9)))) ELSE 0 END AS momentum FROM inside GROUP BY doc_id, para),
  prof AS (SELECT p.doc_id, p.number AS para, p.start_char, p.end_char, coalesce(k, 0) AS sentence_count, coalesce(n_cv, 0) AS sentence_length_cv, coalesce(m, 0) AS mean_surprisal, coalesce(r, 0) AS surprisal_range, coalesce(m_cv, 0) AS surprisal_cv, coalesce(m0, 0) AS opening_surprisal, coalesce(m1, 0) AS closing_surprisal,
   coalesce(r0, 0) AS opening_spike_rate, coalesce(r1, 0) AS closing_spike_rate, coalesce(momentum, 0) AS momentum, CASE WHEN k IS NULL OR p.spikes = 0 OR p.tokens < 2 THEN 0.0 ELSE greatest(-1, least(1, 1 - 2 * p.spike_median / p.tokens)) END AS spike_front_loading
   FROM seg p LEFT JOIN facts f ON f.doc_id = p.doc_id AND f.para = p.number WHERE p.level = 'para')"""
+_PARAGRAPH_SQL = _SEGMENT_SQL + _PARAGRAPH_TAIL
+
 
 #: Patterns of heavy nouns, hedges and passives in plain text.
 NOMINAL = r"(?i)\b[a-z]{4,}(?:tion|sion|ment|ness|ity|ism|ization|isation|ality|ability|ance|ence)\b"
@@ -256,9 +260,65 @@ def window_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("doc_id", "left.window").agg(F.count("*").alias("sentences"), F.min("right.number").cast("long").alias("first"), F.max("right.number").cast("long").alias("last"), R(F.avg("right.mean_surprisal"), "mean_surprisal")).withColumn("window", F.col("window").cast("long"))
 
 
+def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen windows with their measures (scored as texts of their own), cadence and texture scores of 0 to 100, and reasons.
+
+    Spikes and variation are scored against the medians of the document's windows, or absolutely if it has one window or the median is 0."""
+    win = kept(chosen_windows(corpus_para(spark, sf_dir), 1500, 6), "windows").withColumn("key", F.concat_ws(":", "doc_id", "window"))
+    texts = win.select("key", F.col("held").alias("text"), F.lit("prose").alias("doc_type"))
+    facts = scoring.analyse(texts, kept, "key").select("key", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("high_surprise_rate_per_100", "surprisal_mean", "surprisal_cv", "ipi_mean", "sent_burst_cv", "content_fraction", "nucleus_w_mean")])
+    shape = paragraphs(scoring.segments(texts, kept, "key").withColumnRenamed("key", "doc_id")).groupBy("doc_id").agg(F.coalesce(F.avg(F.when(F.col("sentence_count") > 1, F.col("sentence_length_cv"))), F.lit(0.0)).alias("length_cv"))
+    rows = win.drop("held").join(facts, "key").join(shape.withColumnRenamed("doc_id", "key"), "key", "left").fillna(0.0, ["length_cv"])
+    doc = Window.partitionBy("doc_id")
+    rows = rows.withColumns({"spike_rate": F.col("high_surprise_rate_per_100"), "n": F.count("*").over(doc)})
+    middle = lambda c: F.when(F.col("n") > 1, F.percentile(c, F.lit(0.5)).over(doc))
+    rows = rows.withColumns({"mid_rate": middle("spike_rate"), "mid_cv": middle("surprisal_cv")})
+    off = lambda c, m: F.abs(F.col(c) - F.col(m)) / (F.col(m) + 1e-6)
+    limit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    spike = F.when(F.col("mid_rate") > 0, 80 - F.least(F.lit(40.0), 40 * off("spike_rate", "mid_rate"))).otherwise(limit(100 * (1 - F.abs(F.col("spike_rate") - 8) / 10)))
+    vary = F.when(F.col("mid_cv") > 0, 70 - F.least(F.lit(30.0), 30 * off("surprisal_cv", "mid_cv"))).otherwise(F.least(F.lit(100.0), 100 * F.col("surprisal_cv")))
+    score = 0.5 * spike + 0.3 * vary + 0.2 * F.least(F.lit(100.0), 200 * F.col("sent_burst_cv"))
+    or_ = lambda c, d: F.when(F.col(c) == 0, d).otherwise(F.col(c))
+    texture = 0.6 * F.least(F.lit(100.0), 200 * or_("content_fraction", 0.4)) + 0.4 * F.least(F.lit(100.0), or_("nucleus_w_mean", 100.0) / 2)
+    due = [
+        (F.col("spike_rate") < 4, "few spikes"), (F.col("spike_rate") > 15, "very many spikes"), (F.col("surprisal_cv") < 0.15, "little variation"), (F.col("length_cv") < 0.15, "sentences of one length"),
+        (F.col("ipi_mean") > 25, "long gaps between spikes"), ((F.col("ipi_mean") < 5) & (F.col("spike_rate") > 10), "spikes close together"),
+    ]
+    return rows.withColumns({"cadence_score": score, "texture_score": texture, "reasons": F.array_join(F.array_compact(F.array(*[F.when(c, r) for c, r in due])), ",")})
+
+
+def window_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["spike_rate", "surprisal_mean", "surprisal_cv", "ipi_mean", "length_cv", "cadence_score", "texture_score"]
+    return _timeline(spark, sf_dir).select("doc_id", F.col("window").cast("long"), *[R(c) for c in names], "reasons")
+
+
+def cadence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score, how much windows differ, the trend of surprisal over windows, and the worst and best window (the first of equal ones) of each document."""
+    rows = _timeline(spark, sf_dir).withColumn("s", F.round("cadence_score", 9))
+    m = F.avg("cadence_score")
+    out = rows.groupBy("doc_id").agg(
+        R(m, "overall"), R(F.when((F.count("*") > 1) & (m > 1e-6), F.stddev_pop("cadence_score") / m).otherwise(0.0), "pacing_variety"), R(_momentum("surprisal_mean", "window", 3), "tension_arc"),
+        F.min_by("window", F.struct("s", "window")).cast("long").alias("worst"), F.min_by("window", F.struct(-F.col("s"), "window")).cast("long").alias("best"),
+    )
+    return out
+
+
+_TIMELINE_SQL = f"""WITH win AS ({_WINDOW_SQL.replace(" AS id FROM each", " AS id, " + _STRIP("substr(t, e.start::BIGINT + 1, CASE WHEN room <= 0 THEN n ELSE 1500 END)") + " AS held FROM each")}), {statement("SELECT doc_id || ':' || w.window AS doc_id, '' AS author, held AS text FROM win w")}{_SEGMENT_TAIL}{_PARAGRAPH_TAIL},
+ lens AS (SELECT doc_id, coalesce(avg(sentence_length_cv) FILTER (WHERE sentence_count > 1), 0) AS length_cv FROM prof GROUP BY doc_id),
+ w1 AS (SELECT w.doc_id, w."window", coalesce(high_surprise_rate_per_100, 0) AS spike_rate, coalesce(surprisal_mean, 0) AS surprisal_mean, coalesce(surprisal_cv, 0) AS surprisal_cv, coalesce(ipi_mean, 0) AS ipi_mean, coalesce(sent_burst_cv, 0) AS burst, coalesce(content_fraction, 0) AS content, coalesce(nucleus_w_mean, 0) AS nucleus, coalesce(length_cv, 0) AS length_cv
+  FROM win w JOIN measured m ON m.doc_id = w.doc_id || ':' || w."window" LEFT JOIN lens l ON l.doc_id = m.doc_id),
+ mid AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN quantile_cont(spike_rate, 0.5) END AS mr, CASE WHEN count(*) > 1 THEN quantile_cont(surprisal_cv, 0.5) END AS mc FROM w1 GROUP BY doc_id),
+ sc AS (SELECT w1.*, 0.5 * CASE WHEN mr > 0 THEN 80 - least(40, 40 * abs(spike_rate - mr) / (mr + 1e-6)) ELSE greatest(0, least(100, 100 - 10 * abs(spike_rate - 8))) END + 0.3 * CASE WHEN mc > 0 THEN 70 - least(30, 30 * abs(surprisal_cv - mc) / (mc + 1e-6)) ELSE least(100, 100 * surprisal_cv) END + 0.2 * least(100, 200 * burst) AS cadence_score,
+  0.6 * least(100, 200 * CASE WHEN content = 0 THEN 0.4 ELSE content END) + 0.4 * least(100, CASE WHEN nucleus = 0 THEN 100 ELSE nucleus END / 2) AS texture_score,
+  array_to_string(list_filter([CASE WHEN spike_rate < 4 THEN 'few spikes' END, CASE WHEN spike_rate > 15 THEN 'very many spikes' END, CASE WHEN surprisal_cv < 0.15 THEN 'little variation' END, CASE WHEN length_cv < 0.15 THEN 'sentences of one length' END, CASE WHEN ipi_mean > 25 THEN 'long gaps between spikes' END, CASE WHEN ipi_mean < 5 AND spike_rate > 10 THEN 'spikes close together' END], lambda x: x IS NOT NULL), ',') AS reasons FROM w1 JOIN mid USING (doc_id))"""
+
+
 _COLUMNS = ", ".join(f"round({c}, 6) AS {c}" for c in SHAPE)
-QUERIES = {f.__name__: f for f in (segment_table, paragraph_profiles, paragraph_summary, dead_zone_report, document_windows, sampled_windows, window_sentences)}
+QUERIES = {f.__name__: f for f in (segment_table, paragraph_profiles, paragraph_summary, dead_zone_report, document_windows, sampled_windows, window_sentences, window_cadence, cadence_timeline)}
 ORACLES = {
+    "window_cadence": _TIMELINE_SQL + """ SELECT doc_id, "window", round(spike_rate, 6) AS spike_rate, round(surprisal_mean, 6) AS surprisal_mean, round(surprisal_cv, 6) AS surprisal_cv, round(ipi_mean, 6) AS ipi_mean, round(length_cv, 6) AS length_cv, round(cadence_score, 6) AS cadence_score, round(texture_score, 6) AS texture_score, reasons FROM sc""",
+    "cadence_timeline": _TIMELINE_SQL + """ SELECT doc_id, round(avg(cadence_score), 6) AS overall, round(CASE WHEN count(*) > 1 THEN stddev_pop(cadence_score) / avg(cadence_score) ELSE 0 END, 6) AS pacing_variety,
+ round(CASE WHEN count(*) > 2 THEN greatest(-1, least(1, covar_pop(surprisal_mean, "window") / ((stddev_pop(surprisal_mean) + 1e-9) * (stddev_pop("window") + 1e-9)))) ELSE 0 END, 6) AS tension_arc, arg_min("window", round(cadence_score, 9) * 1000 + "window" * 1e-7)::BIGINT AS worst, arg_max("window", round(cadence_score, 9) * 1000 - "window" * 1e-7)::BIGINT AS best FROM sc GROUP BY doc_id""",
     "segment_table": _SEGMENT_SQL + " SELECT doc_id, level, number, start_char, end_char, start_token, tokens, round(mean_surprisal, 6) AS mean_surprisal, spikes, round(spike_median, 6) AS spike_median FROM seg",
     "paragraph_profiles": _PARAGRAPH_SQL + f" SELECT doc_id, para, start_char, end_char, sentence_count, {_COLUMNS} FROM prof",
     "paragraph_summary": _PARAGRAPH_SQL + " SELECT doc_id, count(*) AS para_count, round(coalesce(avg(sentence_length_cv) FILTER (WHERE sentence_count > 1), 0), 6) AS mean_sentence_length_cv, round(coalesce(avg(surprisal_range) FILTER (WHERE sentence_count > 1), 0), 6) AS mean_surprisal_range, "

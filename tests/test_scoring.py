@@ -16,7 +16,7 @@ TOKEN = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
 TEXTS = {
     1: ("The sea was calm. The boat was small! Was the sea calm? No.\n\nThe boat sank, and the sea was calm again.\n\nA third part: the end of the boat.", "prose"),
     2: ("The sea\nwas calm\nand the boat\nwas small", "poem"), 3: ("One part. Two parts. The sea was calm.", None), 4: ("a b\n\nc d", "prose"), 5: ("", "prose"), 6: (None, None), 7: ("word", "novel"), 8: ("   \n ", "prose"),
-    9: ("x " * 700 + "y z " * 90, "prose"), 10: (" ".join(f"w{i * i % 17}" for i in range(400)) + "\n\nThe end.\n\nÉté, ñandú!", "prose"), 11: ("The sea was calm. " * 3, "prose"), 12: ("...!!! ???\n\n!\n\n.", "poem"),
+    9: ("x " * 700 + "y z " * 90, "prose"), 10: (" ".join(f"w{i * i % 17}" for i in range(400)) + "\n\nThe end.\n\nÉté, ñandú!", "prose"), 11: ("The sea was calm. " * 3, "prose"), 12: ("...!!! ???\n\n!\n\n.", "poem"), 13: ("One of it\n\nTwo of it\n\nThree so far", "prose"),
 }
 
 
