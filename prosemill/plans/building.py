@@ -83,7 +83,8 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORIGINALS = r"""r0 AS (SELECT doc_id * 2 AS seq, source, text FROM documents UNION ALL SELECT item_id * 2 + 1, 'benchmark', text FROM benchmark),
- r1 AS (SELECT seq, source, text, substr(sha1(source || chr(0) || text), 1, 12) AS sample_id, trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')) AS folded FROM r0),
+ r1 AS (SELECT seq, source, text, substr(sha1(source || chr(0) || text), 1, 12) AS sample_id, trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ',
+   'g')) AS folded FROM r0),
  r2 AS (SELECT *, CASE WHEN length(text) < 120 THEN 0 WHEN length(text) > 12000 THEN 1 END AS out FROM r1),
  r3 AS (SELECT *, coalesce(out, CASE WHEN row_number() OVER (PARTITION BY out, sample_id ORDER BY seq) > 1 THEN 2 END) AS out3 FROM r2),
  r4 AS (SELECT *, coalesce(out3, CASE WHEN row_number() OVER (PARTITION BY out3, folded ORDER BY seq) > 1 THEN 3 END) AS out4 FROM r3),
@@ -91,7 +92,8 @@ _ORIGINALS = r"""r0 AS (SELECT doc_id * 2 AS seq, source, text FROM documents UN
 QUERIES = {f.__name__: f for f in (name_match, originals_build, originals_accounts, jsonl_turns, json_from_text, date_forms, header_fields)}
 ORACLES = {
     "name_match": f"""WITH n AS (SELECT p_name AS name, lower(p_name) AS l, min(p_partkey) AS o FROM part GROUP BY p_name), w AS (SELECT p_partkey, {_WANT["duck"]} AS want FROM part),
- d AS (SELECT DISTINCT want, lower(trim(want)) AS s FROM w), m AS (SELECT want, name, o, CASE WHEN s = l THEN 1 WHEN contains(s, l) OR contains(l, s) THEN 2 WHEN list_contains(string_split(l, ' '), string_split(s, ' ')[-1]) THEN 3 END AS step FROM d, n),
+ d AS (SELECT DISTINCT want, lower(trim(want)) AS s FROM w), m AS (SELECT want, name, o, CASE WHEN s = l THEN 1 WHEN contains(s, l) OR contains(l,
+   s) THEN 2 WHEN list_contains(string_split(l, ' '), string_split(s, ' ')[-1]) THEN 3 END AS step FROM d, n),
  b AS (SELECT want, step, name FROM (SELECT *, row_number() OVER (PARTITION BY want ORDER BY step, o) AS k FROM m WHERE step IS NOT NULL) WHERE k = 1)
  SELECT w.p_partkey, w.want, b.step::BIGINT AS step, b.name AS found FROM w LEFT JOIN b ON b.want = w.want""",
     "originals_build": f"WITH {_ORIGINALS} SELECT seq, sample_id, source FROM r5 WHERE out5 IS NULL",

@@ -77,11 +77,17 @@ def paragraph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARAGRAPH_TAIL = """, sent AS (SELECT *, 100.0 * spikes / tokens AS rate FROM seg WHERE level = 'sent'),
- inside AS (SELECT p.doc_id, p.number AS para, s.number, s.tokens::DOUBLE AS n, s.mean_surprisal AS m, s.rate FROM sent s JOIN seg p ON p.level = 'para' AND p.doc_id = s.doc_id AND s.start_token >= p.start_token AND s.start_token < p.start_token + p.tokens),
- facts AS (SELECT doc_id, para, count(*) AS k, CASE WHEN count(*) > 1 THEN stddev_pop(n) / avg(n) ELSE 0 END AS n_cv, avg(m) AS m, max(m) - min(m) AS r, CASE WHEN count(*) > 1 THEN stddev_pop(m) / avg(m) ELSE 0 END AS m_cv, arg_min(m, number) AS m0, arg_max(m, number) AS m1, arg_min(rate, number) AS r0, arg_max(rate, number) AS r1,
-  CASE WHEN count(*) > 2 THEN greatest(-1, least(1, covar_pop(m, number) / ((stddev_pop(m) + 1e-9) * (stddev_pop(number) + 1e-9)))) ELSE 0 END AS momentum FROM inside GROUP BY doc_id, para),
- prof AS (SELECT p.doc_id, p.number AS para, p.start_char, p.end_char, coalesce(k, 0) AS sentence_count, coalesce(n_cv, 0) AS sentence_length_cv, coalesce(m, 0) AS mean_surprisal, coalesce(r, 0) AS surprisal_range, coalesce(m_cv, 0) AS surprisal_cv, coalesce(m0, 0) AS opening_surprisal, coalesce(m1, 0) AS closing_surprisal,
-  coalesce(r0, 0) AS opening_spike_rate, coalesce(r1, 0) AS closing_spike_rate, coalesce(momentum, 0) AS momentum, CASE WHEN k IS NULL OR p.spikes = 0 OR p.tokens < 2 THEN 0.0 ELSE greatest(-1, least(1, 1 - 2 * p.spike_median / p.tokens)) END AS spike_front_loading
+ inside AS (SELECT p.doc_id, p.number AS para, s.number, s.tokens::DOUBLE AS n, s.mean_surprisal AS m,
+   s.rate FROM sent s JOIN seg p ON p.level = 'para' AND p.doc_id = s.doc_id AND s.start_token >= p.start_token AND s.start_token < p.start_token + p.tokens),
+ facts AS (SELECT doc_id, para, count(*) AS k, CASE WHEN count(*) > 1 THEN stddev_pop(n) / avg(n) ELSE 0 END AS n_cv, avg(m) AS m, max(m) - min(m) AS r,
+   CASE WHEN count(*) > 1 THEN stddev_pop(m) / avg(m) ELSE 0 END AS m_cv, arg_min(m, number) AS m0, arg_max(m, number) AS m1, arg_min(rate, number) AS r0, arg_max(rate,
+   number) AS r1,
+  CASE WHEN count(*) > 2 THEN greatest(-1, least(1, covar_pop(m,
+   number) / ((stddev_pop(m) + 1e-9) * (stddev_pop(number) + 1e-9)))) ELSE 0 END AS momentum FROM inside GROUP BY doc_id, para),
+ prof AS (SELECT p.doc_id, p.number AS para, p.start_char, p.end_char, coalesce(k, 0) AS sentence_count, coalesce(n_cv, 0) AS sentence_length_cv, coalesce(m,
+   0) AS mean_surprisal, coalesce(r, 0) AS surprisal_range, coalesce(m_cv, 0) AS surprisal_cv, coalesce(m0, 0) AS opening_surprisal, coalesce(m1, 0) AS closing_surprisal,
+  coalesce(r0, 0) AS opening_spike_rate, coalesce(r1, 0) AS closing_spike_rate, coalesce(momentum, 0) AS momentum,
+   CASE WHEN k IS NULL OR p.spikes = 0 OR p.tokens < 2 THEN 0.0 ELSE greatest(-1, least(1, 1 - 2 * p.spike_median / p.tokens)) END AS spike_front_loading
   FROM seg p LEFT JOIN facts f ON f.doc_id = p.doc_id AND f.para = p.number WHERE p.level = 'para')"""
 _PARAGRAPH_SQL = _SEGMENT_SQL + _PARAGRAPH_TAIL
 
@@ -118,7 +124,8 @@ def with_reasons(rows: DataFrame, text: str, length_cv: str) -> DataFrame:
 def dead_zones(seg: DataFrame, docs: DataFrame, sentences: int = 4, most: int = 6) -> DataFrame:
     """Flat stretches of documents of six sentences or more: doc_id, zone (in order of place), sent_start, sent_end, start_char, end_char, severity, reasons.
 
-    Windows of `sentences` sentences whose surprisal deviates by at most max(0.1, a quarter of the document's) and that repeat or drone are candidates; the most severe (twice `most`, ten at least) are merged where they touch,
+    Windows of `sentences` sentences whose surprisal deviates by at most max(0.1,
+   a quarter of the document's) and that repeat or drone are candidates; the most severe (twice `most`, ten at least) are merged where they touch,
     and the merged stretches are judged again by their own deviation and text; `most` of them at most are reported, by place."""
     s = seg.where("level = 'sent'").select("doc_id", F.col("number").alias("i"), "start_char", "end_char", F.col("mean_surprisal").alias("m"), F.col("tokens").cast("double").alias("n"))
     limits = s.groupBy("doc_id").agg(F.count("*").alias("k"), F.stddev_pop("m").alias("sd")).where("k >= 6 and sd > 1e-6").select("doc_id", F.greatest(F.lit(0.10), 0.25 * F.col("sd")).alias("limit"))
@@ -154,18 +161,26 @@ def _judged_sql(rows: str) -> str:
     plain = "regexp_replace(regexp_replace(z, '[^\\x00-\\x7F\\p{L}\\p{N}]', ' ', 'g'), '[^\\x00-\\x7F]', '0', 'g')"  # other letters as word characters
     hits = lambda p: f"len(regexp_extract_all({plain}, '{p}')) "
     return f"""(SELECT *, greatest(0, least(1.25, (limit_ - sd) / limit_ + penalty)) AS severity FROM (SELECT *, CASE WHEN tri >= 0.18 THEN least(0.35, tri) ELSE 0 END + CASE WHEN adj >= 0.06 THEN least(0.2, adj) ELSE 0 END + CASE WHEN heavy THEN 0.15 ELSE 0 END + CASE WHEN cv <= 0.08 THEN 0.12 ELSE 0 END AS penalty,
-  array_to_string(list_filter(['flat_cadence', CASE WHEN tri >= 0.18 THEN 'high_trigram_repetition' END, CASE WHEN adj >= 0.06 THEN 'adjacent_word_repetition' END, CASE WHEN heavy THEN 'droning_density' END, CASE WHEN cv <= 0.08 THEN 'uniform_sentence_length' END], lambda x: x IS NOT NULL), ',') AS reasons
-  FROM (SELECT *, CASE WHEN n >= 4 THEN 1 - len(list_distinct(list_transform(range(1, n - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2]))) / (n - 2) ELSE 0 END AS tri, CASE WHEN n >= 2 THEN len(list_filter(range(2, n + 1), lambda j: w[j] = w[j - 1])) / (n - 1) ELSE 0 END AS adj,
+  array_to_string(list_filter(['flat_cadence', CASE WHEN tri >= 0.18 THEN 'high_trigram_repetition' END, CASE WHEN adj >= 0.06 THEN 'adjacent_word_repetition' END,
+   CASE WHEN heavy THEN 'droning_density' END, CASE WHEN cv <= 0.08 THEN 'uniform_sentence_length' END], lambda x: x IS NOT NULL), ',') AS reasons
+  FROM (SELECT *, CASE WHEN n >= 4 THEN 1 - len(list_distinct(list_transform(range(1, n - 1),
+   lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2]))) / (n - 2) ELSE 0 END AS tri, CASE WHEN n >= 2 THEN len(list_filter(range(2, n + 1),
+   lambda j: w[j] = w[j - 1])) / (n - 1) ELSE 0 END AS adj,
    n > 0 AND ({hits(NOMINAL)} / n >= 0.06 OR {hits(HEDGE)} / n >= 0.028 OR {hits(PASSIVE)} >= 2 OR len(list_filter(w, lambda x: length(x) >= 8)) / n >= 0.22) AS heavy
    FROM (SELECT *, {words} AS w, len({words}) AS n FROM (SELECT r.*, substr(c.text, r.start_char::BIGINT + 1, (r.end_char - r.start_char)::BIGINT) AS z FROM ({rows}) r JOIN c ON c.doc_id = r.doc_id)))) WHERE tri >= 0.18 OR adj >= 0.06 OR heavy)"""
 
 
 _ZONE_SQL = _SEGMENT_SQL + f""", s AS (SELECT doc_id, number AS i, start_char, end_char, mean_surprisal AS m, tokens::DOUBLE AS n, count(*) OVER d AS k, greatest(0.1, 0.25 * stddev_pop(mean_surprisal) OVER d) AS limit_, stddev_pop(mean_surprisal) OVER d AS all_ FROM seg WHERE level = 'sent' WINDOW d AS (PARTITION BY doc_id)),
- frames AS (SELECT a.doc_id, a.i, a.limit_, min(b.start_char) AS start_char, max(b.end_char) AS end_char, stddev_pop(b.m) AS sd, stddev_pop(b.n) / (abs(avg(b.n)) + 1e-12) AS cv FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 3 WHERE a.k >= 6 AND a.all_ > 1e-6 GROUP BY a.doc_id, a.i, a.limit_ HAVING count(*) = 4 AND stddev_pop(b.m) <= a.limit_),
- best AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY round(severity, 9) DESC, i) AS r FROM {_judged_sql("SELECT * FROM frames")}) WHERE r <= 12),
- isle AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 4 THEN 0 ELSE 1 END AS new FROM best)),
+ frames AS (SELECT a.doc_id, a.i, a.limit_, min(b.start_char) AS start_char, max(b.end_char) AS end_char, stddev_pop(b.m) AS sd,
+   stddev_pop(b.n) / (abs(avg(b.n)) + 1e-12) AS cv FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 3 WHERE a.k >= 6 AND a.all_ > 1e-6 GROUP BY a.doc_id, a.i, a.limit_ HAVING count(*) = 4 AND stddev_pop(b.m) <= a.limit_),
+ best AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY round(severity, 9) DESC,
+   i) AS r FROM {_judged_sql("SELECT * FROM frames")}) WHERE r <= 12),
+ isle AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM (SELECT doc_id, i,
+   CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 4 THEN 0 ELSE 1 END AS new FROM best)),
  zone AS (SELECT doc_id, min(i) AS sent_start, max(i) + 3 AS sent_end FROM isle GROUP BY doc_id, isle),
- merged AS (SELECT z.doc_id, z.sent_start, z.sent_end, s.limit_, min(s.start_char) AS start_char, max(s.end_char) AS end_char, stddev_pop(s.m) AS sd, stddev_pop(s.n) / (abs(avg(s.n)) + 1e-12) AS cv FROM zone z JOIN s ON s.doc_id = z.doc_id AND s.i BETWEEN z.sent_start AND z.sent_end GROUP BY z.doc_id, z.sent_start, z.sent_end, s.limit_),
+ merged AS (SELECT z.doc_id, z.sent_start, z.sent_end, s.limit_, min(s.start_char) AS start_char, max(s.end_char) AS end_char, stddev_pop(s.m) AS sd,
+   stddev_pop(s.n) / (abs(avg(s.n)) + 1e-12) AS cv FROM zone z JOIN s ON s.doc_id = z.doc_id AND s.i BETWEEN z.sent_start AND z.sent_end GROUP BY z.doc_id, z.sent_start,
+   z.sent_end, s.limit_),
  last AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_start) - 1 AS zone FROM {_judged_sql("SELECT * FROM merged")})"""
 
 
@@ -207,10 +222,13 @@ def document_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STRIP = lambda x: f"regexp_replace({x}, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')"
 _WINDOW_SQL = rf"""WITH RECURSIVE t AS (SELECT doc_id, {_STRIP("replace(text, chr(10), chr(10) || chr(10))")} AS t FROM documents), r AS (SELECT doc_id, t, length(t) AS n, length(t) - 1500 AS room FROM t),
- cut AS (SELECT doc_id, 0 AS b FROM r UNION ALL SELECT doc_id, b FROM (SELECT doc_id, k % 2 AS odd, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT doc_id, string_split(regexp_replace(t, '(\n\s*\n+)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS l FROM r))) WHERE odd = 1),
+ cut AS (SELECT doc_id, 0 AS b FROM r UNION ALL SELECT doc_id, b FROM (SELECT doc_id, k % 2 AS odd,
+   sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT doc_id,
+   string_split(regexp_replace(t, '(\n\s*\n+)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS l FROM r))) WHERE odd = 1),
  goal AS (SELECT r.doc_id, i, round_even(i * r.room / 5.0, 0) AS g, room FROM r, range(6) x(i) WHERE room > 0),
  snap AS (SELECT g.doc_id, i, least(max(b), any_value(room)) AS s FROM goal g JOIN cut c ON c.doc_id = g.doc_id AND c.b <= g.g GROUP BY g.doc_id, i),
- fold AS (SELECT doc_id, 0 AS i, [s] AS held FROM snap WHERE i = 0 UNION ALL SELECT f.doc_id, s.i, CASE WHEN abs(s.s - f.held[-1]) < 375 THEN f.held ELSE list_append(f.held, s.s) END FROM fold f JOIN snap s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
+ fold AS (SELECT doc_id, 0 AS i, [s] AS held FROM snap WHERE i = 0 UNION ALL SELECT f.doc_id, s.i,
+   CASE WHEN abs(s.s - f.held[-1]) < 375 THEN f.held ELSE list_append(f.held, s.s) END FROM fold f JOIN snap s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
  done AS (SELECT doc_id, CASE WHEN list_contains(held, 0) THEN held ELSE list_prepend(0, held) END AS held FROM fold WHERE i = 5),
  each AS (SELECT doc_id, unnest(range(len(held))) AS w, unnest(held) AS start FROM done UNION ALL SELECT doc_id, 0, 0 FROM r WHERE room <= 0)
  SELECT e.doc_id, e.w::BIGINT AS "window", e.start::BIGINT AS start, least(n, CASE WHEN room <= 0 THEN n ELSE e.start + 1500 END)::BIGINT AS stop, substr(sha1({_STRIP("substr(t, e.start::BIGINT + 1, CASE WHEN room <= 0 THEN n ELSE 1500 END)")}), 1, 12) AS id FROM each e JOIN r ON r.doc_id = e.doc_id"""
@@ -245,8 +263,11 @@ def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _H = lambda purpose: f"('0x' || substr(sha1('1337:' || doc_id || ':' || k || ':{purpose}'), 1, 8))::BIGINT"
 _SAMPLE_SQL = rf"""WITH t AS (SELECT doc_id, {_STRIP("regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '[ \\t]+\\n', chr(10), 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g')")} AS t FROM documents),
  k AS (SELECT doc_id, t, length(t) AS n, unnest(CASE WHEN length(t) <= 900 THEN [0] ELSE [0, 1, 2] END) AS k FROM t),
- b AS (SELECT doc_id, list(b ORDER BY b) AS bs FROM (SELECT doc_id, k % 2 AS odd, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) - length(x) AS b FROM (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT doc_id, string_split(regexp_replace(t, '(\n\s*\n)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS l FROM t))) WHERE odd = 1 GROUP BY doc_id),
- d AS (SELECT k.doc_id, k.t, k.n, k.k, coalesce(bs, []) AS bs, 300 + {_H("size").replace("doc_id", "k.doc_id").replace("|| k ||", "|| k.k ||")} % 601 AS size, {_H("start").replace("doc_id", "k.doc_id").replace("|| k ||", "|| k.k ||")} AS place FROM k LEFT JOIN b ON b.doc_id = k.doc_id),
+ b AS (SELECT doc_id, list(b ORDER BY b) AS bs FROM (SELECT doc_id, k % 2 AS odd,
+   sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) - length(x) AS b FROM (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT doc_id,
+   string_split(regexp_replace(t, '(\n\s*\n)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS l FROM t))) WHERE odd = 1 GROUP BY doc_id),
+ d AS (SELECT k.doc_id, k.t, k.n, k.k, coalesce(bs, []) AS bs, 300 + {_H("size").replace("doc_id", "k.doc_id").replace("|| k ||", "|| k.k ||")} % 601 AS size,
+   {_H("start").replace("doc_id", "k.doc_id").replace("|| k ||", "|| k.k ||")} AS place FROM k LEFT JOIN b ON b.doc_id = k.doc_id),
  p AS (SELECT *, CASE WHEN n <= 900 THEN 0 WHEN len(bs) > 0 THEN least(bs[place % len(bs) + 1], n - size) ELSE place % (n - size + 1) END AS start FROM d),
  h AS (SELECT doc_id, k, start, CASE WHEN n <= 900 THEN t ELSE {_STRIP("substr(t, start::BIGINT + 1, size)")} END AS held FROM p)
  SELECT doc_id, min(k)::BIGINT AS k, arg_min(start, k)::BIGINT AS start, any_value(length(held))::BIGINT AS chars, substr(sha1(held), 1, 12) AS id FROM h GROUP BY doc_id, held"""
@@ -305,10 +326,15 @@ def cadence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TIMELINE_SQL = f"""WITH win AS ({_WINDOW_SQL.replace(" AS id FROM each", " AS id, " + _STRIP("substr(t, e.start::BIGINT + 1, CASE WHEN room <= 0 THEN n ELSE 1500 END)") + " AS held FROM each")}), {statement("SELECT doc_id || ':' || w.window AS doc_id, '' AS author, held AS text FROM win w")}{_SEGMENT_TAIL}{_PARAGRAPH_TAIL},
  lens AS (SELECT doc_id, coalesce(avg(sentence_length_cv) FILTER (WHERE sentence_count > 1), 0) AS length_cv FROM prof GROUP BY doc_id),
- w1 AS (SELECT w.doc_id, w."window", coalesce(high_surprise_rate_per_100, 0) AS spike_rate, coalesce(surprisal_mean, 0) AS surprisal_mean, coalesce(surprisal_cv, 0) AS surprisal_cv, coalesce(ipi_mean, 0) AS ipi_mean, coalesce(sent_burst_cv, 0) AS burst, coalesce(content_fraction, 0) AS content, coalesce(nucleus_w_mean, 0) AS nucleus, coalesce(length_cv, 0) AS length_cv
+ w1 AS (SELECT w.doc_id, w."window", coalesce(high_surprise_rate_per_100, 0) AS spike_rate, coalesce(surprisal_mean, 0) AS surprisal_mean, coalesce(surprisal_cv,
+   0) AS surprisal_cv, coalesce(ipi_mean, 0) AS ipi_mean, coalesce(sent_burst_cv, 0) AS burst, coalesce(content_fraction, 0) AS content, coalesce(nucleus_w_mean,
+   0) AS nucleus, coalesce(length_cv, 0) AS length_cv
   FROM win w JOIN measured m ON m.doc_id = w.doc_id || ':' || w."window" LEFT JOIN lens l ON l.doc_id = m.doc_id),
- mid AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN quantile_cont(spike_rate, 0.5) END AS mr, CASE WHEN count(*) > 1 THEN quantile_cont(surprisal_cv, 0.5) END AS mc FROM w1 GROUP BY doc_id),
- sc AS (SELECT w1.*, 0.5 * CASE WHEN mr > 0 THEN 80 - least(40, 40 * abs(spike_rate - mr) / (mr + 1e-6)) ELSE greatest(0, least(100, 100 - 10 * abs(spike_rate - 8))) END + 0.3 * CASE WHEN mc > 0 THEN 70 - least(30, 30 * abs(surprisal_cv - mc) / (mc + 1e-6)) ELSE least(100, 100 * surprisal_cv) END + 0.2 * least(100, 200 * burst) AS cadence_score,
+ mid AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN quantile_cont(spike_rate, 0.5) END AS mr, CASE WHEN count(*) > 1 THEN quantile_cont(surprisal_cv,
+   0.5) END AS mc FROM w1 GROUP BY doc_id),
+ sc AS (SELECT w1.*, 0.5 * CASE WHEN mr > 0 THEN 80 - least(40, 40 * abs(spike_rate - mr) / (mr + 1e-6)) ELSE greatest(0, least(100,
+   100 - 10 * abs(spike_rate - 8))) END + 0.3 * CASE WHEN mc > 0 THEN 70 - least(30, 30 * abs(surprisal_cv - mc) / (mc + 1e-6)) ELSE least(100,
+   100 * surprisal_cv) END + 0.2 * least(100, 200 * burst) AS cadence_score,
   0.6 * least(100, 200 * CASE WHEN content = 0 THEN 0.4 ELSE content END) + 0.4 * least(100, CASE WHEN nucleus = 0 THEN 100 ELSE nucleus END / 2) AS texture_score,
   array_to_string(list_filter([CASE WHEN spike_rate < 4 THEN 'few spikes' END, CASE WHEN spike_rate > 15 THEN 'very many spikes' END, CASE WHEN surprisal_cv < 0.15 THEN 'little variation' END, CASE WHEN length_cv < 0.15 THEN 'sentences of one length' END, CASE WHEN ipi_mean > 25 THEN 'long gaps between spikes' END, CASE WHEN ipi_mean < 5 AND spike_rate > 10 THEN 'spikes close together' END], lambda x: x IS NOT NULL), ',') AS reasons FROM w1 JOIN mid USING (doc_id))"""
 
