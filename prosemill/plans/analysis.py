@@ -137,6 +137,23 @@ def statement(corpus: str = CORPUS_SQL) -> str:
   {", ".join(scoring.LEVELS)} FROM c LEFT JOIN moved m USING (doc_id) LEFT JOIN stats s USING (doc_id) LEFT JOIN peak_gaps pg USING (doc_id) LEFT JOIN high_gaps hg USING (doc_id) LEFT JOIN orders USING (doc_id) LEFT JOIN hurst USING (doc_id) LEFT JOIN sent_facts USING (doc_id) LEFT JOIN para_facts USING (doc_id) LEFT JOIN line_facts USING (doc_id))"""
 
 
+def divergence(df: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """group, pairs, kl and squashed (tanh of a tenth): the Kullback-Leibler divergence of a group's next-token distributions from those of all groups, averaged over its pairs of tokens.
+
+    Pairs are counted by group before anything is joined; a pair of a group occurs in all, so every share is above 0."""
+    tokens = df.select(group, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("t")).where(F.size("t") > 1)
+    pairs = tokens.select(group, F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("b"), F.slice("t", 2, F.size("t") - 1).alias("v"))).alias("p")).select(group, "p.b", "p.v")
+    own = kept(pairs.groupBy(group, "b", "v").agg(F.count("*").alias("c")), "pairs")
+    every = own.groupBy("b", "v").agg(F.sum("c").alias("all"))
+    rows = own.join(own.groupBy(group, "b").agg(F.sum("c").alias("own_b")), [group, "b"]).join(every.join(every.groupBy("b").agg(F.sum("all").alias("all_b")), "b"), ["b", "v"])
+    term = F.col("c") * F.log((F.col("c") / F.col("own_b")) / (F.col("all") / F.col("all_b")))
+    return rows.groupBy(group).agg(F.sum("c").alias("pairs"), (F.sum(term) / F.sum("c")).alias("kl")).withColumn("squashed", F.tanh(0.1 * F.col("kl")))
+
+
+def author_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(corpus_para(spark, sf_dir), "author").select("author", "pairs", F.round("kl", 6).alias("kl"), F.round("squashed", 6).alias("squashed"))
+
+
 def doc_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cadence of the documents of five scored tokens or more by source, from shares of all tokens; the statement of this name is its SQL."""
     docs = table(spark, sf_dir, "documents").withColumn("doc_type", F.lit(None).cast("string"))
@@ -146,8 +163,12 @@ def doc_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens_count").alias("tokens_total"), *means, mean("high_surprise_ipi_mean", "ipi_mean"))
 
 
-QUERIES = {"doc_cadence": doc_cadence, "doc_analysis": doc_analysis, "author_means": author_means, "cohesion": cohesion}
+QUERIES = {"doc_cadence": doc_cadence, "author_divergence": author_divergence, "doc_analysis": doc_analysis, "author_means": author_means, "cohesion": cohesion}
 ORACLES = {
+    "author_divergence": rf"""WITH t AS (SELECT author, doc_id, unnest(range(len(l))) AS i, unnest(l) AS v FROM (SELECT source AS author, doc_id, regexp_extract_all(replace(text, chr(10), chr(10) || chr(10)), '{TOKEN}') AS l FROM documents)),
+ p AS (SELECT author, lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS b, v FROM t), g AS (SELECT author, b, v, count(*) AS c FROM p WHERE b IS NOT NULL GROUP BY author, b, v),
+ s AS (SELECT author, c, c / sum(c) OVER (PARTITION BY author, b) AS own, sum(c) OVER (PARTITION BY b, v) / sum(c) OVER (PARTITION BY b) AS every FROM g), k AS (SELECT author, sum(c)::BIGINT AS pairs, sum(c * ln(own / every)) / sum(c) AS kl FROM s GROUP BY author)
+ SELECT author, pairs, round(kl, 6) AS kl, round(tanh(0.1 * kl), 6) AS squashed FROM k""",
     "doc_analysis": f"WITH {statement()} SELECT doc_id, {', '.join(COUNTS_IN_SQL)}, {', '.join(f'round({m}, 6) AS {m}' for m in IN_SQL)} FROM measured",
     "author_means": f"WITH {statement()} SELECT author, count(*) AS docs_count, sum(tokens_count)::BIGINT AS tokens_total, {', '.join(f'round(avg({m}), 6) AS {m}_mean' for m in IN_SQL)} FROM measured GROUP BY author",
 }
