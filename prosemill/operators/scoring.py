@@ -187,7 +187,7 @@ def distributions(pairs: DataFrame) -> DataFrame:
     })
     of = lambda x: F.try_divide(x, F.col("total"))  # noqa: E731  a token that never goes before another has no distribution
     return rows.withColumns({
-        "entropy": F.log("total") - of(F.sum(F.when(seen, F.col("c") * F.log("c"))).over(all_)), "mass": of(F.col("cumulated")),
+        "entropy": F.greatest(F.lit(0.0), F.log("total") - of(F.sum(F.when(seen, F.col("c") * F.log("c"))).over(all_))), "mass": of(F.col("cumulated")),
         "width": F.count_if(seen & (10 * (F.col("cumulated") - F.col("c")) < 9 * F.col("total"))).over(all_), "top10": of(F.sum(F.when(F.col("place") <= 10, F.col("c"))).over(all_)),
     }).drop("cumulated")
 

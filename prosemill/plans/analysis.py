@@ -81,7 +81,7 @@ def statement(corpus: str = CORPUS_SQL) -> str:
  level AS (SELECT before, c, sum(count(*)) OVER (PARTITION BY before ORDER BY c DESC) AS r FROM g GROUP BY before, c),
  list AS (SELECT before, c, row_number() OVER k AS place, sum(c) OVER k - c AS above FROM g WINDOW k AS (PARTITION BY before ORDER BY c DESC,
    v ROWS UNBOUNDED PRECEDING)),
- context AS (SELECT before, sum(c) AS total, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h, sum(c) FILTER (WHERE place <= 10) / sum(c) AS top10 FROM list GROUP BY before),
+ context AS (SELECT before, sum(c) AS total, greatest(0.0, ln(sum(c)) - sum(c * ln(c)) / sum(c)) AS h, sum(c) FILTER (WHERE place <= 10) / sum(c) AS top10 FROM list GROUP BY before),
  wide AS (SELECT l.before, count(*) AS width FROM list l JOIN context x ON x.before = l.before WHERE l.above < 0.9 * x.total GROUP BY l.before),
  scored AS (SELECT w.doc_id, w.idx - 1 AS i, w.a, w.v, round(0 - ln(0.7 * g.c / x.total + 0.3 * (u.c + 1) / (z.n + z.k + 1)), 9) AS s, x.h, x.top10, d.width,
    l.r / z.k AS r,
