@@ -9,8 +9,8 @@ Only these expand into pairs of members. Each class has a sketch, one parity bit
 sets in members, so a pair whose sketches differ too much is no link and its sets are never fetched. The sets of the others are computed
 again and compared.
 
-Lists of more than LIGHT members (near copies by the thousand) don't expand. Blocks of a list, of sizes that may match, are compared by sketch: a first time each block gives a spanning forest of the
-pairs that may link, the most alike first. With the light lists' pairs these are verified and give components. A second time pairs within one component are left out. What remains is verified
+Lists of more than LIGHT members (near copies by the thousand) don't expand. Blocks of a list, of sizes that may match, are compared by sketch: a first time each block meets itself alone and gives a spanning forest of the
+pairs that may link, the most alike first. With the light lists' pairs these are verified and give components. A second time all pairs of different components meet; those within one, and so most of a list, are left out. What remains is verified
 pair by pair, or, in a block with more than DENSE pairs a member, by counting along lists within the block. So rows grow with the members, not with their
 pairs. Nothing is capped or sampled, and nothing but counts comes to the driver. Components come from alternating large and small stars.
 
@@ -256,24 +256,36 @@ def _step(percent: int) -> float:
     return 1.001 * max(1e-3, math.log(100 / percent))
 
 
-def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Rows of entries (gram, class, size, bucket, ...) for each pair of blocks of their list that may hold links: i <= j, own (the row's block). Blocks are parts of a bucket of sizes; buckets that aren't neighbours never match."""
-    counts = entries.groupBy("gram", "bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    counts = counts.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    near = lambda d, x: counts.select("gram", (F.col("bucket") + d).alias("bucket"), F.col("blocks").alias(f"blocks_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
-    counts = counts.join(near(-1, "up"), ["gram", "bucket"], "left").join(near(1, "down"), ["gram", "bucket"], "left")
-    # parts whose members are all of one component have nothing left to compare
-    many = lambda x: F.when((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col(f"lo_{x}")) & (F.col("lo") == F.col(f"hi_{x}")), 0).otherwise(F.coalesce(f"blocks_{x}", F.lit(0)))
-    counts = counts.select("gram", "bucket", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("blocks")).alias("same"), "blocks", many("up").alias("up"), many("down").alias("down")).where("same + up + down > 0")
-    rows = entries.join(counts, ["gram", "bucket"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    block = lambda bucket, part: bucket.cast("long") * 2**32 + part
-    own = block(F.col("bucket"), F.col("part"))
+def _block_pairs(entries: DataFrame, percent: int, thin: bool) -> DataFrame:
+    """Rows of entries (gram, class, size, bucket, root, ...) for each pair of blocks of their list that is compared: i <= j, own (the row's block). Blocks are parts of a bucket of sizes; buckets that aren't neighbours never match.
+
+    thin: a block meets itself alone, so rows grow with the entries. Else all pairs of different roots meet: members of the list's most frequent root never meet
+    each other, the others meet all, so rows grow with the entries unless many parts of a list are still apart."""
+    if thin:
+        entries = entries.withColumn("minor", F.lit(1))
+    else:
+        votes = entries.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root"))["root"].alias("major"))
+        entries = entries.join(votes, "gram").withColumn("minor", (F.col("root") != F.col("major")).cast("int")).drop("major")
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    counts = entries.groupBy("gram", "bucket").agg(blocks(F.sum("minor")).alias("few"), blocks(F.count("*") - F.sum("minor")).alias("many"), F.count("*").alias("n"))
+    near = lambda d, x: counts.select("gram", (F.col("bucket") - d).alias("bucket"), F.col("few").alias(f"few_{x}"), F.col("many").alias(f"many_{x}"))
+    counts = counts.join(near(1, "up"), ["gram", "bucket"], "left").join(near(-1, "down"), ["gram", "bucket"], "left").fillna(0)
+    counts = counts.withColumns({"few_same": F.when(F.col("n") > 1, F.col("few")).otherwise(0), "many_same": F.col("many")}).where("few_same + few_up + few_down > 0")
+    minor = F.col("minor") == 1
+    rows = entries.join(counts, ["gram", "bucket"]).withColumn("part", F.pmod(F.xxhash64("class"), F.when(minor, F.col("few")).otherwise(F.col("many"))).cast("int"))
+    block = lambda d, minor, part: (2 * (F.col("bucket") + d) + minor).cast("long") * 2**32 + part
     # the largest partner that what comes after the n-gram allows, and the least size of a bucket
     reach, least = F.floor((F.col("size") - F.col("at") + 1) * (100 + percent) / percent) - F.col("size"), lambda d: 0.999 * F.exp((F.col("bucket") + d) * F.lit(_step(percent)))
-    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    meets = lambda c, d: F.when(reach >= least(d), F.transform(upto(c), lambda k: block(F.col("bucket") + d, k))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("other", F.explode(F.concat(meets("same", 0), meets("up", 1), meets("down", -1))))
-    return rows.withColumn("i", F.least(own, "other")).withColumn("j", F.greatest(own, "other")).withColumn("own", own == F.col("i")).drop("blocks", "same", "up", "down", "part", "other", "bucket")
+    none = F.array().cast("array<bigint>")
+
+    def meets(name: str, d: int) -> Column:
+        upto = lambda kind: F.when(F.col(f"{kind}_{name}") > 0, F.sequence(F.lit(0), F.col(f"{kind}_{name}") - 1)).otherwise(none.cast("array<int>"))
+        to = lambda kind, minor: F.transform(upto(kind), lambda k: block(d, minor, k))
+        return F.when(reach >= least(d), F.when(minor, F.concat(to("few", 1), to("many", 0))).otherwise(to("few", 1))).otherwise(none)
+
+    rows = rows.withColumn("_own", block(0, F.col("minor"), F.col("part"))).withColumn("other", F.explode(F.when((F.col("few_same") > 0) & (reach >= least(0)), F.array("_own")).otherwise(none) if thin else F.concat(meets("same", 0), meets("up", 1), meets("down", -1))))
+    rows = rows.withColumn("i", F.least("_own", "other")).withColumn("j", F.greatest("_own", "other")).withColumn("own", F.col("_own") == F.col("i"))
+    return rows.select(*[c for c in entries.columns if c not in ("minor", "bucket")], "i", "j", "own")
 
 
 def link(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,7 +364,7 @@ def link(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text
             rooted = entries.withColumn("root", F.col("class"))
         else:
             rooted = entries.join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        blocks = _block_pairs(rooted, percent).join(sketches.select("class", "sketch"), "class").select("gram", "i", "j", "own", "class", "size", "at", "root", "sketch")
+        blocks = _block_pairs(rooted, percent, thin).join(sketches.select("class", "sketch"), "class").select("gram", "i", "j", "own", "class", "size", "at", "root", "sketch")
         return materialise(blocks.groupBy("gram", "i", "j").applyInPandas(lambda pdf: candidates(pdf, thin), "a long, b long, block string"), "jaccard-blocks")
 
     thin = by_blocks(None)

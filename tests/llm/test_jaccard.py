@@ -73,3 +73,12 @@ def test_sketches_bound_from_below():
         x, y = (jaccard._sketch(jaccard.np.array(sorted(s), jaccard.np.uint64)) for s in (a, b))
         width = min(len(x), len(y))
         assert jaccard.np.bitwise_count(jaccard._folded(x, width) ^ jaccard._folded(y, width)).sum() <= len(a ^ b)
+
+
+def test_first_comparison_grows_with_the_entries(spark):
+    """A list of ten blocks made ten rows for each entry, now one; a second time members of the most frequent root meet only the others."""
+    entries = spark.range(10 * jaccard.BLOCK).selectExpr("1L AS gram", "id AS class", "100L AS size", "1 AS at", "28 AS bucket", "if(id < 5, id, 9) AS root")
+    first = jaccard._block_pairs(entries, 85, True)
+    assert first.count() == 10 * jaccard.BLOCK and first.where("i <> j").isEmpty()
+    second = jaccard._block_pairs(entries, 85, False)
+    assert second.where("root = 9").count() == 10 * jaccard.BLOCK - 5 and second.where("root <> 9 and i = j").count() == 5
