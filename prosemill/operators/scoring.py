@@ -358,12 +358,20 @@ def _gathered(found: pa.Table, size: int) -> dict[str, np.ndarray]:
     return held
 
 
-def analyse(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", kind: str = "doc_type", contexts: bool = True) -> DataFrame:
-    """A row per row of df: key, COUNTS (long) and MEASURES (double). kept(df, name) writes a table to a folder that all executors share and gives it back; kind 'poem' has lines for units.
+Scored = tuple[DataFrame, DataFrame, int, int]
+
 
-    contexts False: surprisal by shares of all tokens, without measures of next-token distributions."""
+def scored(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", kind: str = "doc_type", contexts: bool = True) -> Scored:
+    """The coded rows, the facts of their pairs, and the numbers of distinct and of all tokens."""
     rows = kept(coded(df, key, text, kind, contexts), "coded")
-    facts, distinct, total = pair_facts(chunk_pairs(rows), kept, contexts)
+    return rows, *pair_facts(chunk_pairs(rows), kept, contexts)
+
+
+def analyse(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", kind: str = "doc_type", contexts: bool = True, ready: Scored | None = None) -> DataFrame:
+    """A row per row of df: key, COUNTS (long) and MEASURES (double). kept(df, name) writes a table to a folder that all executors share and gives it back; kind 'poem' has lines for units.
+
+    contexts False: surprisal by shares of all tokens, without measures of next-token distributions. ready: what `scored` gave for the same rows."""
+    rows, facts, distinct, total = ready or scored(df, kept, key, text, kind, contexts)
     size = total + distinct + 1
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, " + ", ".join([f"{c} long" for c in COUNTS] + [f"{m} double" for m in MEASURES])
 
@@ -378,11 +386,10 @@ def analyse(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str
     return out.withColumnRenamed("_key", key)
 
 
-def segments(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", kind: str = "doc_type") -> DataFrame:
+def segments(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: str = "doc_id", text: str = "text", kind: str = "doc_type", ready: Scored | None = None) -> DataFrame:
     """A row per sentence, paragraph and line with scored tokens: key, level (sent, para, line), number from 0 within the text and level, start_char, end_char, start_token and tokens in the scored series,
-    mean_surprisal, spikes (tokens a standard deviation or more above the text's mean) and spike_median, their median place from the segment's start (null: none)."""
-    rows = kept(coded(df, key, text, kind), "coded")
-    facts, _, _ = pair_facts(chunk_pairs(rows), kept)
+    mean_surprisal, spikes (tokens a standard deviation or more above the text's mean) and spike_median, their median place from the segment's start (null: none). ready: what `scored` gave for the same rows."""
+    rows, facts, _, _ = ready or scored(df, kept, key, text, kind)
     names = ["level", "number", "start_char", "end_char", "start_token", "tokens", "mean_surprisal", "spikes", "spike_median"]
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, level string, number int, start_char int, end_char int, start_token int, tokens int, mean_surprisal double, spikes int, spike_median double"
 
