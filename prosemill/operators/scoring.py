@@ -346,6 +346,11 @@ def chunk_facts(rows: DataFrame, kept: Callable[[DataFrame, str], DataFrame], co
     return facts, distinct, total, buckets, hot
 
 
+def _units(s: np.ndarray) -> np.ndarray:
+    """Surprisals as whole numbers of their ninth decimal: sums of them are exact, so that a mean doesn't depend on the order of additions."""
+    return np.rint(1e9 * s)
+
+
 class _Docs:
     """Sums over flat values by document."""
 
@@ -404,7 +409,7 @@ def measures(width: int, codes: list[bytes], flags: list[bytes], borders: list[b
     bit_, at, n = bit[scored], place[scored] - 1, own.n
     out: dict[str, np.ndarray] = {"tokens_count": n}
     flag = lambda x: ((bit_ & x) > 0).astype(float)
-    mean, sd, h_mean = own.mean(s), own.sd(s), own.mean(h)
+    mean, sd, h_mean = own.sum(_units(s)) / (1e9 * n), own.sd(s), own.mean(h)
     p10, p25, med, p75, p90 = own.quantiles(s, [0.1, 0.25, 0.5, 0.75, 0.9])
     h10, h50, h90 = own.quantiles(h, [0.1, 0.5, 0.9])
     share, z = rank / max(1.0, distinct), s - mean[own.doc]
@@ -568,7 +573,7 @@ def segments(df: DataFrame, kept: Callable[[DataFrame, str], DataFrame], key: st
         median = spiky.quantiles(at[high[token]].astype(float), [0.5])[0]
         columns = [
             docs["_key"].take(pa.array(span_doc)), pa.array(np.array(list(SEGMENTS), object)[span[:, 0]], pa.string()), *(pa.array(x.astype(np.int32)) for x in (number, span[:, 1], span[:, 2], begin - 1, size)),
-            pa.array(np.bincount(of, s[token], len(size)) / np.maximum(1, size)), pa.array(spiky.n.astype(np.int32)), pa.array(median, from_pandas=True),
+            pa.array(np.bincount(of, _units(s[token]), len(size)) / (1e9 * np.maximum(1, size))), pa.array(spiky.n.astype(np.int32)), pa.array(median, from_pandas=True),
         ]
         return pa.table(columns, ["_key", *names])
 

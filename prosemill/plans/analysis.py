@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from .dialect import SENTENCE, TOKEN
-from .shared import kept, table
+from .shared import kept, rounded, table
 
 #: Measures that the statement below has too; the others need a generator or fits.
 IN_SQL = [m for m in scoring.MEASURES if m not in ("logp_per_token_original", "cohesion_delta")]
@@ -28,7 +28,7 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis(spark, sf_dir).select("doc_id", *COUNTS_IN_SQL, *[F.round(m, 6).alias(m) for m in IN_SQL])
+    return analysis(spark, sf_dir).select("doc_id", *COUNTS_IN_SQL, *[rounded(m) for m in IN_SQL])
 
 
 def cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
