@@ -22,24 +22,24 @@ def corpus_para(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("source").alias("author"), kind.alias("doc_type"), "lang", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All counts and measures of the corpus, by document."""
-    return scoring.analyse(corpus_para(spark, sf_dir), kept)
+def analysis(spark: SparkSession, sf_dir: str, **what) -> DataFrame:
+    """All counts and measures of the corpus, by document. what: see `scoring.analyse`."""
+    return scoring.analyse(corpus_para(spark, sf_dir), kept, **what)
 
 
 def doc_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis(spark, sf_dir).select("doc_id", *COUNTS_IN_SQL, *[rounded(m) for m in IN_SQL])
+    return analysis(spark, sf_dir, cohesion=False).select("doc_id", *COUNTS_IN_SQL, *[rounded(m) for m in IN_SQL])
 
 
 def cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean change of the log-probability per token when units are dealt anew, by document."""
-    out = analysis(spark, sf_dir).where("cohesion_delta IS NOT NULL")
+    out = analysis(spark, sf_dir, wanted=("s",)).where("cohesion_delta IS NOT NULL")
     return out.select("doc_id", "cohesion_n_shuffles", *[F.round(m, 6).alias(m) for m in ("logp_per_token_original", "cohesion_delta")])
 
 
 def author_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, tokens and the mean of each measure by author; documents without a measure don't count in its mean."""
-    rows = analysis(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author")), "doc_id")
+    rows = analysis(spark, sf_dir, cohesion=False).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author")), "doc_id")
     means = [F.round(F.avg(m), 6).alias(f"{m}_mean") for m in IN_SQL]
     return rows.groupBy("author").agg(F.count("*").alias("docs_count"), F.sum("tokens_count").alias("tokens_total"), *means)
 

@@ -28,7 +28,7 @@ def taxonomy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the features by name; what a document doesn't have, or isn't finite, is 0."""
     text = S.taxonomy(S.surface(corpus_para(spark, sf_dir))).select("doc_id", *[c for c in SCHEMA if c in S.METRICS or c in S.TAXONOMY])
-    rows = analysis(spark, sf_dir).select("doc_id", *[c for c in SCHEMA if c not in text.columns]).join(text, "doc_id")
+    rows = analysis(spark, sf_dir, cohesion=False, wanted=("s", "h", "width")).select("doc_id", *[c for c in SCHEMA if c not in text.columns]).join(text, "doc_id")
     return rows.select("doc_id", *[F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(0.0)).alias(c) for c in SCHEMA])
 
 

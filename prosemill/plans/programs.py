@@ -106,7 +106,7 @@ MODEL_METRICS = [m for _, _, m, _, _ in evaluation.RUBRIC if m in scoring.MEASUR
 def _rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id with each of the 17 rubric metrics' value, percentile and score; the baseline of each document type and of all is 201 quantiles of each metric."""
     docs = analysis.corpus_para(spark, sf_dir).select("doc_id", F.col("doc_type").alias("slice"), "text")
-    scored = analysis.analysis(spark, sf_dir).unpivot("doc_id", MODEL_METRICS, "metric", "value")
+    scored = analysis.analysis(spark, sf_dir, wanted=("s", "h", "width")).unpivot("doc_id", MODEL_METRICS, "metric", "value")
     long = _kept(rubric_metrics(docs).unionByName(docs.select("doc_id", "slice").join(scored, "doc_id")))
     slices = F.explode(F.array_distinct(F.array(F.coalesce("slice", F.lit("all")), F.lit("all")))).alias("slice")
     baseline = long.where(F.col("value").isNotNull()).select(slices, "metric", "value").groupBy("slice", "metric").agg(F.percentile("value", [i / 200 for i in range(201)]).alias("values"))
